@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from kgraph.plans import queries_advise
+from kgraph.plans import queries_advise, queries_infer
 
-REGISTRY = {**queries_advise.QUERIES}
+REGISTRY = {**queries_advise.QUERIES, **queries_infer.QUERIES}
