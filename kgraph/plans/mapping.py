@@ -206,3 +206,46 @@ class Tables:
     def targets(self) -> DataFrame:
         """(student_id, course_id): parts a customer bought, flagged N."""
         return self._bought(F.col("l_returnflag") == "N")
+
+    def vector_concept(self) -> DataFrame:
+        """(concept_id, course_id, course_number, label, vector): five vectors
+        make a course."""
+        course = F.floor(F.col("vec_id") / 5).cast("bigint")
+        return self.read("embeddings").select(
+            F.col("vec_id").alias("concept_id"),
+            course.alias("course_id"),
+            F.concat(
+                (course % 6 + 1).cast("string"), F.lpad((course % 10000).cast("string"), 4, "0")
+            ).alias("course_number"),
+            F.col("label").cast("bigint").alias("label"),
+            F.col("embedding").alias("vector"),
+        )
+
+    def vocabulary(self, dims: int = 64) -> DataFrame:
+        """Forty units: four mean vectors per label, named by label and number."""
+        unit = (F.col("label").cast("bigint") * 4 + F.col("vec_id") % 4).alias("ku_id")
+        means = [F.avg(F.col("embedding")[i]).alias(f"m{i}") for i in range(dims)]
+        return (
+            self.read("embeddings").groupBy(unit).agg(*means)
+            .select(
+                "ku_id",
+                F.concat(F.lit("unit "), F.col("ku_id").cast("string")).alias("label"),
+                F.concat(F.lit("A"), F.floor(F.col("ku_id") / 4).cast("string")).alias("knowledge_area"),
+                F.when(F.col("ku_id") % 2 == 0, "core").otherwise("elective").alias("tier"),
+                F.array(*[F.col(f"m{i}") for i in range(dims)]).alias("vector"),
+            )
+        )
+
+    def judged_item(self) -> DataFrame:
+        """(item_id, knowledge_area, belongs, label, is_inferred, confidence)
+        from the documents that carry labels."""
+        return self.read("labels").join(
+            self.read("documents").select("doc_id", "source", "lang", "n_chars"), "doc_id"
+        ).select(
+            F.col("doc_id").alias("item_id"), F.col("source").alias("knowledge_area"),
+            (F.col("quality") == 1).alias("belongs"),
+            F.when(F.col("toxic") == 1, "incorrect").when(F.col("quality") == 1, "correct")
+            .otherwise("plausible_but_wrong").alias("label"),
+            (F.col("lang") == "en").alias("is_inferred"),
+            F.least(F.lit(1.0), F.col("n_chars") / F.lit(4096.0)).alias("confidence"),
+        )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from kgraph.plans import queries_advise, queries_infer
+from kgraph.plans import queries_advise, queries_align, queries_evaluate, queries_infer
 
-REGISTRY = {**queries_advise.QUERIES, **queries_infer.QUERIES}
+REGISTRY = {
+    **queries_advise.QUERIES,
+    **queries_infer.QUERIES,
+    **queries_align.QUERIES,
+    **queries_evaluate.QUERIES,
+}
