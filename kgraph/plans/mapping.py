@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 from kgraph import constants as K
 
 
+def _letters(n: Column) -> Column:
+    """Two capital letters from a number."""
+    letter = lambda x: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (x % 26 + 1).cast("int"), F.lit(1))
+    return F.concat(letter(n), letter(F.floor(n / 26)))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+LANDED_AT = "2024-01-01 00:00:00"
+PAGE_PARTS = 20
+
+
 class Tables:
     """The views of one data folder, each a lazy plan over Parquet scans."""
 
@@ -249,3 +263,103 @@ class Tables:
             (F.col("lang") == "en").alias("is_inferred"),
             F.least(F.lit(1.0), F.col("n_chars") / F.lit(4096.0)).alias("confidence"),
         )
+
+    # --- landed pages, rendered from the parts, a fixed number per page ------
+
+    def _rendered(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.read("part").select(
+            k.alias("k"), "p_name", "p_type", "p_brand", self._level().alias("lvl"),
+            F.floor(k / PAGE_PARTS).cast("bigint").alias("page_id"),
+        )
+
+    def landed_catalogue(self) -> DataFrame:
+        """(url, html): subject pages of up to twenty course blocks."""
+        k = F.col("k")
+        credit = F.when(k % 11 == 0, "").otherwise(_text(" credit: ", k % 4 + 1, " Hours."))
+        second = F.when(k % 2 == 0, _text(" or ", _letters(k + 2), " ", k % 100 + 200)).otherwise("")
+        prereq = F.when(k % 5 == 0, "").otherwise(_text(" Prerequisite: ", _letters(k + 1), " ", k % 100 + 100, second, "."))
+        block = _text(
+            '<div class="courseblock"><p class="courseblocktitle"><strong>', _letters(k), " ",
+            F.col("lvl") * 100 + k % 100, "&nbsp; ", F.col("p_name"), credit, "</strong></p>",
+            '<p class="courseblockdesc">', F.col("p_type"), " &amp; ", F.col("p_brand"), " work.", prereq, "</p></div>",
+        )
+        return (
+            self._rendered().groupBy("page_id")
+            .agg(F.array_sort(F.collect_list(F.struct("k", block.alias("html")))).alias("blocks"))
+            .select(
+                _text("https://catalogue.example.org/", F.col("page_id")).alias("url"),
+                _text("<html><body>", F.array_join(F.transform("blocks", lambda b: b["html"]), "\n"), "</body></html>").alias("html"),
+            )
+        )
+
+    def landed_courses(self) -> DataFrame:
+        """(url, html, retrieved_at, source_revision): one page per course."""
+        k = F.col("k")
+        ref = lambda i: _text(_letters(k + i), " ", F.lit(10000 * (i % 6 + 1)) + (k + i) % 10000)
+        prereq = (
+            F.when(k % 6 == 1, ref(1)).when(k % 6 == 2, _text(ref(1), " (C or better)"))
+            .when(k % 6 == 3, _text("(", ref(1), " or ", ref(2), ") and ", ref(3)))
+            .when(k % 6 == 4, "Permission of instructor required").when(k % 6 == 5, _text(ref(1), " and ", ref(2)))
+        )
+        html = F.concat(
+            _text("<html><body><h1>", _letters(k), " ", F.col("lvl") * 10000 + k % 10000, " - ", F.col("p_name"), "</h1><p>Credit Hours: ",
+                  k % 4 + 1, ".00. A ", F.col("p_type"), " course from ", F.col("p_brand"), ".</p>"),
+            F.coalesce(_text("<p>Prerequisite: ", prereq, ".</p>"), F.lit("")),
+            F.when(k % 7 == 0, _text("<p>Same as ", ref(4), ".</p>")).otherwise(""), F.lit("</body></html>"),
+        )
+        return self._rendered().select(
+            _text("https://catalogue.example.org/course/", k).alias("url"), html.alias("html"),
+            F.lit(LANDED_AT).cast("timestamp").alias("retrieved_at"), F.lit("2024").alias("source_revision"),
+        )
+
+    def landed_syllabi(self) -> DataFrame:
+        """(url, html): a syllabus page for three of four courses."""
+        k = F.col("k")
+        outline = F.when(k % 3 == 0, "").otherwise(_text(
+            "<h2>Detailed Syllabus:</h2><ul><li>", F.col("p_name"), " of the kind ", F.col("p_type"),
+            "</li><li>Review</li></ul><p>Contact the school</p>",
+        ))
+        html = _text(
+            "<html><body><nav><a href='/'>Home</a></nav><main><h1>CS ", F.col("lvl") * 100 + k % 100, ": ", F.col("p_name"),
+            "</h1><p>Prerequisite: CS ", F.lit(10000) + k % 10000, " and CS ", F.lit(200) + k % 100, " and CS ", F.lit(10000) + k % 10000,
+            "</p>", outline, "</main></body></html>",
+        )
+        return self._rendered().filter(k % 4 != 0).select(
+            _text("https://catalogue.example.org/syllabus/", k).alias("url"), html.alias("html")
+        )
+
+    def landed_odata(self) -> DataFrame:
+        """(payload): course lists of twenty entries; one in thirteen is broken."""
+        k = F.col("k")
+        item = F.struct(
+            k.cast("string").alias("Id"), _text(F.col("lvl") * 10000 + k % 10000).alias("Number"), F.col("p_name").alias("Title"),
+            F.when(k % 3 == 0, F.col("p_type")).alias("Description"),
+            F.when(k % 13 == 0, "n/a").when(k % 4 != 0, _text(k % 4)).alias("CreditHours"),
+        )
+        return self._rendered().groupBy("page_id").agg(
+            F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("value"))).alias("payload")
+        )
+
+    def landed_index(self) -> DataFrame:
+        """(url, html): catalogue index pages that link to twenty courses each."""
+        k = F.col("k")
+        link = _text('<li><a href="/preview_course_nopop.php?catoid=', F.col("lvl") + 10, "&amp;coid=", k, '">', F.col("p_name"), "</a></li>",
+                     '<li><a href="/content.php?catoid=', F.col("lvl") + 10, "&amp;navoid=", k, '">',
+                     F.when(k % 5 == 0, "Computer Science, ").otherwise("History, "), F.col("p_type"), "</a></li>")
+        return self._rendered().groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", link.alias("a")))).alias("links")).select(
+            _text("https://catalogue.example.org/index/", F.col("page_id")).alias("url"),
+            _text("<ul>", F.array_join(F.transform("links", lambda x: x["a"]), ""), "</ul>").alias("html"),
+        )
+
+    def landed_payload(self) -> DataFrame:
+        """(course_id, payload): concept payloads in the shapes models answer in."""
+        k = F.col("k")
+        two = _text('[{"label": " ', F.col("p_name"), '"}, "', F.col("p_type"), '", 7, {"label": ""}]')
+        shapes = [
+            _text('{"concepts": ', two, "}"), two, _text('{"label": "', F.col("p_name"), '"}'),
+            _text('{"other": ', two, "}"), F.lit("{}"), F.lit('{"a": 1}'), F.lit("not json"), F.lit('[{"label": 5}]'),
+            _text('{"concepts": "none", "items": ', two, "}"),
+        ]
+        chosen = F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))
+        return self._rendered().select(k.alias("course_id"), chosen.alias("payload"))
