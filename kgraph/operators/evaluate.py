@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from kgraph import constants as K
 from kgraph.functions import scores as S
 from kgraph.operators.closure import bounded_closure
+from kgraph.operators.cycles import resolve_cycles
 from kgraph.operators.ranking import cumulative
+from kgraph.sources.staging import stage
 
 
 # --- hold-out ---------------------------------------------------------------
@@ -60,10 +62,15 @@ def course_reach(edges: DataFrame, concept_course: DataFrame, max_hops: int = K.
     """(band, course_x, course_y): some concept of x reaches one of y.
 
     `edges` is (from_id, to_id, confidence), `concept_course` (concept_id,
-    course_id). Edges are filtered by band before walking. One closure serves all
-    bands and all courses: a walk is keyed by (band, course).
+    course_id). Edges are filtered by band before walking.
     """
     banded = _banded(edges.select("from_id", "to_id", "confidence"), bands or {"all": None})
+    return reach_by_band(banded, concept_course, max_hops)
+
+
+def reach_by_band(banded: DataFrame, concept_course: DataFrame, max_hops: int = K.REACH_MAX_HOPS) -> DataFrame:
+    """The same for edges that carry their `band`. One closure serves all bands
+    and all courses: a walk is keyed by (band, course)."""
     arcs = banded.select(
         F.struct("band", F.col("from_id").alias("concept")).alias("src"),
         F.struct("band", F.col("to_id").alias("concept")).alias("dst"),
@@ -176,6 +183,44 @@ def reproduction_report(classified: DataFrame) -> DataFrame:
     )
 
 
+# --- ablation ---------------------------------------------------------------
+
+MODES = (K.RETRIEVAL_ONLY, K.RETRIEVAL_RERANK, K.FULL_PIPELINE)
+
+
+def ablation_edges(scored: DataFrame, declared: DataFrame, min_score: float = K.MIN_DEPENDENCY_SCORE,
+                   level_weight: float = K.WEIGHT_COURSE_LEVEL) -> DataFrame:
+    """Candidate edges that each mode keeps, with the mode as `band`.
+
+    `scored` comes from infer.score_edges. The level signal alone is held to the
+    floor times its weight; the combined score to the floor; only the full mode
+    also drops contradictions of declared pairs and breaks cycles.
+    """
+    kept = lambda rows, mode, score: rows.select(
+        F.lit(mode).alias("band"), "from_id", "to_id", F.least(F.lit(1.0), F.col(score)).alias("confidence")
+    )
+    level_only = scored.filter(F.col("level_signal") >= min_score * level_weight)
+    combined = scored.filter(F.col("score") >= min_score)
+    reverse = declared.select(F.col("course_id").alias("course_b"), F.col("prereq_id").alias("course_a")).distinct()
+    candidates = stage(
+        combined.join(reverse, ["course_a", "course_b"], "left_anti")
+        .select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "score"), "candidates",
+    )
+    surviving, _ = resolve_cycles(candidates)
+    full = surviving.withColumnsRenamed({"src": "from_id", "dst": "to_id"})
+    return (
+        kept(level_only, K.RETRIEVAL_ONLY, "level_signal")
+        .unionByName(kept(combined, K.RETRIEVAL_RERANK, "score"))
+        .unionByName(kept(full, K.FULL_PIPELINE, "score"))
+    )
+
+
+def ablation(mode_edges: DataFrame, concept_course: DataFrame, held_out: DataFrame, declared: DataFrame) -> DataFrame:
+    """The metric per mode; one closure walks the graphs of all modes."""
+    reach = stage(reach_by_band(mode_edges, concept_course), "reach")
+    return prf(reach, held_out, declared, list(MODES)).withColumnRenamed("band", "mode")
+
+
 # --- samples and judgements -------------------------------------------------
 
 def stratified_sample(items: DataFrame, stratum: str, item_id: str, size: int, seed: int = K.RANDOM_SEED) -> DataFrame:

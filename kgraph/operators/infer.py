@@ -246,6 +246,29 @@ def dependency_edges(
     return backed.unionByName(free)
 
 
+def score_edges(edges: DataFrame, nodes: DataFrame, prior: DataFrame, weights=None) -> DataFrame:
+    """Signals and score of given concept pairs (from_id, to_id).
+
+    Pairs of one course and pairs that point upward drop out.
+    """
+    digit = F.coalesce(S.level_digit("course_number"), F.lit(UNKNOWN_DIGIT))
+    side = lambda tag, end: nodes.select(
+        F.col("concept_id").alias(end), F.col("course_id").alias(f"course_{tag}"),
+        F.col("knowledge_area").alias(f"area_{tag}"), digit.alias(f"digit_{tag}"),
+    ).distinct()
+    return (
+        edges.select("from_id", "to_id").distinct()
+        .join(side("a", "from_id"), "from_id").join(side("b", "to_id"), "to_id")
+        .filter((F.col("course_a") != F.col("course_b")) & _never_upward())
+        .join(prior.select("course_a", "course_b", "prior"), ["course_a", "course_b"], "left")
+        .withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+        .withColumn("level_signal", _level_signal())
+        .withColumn("area_signal", S.area_signal(F.col("area_a") == F.col("area_b")))
+        .withColumn("score", S.dependency_score("level_signal", "prior", "area_signal", weights))
+        .select("from_id", "to_id", "course_a", "course_b", "level_signal", "prior", "area_signal", "score")
+    )
+
+
 def course_level_pairs(declared: DataFrame, courses: DataFrame) -> DataFrame:
     """The level signal of every declared pair."""
     digit = courses.select("course_id", S.level_digit("course_number").alias("digit"))

@@ -94,7 +94,7 @@ def spine_merge(spark, folder):
     t = Tables(spark, folder)
     listing = A.odata_courses(t.landed_odata(), "CS").withColumn("pos", F.struct(F.col("id").cast("bigint")))
     spine = B.first_by_number(listing)
-    pages = B.syllabus_pages(t.landed_syllabi()).filter("url like '%7'")
+    pages = B.syllabus_pages(t.landed_syllabi())
     best = pages.groupBy("number_3").agg(F.min(F.struct(*[c for c in pages.columns if c != "number_3"])).alias("p")).select(
         "number_3", "p.*"
     )
@@ -211,10 +211,10 @@ def json_round_trip(spark, folder):
 
 
 def upsert_latest(spark, folder):
-    """Customers' latest order status, order key as version."""
-    orders = Tables(spark, folder).read("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    old, new = orders.filter("o_orderdate < '1999-01-01'") if False else orders.filter("o_orderkey % 2 = 0"), orders.filter(
-        "o_orderkey % 2 = 1")
+    """Customers' latest order, urgent ones stored first and the others after."""
+    orders = Tables(spark, folder).read("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    old, new = orders.filter(urgent).drop("o_orderpriority"), orders.filter(~urgent).drop("o_orderpriority")
     first = A.upsert(old.limit(0), old, ["o_custkey"], version="o_orderkey")
     return A.upsert(first, new, ["o_custkey"], version="o_orderkey", keep=("o_orderstatus",))
 
@@ -336,8 +336,7 @@ VIEWS = {
         CASE WHEN k % 3 = 0 THEN p_type ELSE '' END AS description,
         CASE WHEN k % 4 <> 0 THEN CAST(k % 4 AS DOUBLE) END AS credit_hours FROM rendered WHERE k % 13 <> 0""",
     "spine": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY k) AS rn FROM odata) WHERE rn = 1",
-    "bestsyllabus": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number_3 ORDER BY url) AS rn FROM syllabus
-        WHERE url LIKE '%7') WHERE rn = 1""",
+    "bestsyllabus": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number_3 ORDER BY url) AS rn FROM syllabus) WHERE rn = 1""",
     "outcome": """SELECT CASE WHEN k % 9 = 0 THEN 'skipped' WHEN k % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS status,
         CASE WHEN k % 9 = 0 THEN 'robots_disallowed' WHEN k % 10 = 0 THEN 'parse_failed' END AS reason,
         CASE WHEN k % 6 <> 0 THEN k % 6 <> 4 END AS machine_checkable FROM rendered""",
@@ -418,9 +417,9 @@ QUERIES = {
     "upsert_latest": (upsert_latest, """SELECT c.o_custkey, coalesce(n.k, o.k) AS o_orderkey,
         coalesce(o.s, n.s) AS o_orderstatus FROM (SELECT DISTINCT o_custkey FROM orders) c
         LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders
-        WHERE o_orderkey % 2 = 0 GROUP BY 1) o ON o.o_custkey = c.o_custkey
+        WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1) o ON o.o_custkey = c.o_custkey
         LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders
-        WHERE o_orderkey % 2 = 1 GROUP BY 1) n ON n.o_custkey = c.o_custkey"""),
+        WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1) n ON n.o_custkey = c.o_custkey"""),
     "prerequisite_stubs": (prerequisite_stubs, with_views("""SELECT DISTINCT e.course_id FROM (SELECT course_id FROM declared
         UNION SELECT prereq_id FROM declared) e JOIN course ON course.course_id = e.course_id
         WHERE level <> 'graduate'""")),

@@ -8,6 +8,7 @@ from kgraph.operators import evaluate as E
 from kgraph.operators import infer as I
 from kgraph.plans.mapping import Tables
 from kgraph.plans.oracle import with_views
+from kgraph.plans.runs import evaluate_graph
 from kgraph.sources.staging import stage
 
 
@@ -141,7 +142,62 @@ def failure_report(spark, folder):
     return _failures(Tables(spark, folder))
 
 
+def _scored_edges(t: Tables, declared):
+    nodes = stage(_nodes(t), "nodes")
+    return I.score_edges(t.dependency(), nodes, I.prerequisite_prior(declared))
+
+
+def scored_edges(spark, folder):
+    t = Tables(spark, folder)
+    return _scored_edges(t, stage(t.declared(), "declared")).select(
+        "from_id", "to_id", "level_signal", "prior", "area_signal", "score"
+    )
+
+
+def _ablation(t: Tables):
+    declared = stage(t.declared(), "declared")
+    modes = stage(E.ablation_edges(stage(_scored_edges(t, declared), "scored"), declared), "modes")
+    return E.ablation(modes, _concept_course(t), declared, declared)
+
+
+def ablation(spark, folder):
+    return _ablation(Tables(spark, folder)).select(
+        "mode", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+    )
+
+
+def report_table(spark, folder):
+    """The whole evaluation run over the stored edges, as report rows."""
+    t = Tables(spark, folder)
+    return evaluate_graph(t.dependency(), _nodes(t), t.declared(), ablate=True)["report"]
+
+
 VIEWS = {
+    "ncell": """SELECT DISTINCT c.concept_id, c.source_course_id AS course_id, lvl,
+        coalesce(k.knowledge_area, '') AS area FROM concept c JOIN course ON course.course_id = c.source_course_id
+        LEFT JOIN ku_region k ON k.ku_id = c.knowledge_unit_id""",
+    "signal": """SELECT e.from_id, e.to_id, e.from_course, e.to_course,
+        greatest(0e0, least(1e0, (a.lvl - 1) / 5e0 - (b.lvl - 1) / 5e0)) AS level_signal,
+        CASE p.hop WHEN 1 THEN 1e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.3e0 WHEN 4 THEN 0.3e0 WHEN 5 THEN 0.3e0 ELSE 0e0 END AS prior,
+        CASE WHEN a.area = b.area THEN 1e0 ELSE 0.5e0 END AS area_signal
+        FROM dependency e JOIN ncell a ON a.concept_id = e.from_id JOIN ncell b ON b.concept_id = e.to_id
+        LEFT JOIN closure p ON p.src = e.from_course AND p.dst = e.to_course WHERE e.from_course <> e.to_course""",
+    "scored": "SELECT *, 0.45e0 * level_signal + 0.40e0 * prior + 0.15e0 * area_signal AS score FROM signal",
+    "modeedge": """SELECT 'retrieval_only' AS mode, from_id, to_id FROM scored WHERE level_signal >= 0.55e0 * 0.45e0
+        UNION ALL SELECT m.mode, from_id, to_id FROM scored, (VALUES ('retrieval_rerank'), ('full_pipeline')) m(mode)
+        WHERE score >= 0.55e0""",
+    "modewalk": """SELECT mode, from_id AS start, to_id AS here, 1 AS hop FROM modeedge
+        UNION SELECT w.mode, w.start, e.to_id, w.hop + 1 FROM modewalk w JOIN modeedge e
+        ON e.mode = w.mode AND e.from_id = w.here WHERE w.hop < 5""",
+    "modereach": """SELECT DISTINCT mode, x.course_id AS course_x, y.course_id AS course_y FROM modewalk
+        JOIN ofcourse x ON x.concept_id = start JOIN ofcourse y ON y.concept_id = here WHERE x.course_id <> y.course_id""",
+    "modecount": """SELECT m.mode, count(d.course_id) AS tp, count(r.mode) - count(d.course_id) AS fp,
+        (SELECT count(*) FROM declared) - count(d.course_id) AS fn
+        FROM (VALUES ('retrieval_only'), ('retrieval_rerank'), ('full_pipeline')) m(mode)
+        LEFT JOIN modereach r ON r.mode = m.mode
+        LEFT JOIN declared d ON d.course_id = r.course_x AND d.prereq_id = r.course_y GROUP BY 1""",
+    "modequality": """SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision,
+        CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM modecount""",
     "bandedge": """SELECT 'all' AS band, from_id, to_id, confidence FROM dependency
         UNION ALL SELECT CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END,
         from_id, to_id, confidence FROM dependency""",
@@ -178,6 +234,9 @@ _PRF = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE
     "2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1"
 
 QUERIES = {
+    "scored_edges": (scored_edges, V("""SELECT from_id, to_id, level_signal, prior, area_signal, score FROM scored""")),
+    "ablation": (ablation, V(f"SELECT mode, tp, fp, fn, {_PRF} FROM modequality")),
+    "report_table": (report_table, None),
     "held_out_split": (held_out_split, None),
     "split_sizes": (split_sizes, V("""SELECT 'test' AS part, CAST(floor(count(*) * 0.2e0) AS BIGINT) AS n FROM declared
         UNION ALL SELECT 'train', count(*) - CAST(floor(count(*) * 0.2e0) AS BIGINT) FROM declared""")),
