@@ -108,12 +108,10 @@ def first_per_label(spark, folder):
 
 
 def labels_to_embed(spark, folder):
-    """Event types of the stream that no part type already names."""
-    t = Tables(spark, folder)
-    return L.labels_to_embed(
-        t.read("part").select(F.col("p_name").alias("label")),
-        t.read("part").filter("p_size > 25").select(F.col("p_name").alias("label")),
-    )
+    """Labels of parts that no part of the largest size already carries."""
+    label = F.concat_ws(" ", "p_brand", "p_name").alias("label")
+    part = Tables(spark, folder).read("part")
+    return L.labels_to_embed(part.select(label), part.filter("p_size = 50").select(label))
 
 
 def extraction_summary(spark, folder):
@@ -218,8 +216,8 @@ QUERIES = {
         LEFT JOIN aligned a ON a.ku_id = ku.ku_id GROUP BY 1""")),
     "coverage_courses": (coverage_courses, V("SELECT DISTINCT ku_id, course_id FROM aligned")),
     "first_per_label": (first_per_label, "SELECT DISTINCT l_partkey AS course_id, l_suppkey AS label FROM lineitem"),
-    "labels_to_embed": (labels_to_embed, """SELECT DISTINCT p_name AS label FROM part WHERE p_name NOT IN
-        (SELECT p_name FROM part WHERE p_size > 25)"""),
+    "labels_to_embed": (labels_to_embed, """SELECT DISTINCT concat_ws(' ', p_brand, p_name) AS label FROM part
+        WHERE concat_ws(' ', p_brand, p_name) NOT IN (SELECT concat_ws(' ', p_brand, p_name) FROM part WHERE p_size = 50)"""),
     "extraction_summary": (extraction_summary, V("""SELECT * FROM (SELECT count(*) AS courses_processed,
         count(*) FILTER (WHERE length(trim(title)) < 20) AS concepts_skipped_empty FROM course),
         (SELECT count(*) AS concepts_extracted, count(*) FILTER (WHERE alignment_status = 'aligned') AS concepts_aligned,

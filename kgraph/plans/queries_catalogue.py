@@ -285,7 +285,7 @@ def language_guard(spark, folder):
     return G.scan(_texts(Tables(spark, folder)), "text").groupBy("table", "clean").agg(F.count(F.lit(1)).alias("n"))
 
 
-GUARD_WORDS = (r"\bwith the\b", r"\bthat\b", r"\b(?:les|des) \w", r"\bfor\b")
+GUARD_WORDS = (r"\bwith the\b", r"\bthat\b", r"\b(?:les|des) \S", r"\bfor\b")
 
 
 def guard_patterns(spark, folder):
