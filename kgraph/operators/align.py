@@ -216,8 +216,8 @@ def align(ranked: DataFrame, concepts: DataFrame, judgements: DataFrame | None =
     """
     rows = stage(ranked.withColumn("seq", F.struct("course_id", "concept_id")), "ranked")
     everyone = stage(concepts.select("concept_id", "course_id"), "concepts")
-    level_of = rows.select("concept_id", "course_level", "seq").distinct()
-    seen = None
+    level_of = stage(rows.select("concept_id", "course_level", "seq").distinct(), "levels")
+    seen, size = None, -1
     while True:
         if seen is None:
             checked = rows.withColumn("violates", F.lit(False))
@@ -227,21 +227,17 @@ def align(ranked: DataFrame, concepts: DataFrame, judgements: DataFrame | None =
         outcome = apply_judgements(
             verify(checked.filter(~F.col("violates")), everyone, min_confidence, temperature), judgements
         )
-        result = stage(
-            outcome.join(
-                checked.filter("violates").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_rejected")),
-                "concept_id", "left",
-            ).na.fill(0, ["n_rejected"]),
-            "aligned",
-        )
         now = stage(
-            result.filter("status = 'aligned'").join(level_of, "concept_id")
+            outcome.filter("status = 'aligned'").join(level_of, "concept_id")
             .groupBy("ku_id", F.col("course_level").alias("level")).agg(F.min("seq").alias("first_seq")),
             "seen",
         )
-        if seen is not None and now.exceptAll(seen).isEmpty() and seen.exceptAll(now).isEmpty():
-            return result
-        seen = now
+        n = now.count()
+        if n == size and now.join(seen, ["ku_id", "level", "first_seq"], "left_anti").isEmpty():
+            break
+        seen, size = now, n
+    rejected = checked.filter("violates").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return outcome.join(rejected, "concept_id", "left").na.fill(0, ["n_rejected"])
 
 
 def concept_records(aligned: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgraph import constants as K
 from kgraph.functions import html as H
 from kgraph.functions import text as T
+from kgraph.functions.once import with_once
 
 # --- pages ------------------------------------------------------------------
 
@@ -32,9 +33,10 @@ def course_blocks(pages: DataFrame) -> DataFrame:
     part = lambda name: H.first(H.where("found", lambda e: (
         (e["tag"] == "p") & H.has_class(e, name) & H.inside(e, F.col("block"))
     )))
-    titled = blocks.withColumn("title_text", H.text_of(part("courseblocktitle"))).withColumn(
-        "description", F.coalesce(H.text_of(part("courseblockdesc")), F.lit(""))
-    )
+    titled = with_once(blocks, {
+        "title_text": H.text_of(part("courseblocktitle")),
+        "description": F.coalesce(H.text_of(part("courseblockdesc")), F.lit("")),
+    }).drop("found", "block")
     group = lambda n: T.found("title_text", BLOCK_TITLE, n, "isU")
     return titled.filter(group(0).isNotNull()).select(
         "url", F.upper(group(1)).alias("prefix"), group(2).alias("number"), F.trim(group(3)).alias("title"),
@@ -52,8 +54,9 @@ CROSS_LISTED = r"(?:Same as|Also offered as|Cross-listed with)\s+([A-Z]{2,5}\s+\
 
 def course_pages(pages: DataFrame) -> DataFrame:
     """One raw course per course page; pages without a course code drop out."""
-    read = pages.withColumn("found", H.elements("html", ["div", "td", "p"])).withColumn(
-        "page_text", H.text_of(H.first(F.col("found")))
+    read = with_once(
+        pages.withColumn("found", H.elements("html", ["div", "td", "p"])).drop("html"),
+        {"page_text": H.text_of(H.first(F.col("found")))},
     )
     block = H.first(H.where("found", lambda e: (e["tag"] == "div") & H.has_class(e, "courseblockdesc")))
     cell = H.first(H.where("found", lambda e: (e["tag"] == "td") & H.has_class(e, "courseblockdesc")))
@@ -90,11 +93,11 @@ def course_slug(course_number) -> Column:
 def syllabus_pages(pages: DataFrame) -> DataFrame:
     """(url, number_3, title, description, prerequisite_refs, has_description)
     of syllabus pages; pages without a course heading drop out."""
-    read = pages.withColumn("found", H.elements("html", ["main", "article", "h1"]))
+    read = pages.select("url", H.elements("html", ["main", "article", "h1"]).alias("found"))
     tagged = lambda tag: H.first(H.where("found", lambda e: e["tag"] == tag))
     read = read.withColumn("main", F.coalesce(tagged("main"), tagged("article"), H.first(F.col("found"))))
     heading = H.text_of(H.first(H.where("found", lambda e: (e["tag"] == "h1") & H.inside(e, F.col("main")))))
-    read = read.withColumn("heading", heading).withColumn("body", H.text_of(F.col("main"), "\n"))
+    read = with_once(read, {"heading": heading, "body": H.text_of(F.col("main"), "\n")}).drop("found", "main")
     named = lambda n: T.found("heading", r"^CS\s*(\d{3,5})\s*:?\s*(.*)", n)
     lowered = F.lower("body")
     prereq_at, outline_at = F.instr(lowered, "prerequisite"), F.instr(lowered, "detailed syllabus")
@@ -107,10 +110,10 @@ def syllabus_pages(pages: DataFrame) -> DataFrame:
     outline = F.when(
         outline_at > 0, H.strip(F.substring(F.col("body"), outline_at + len(SYLLABUS_HEAD), F.length("body")))
     ).otherwise(F.lit(""))
-    cut = read.filter(named(0).isNotNull()).withColumn("outline", outline)
+    # The outline starts with text, so a marker never stands at its start.
     for marker in FOOTER_MARKERS:
-        at = F.instr("outline", marker)
-        cut = cut.withColumn("outline", F.when(at > 1, F.substring(F.col("outline"), F.lit(1), at - 1)).otherwise(F.col("outline")))
+        outline = F.substring_index(outline, marker, 1)
+    cut = with_once(read.filter(named(0).isNotNull()), {"outline": outline})
     description = F.substring(H.strip(F.regexp_replace("outline", r"\n{2,}", " ")), 1, 4000)
     title = H.strip(named(2))
     return cut.select(
@@ -147,7 +150,7 @@ def programme_pages(pages: DataFrame) -> DataFrame:
     Rules are the list items, paragraphs and table rows of the requirement block;
     a page without any has its text lines instead.
     """
-    read = pages.withColumn("found", H.elements("html", ["h1", "strong", "b", "div", "body", "li", "p", "tr"]))
+    read = pages.select("url", H.elements("html", ["h1", "strong", "b", "div", "body", "li", "p", "tr"]).alias("found"))
     named = lambda tag: H.first(H.where("found", lambda e: e["tag"] == tag))
     nonempty = lambda c: F.when(c != "", c)
     name = F.coalesce(
@@ -158,7 +161,7 @@ def programme_pages(pages: DataFrame) -> DataFrame:
     block = F.coalesce(
         by_id("programrequirementstextcontainer"), by_class, by_id("requirementstextcontainer"), named("body")
     )
-    read = read.withColumn("name", name).filter(F.col("name").isNotNull()).withColumn("block", block)
+    read = with_once(read, {"name": name}).filter(F.col("name").isNotNull()).withColumn("block", block)
     listed = F.filter(
         F.transform(
             H.where("found", lambda e: e["tag"].isin("li", "p", "tr") & H.inside(e, F.col("block"))),
@@ -170,14 +173,14 @@ def programme_pages(pages: DataFrame) -> DataFrame:
         F.transform(F.split(H.text_of(H.first(F.col("found")), "\n"), r"\r?\n"), lambda x: H.strip(x)),
         lambda x: F.length(x) >= 10,
     )
-    read = read.withColumn("listed", F.coalesce(listed, F.array().cast("array<string>")))
-    texts = F.when(F.size("listed") > 0, F.col("listed")).otherwise(lines)
+    read = with_once(read, {"listed": F.coalesce(listed, F.array().cast("array<string>"))})
+    read = with_once(read, {"texts": F.when(F.size("listed") > 0, F.col("listed")).otherwise(lines)})
     low = F.lower("name")
     undergraduate = low.contains("bachelor") | low.contains("b.s.") | low.contains("bs ") | low.contains("undergraduate")
     return read.select(
         "url", F.substring("name", 1, 300).alias("name"),
         F.when(undergraduate, "Undergraduate").otherwise("Graduate").alias("level_raw"),
-        F.transform(texts, _rule).alias("requirement_rules"),
+        F.transform("texts", _rule).alias("requirement_rules"),
     )
 
 
@@ -555,7 +558,7 @@ def concept_labels(payloads: DataFrame, payload: str = "payload") -> tuple[DataF
     Concepts are (course_id, pos, label), trimmed and non-empty. A payload
     without a list, or with an object whose label is no text, is rejected whole.
     """
-    items = payloads.withColumn("items", concept_items(payload))
+    items = with_once(payloads, {"items": concept_items(payload)})
     is_object = lambda v: F.startswith(_variant_kind(v), F.lit("OBJECT"))
     is_text = lambda v: F.startswith(_variant_kind(v), F.lit("STRING"))
     inner = lambda v: F.try_variant_get(v, "$.label", "variant")

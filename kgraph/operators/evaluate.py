@@ -71,6 +71,8 @@ def course_reach(edges: DataFrame, concept_course: DataFrame, max_hops: int = K.
 def reach_by_band(banded: DataFrame, concept_course: DataFrame, max_hops: int = K.REACH_MAX_HOPS) -> DataFrame:
     """The same for edges that carry their `band`. One closure serves all bands
     and all courses: a walk is keyed by (band, course)."""
+    banded = stage(banded.select("band", "from_id", "to_id"), "banded")
+    concept_course = stage(concept_course, "concept-course")
     arcs = banded.select(
         F.struct("band", F.col("from_id").alias("concept")).alias("src"),
         F.struct("band", F.col("to_id").alias("concept")).alias("dst"),

@@ -39,6 +39,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def pages(self) -> DataFrame:
+        """Landed pages. Reading a page is heavy for its bytes, so a table of
+        few file splits is spread over the cores; a large one is left as it is."""
+        pages = self.read("pages")
+        cores = self.spark.sparkContext.defaultParallelism
+        return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+
     @staticmethod
     def _level() -> Column:
         return (F.lit(1) + F.floor((F.col("p_size") - 1) / 9)).cast("int")

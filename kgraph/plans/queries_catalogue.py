@@ -135,7 +135,7 @@ def outcome_counts(spark, folder):
 
 
 def page_links(spark, folder):
-    return B.page_links(Tables(spark, folder).read("pages")).select("url", F.col("pos").cast("bigint").alias("pos"), "href")
+    return B.page_links(Tables(spark, folder).pages()).select("url", F.col("pos").cast("bigint").alias("pos"), "href")
 
 
 def index_links(spark, folder):
@@ -151,10 +151,7 @@ def newest_catalogue(spark, folder):
 
 
 def _programmes(t: Tables):
-    pages = t.read("pages").withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp")).withColumn(
-        "source_revision", F.lit(None).cast("string")
-    )
-    return B.programme_pages(pages.select("url", "html"))
+    return B.programme_pages(t.pages().select("url", "html"))
 
 
 def page_title(spark, folder):
