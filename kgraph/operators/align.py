@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from kgraph import constants as K
 from kgraph.functions import scores as S
-from kgraph.sources.staging import stage
+from kgraph.sources.staging import is_small, stage
 
 # Vocabulary rows that one task may hold; a larger vocabulary is cut in blocks.
 TASK_UNITS = 4096
 CHUNK_ROWS = 200_000
+# Candidates that one task may walk through in order.
+TASK_ROWS = 200_000
 
 
 # --- retrieve ---------------------------------------------------------------
@@ -205,39 +207,110 @@ def _violates() -> Column:
 
 
 def align(ranked: DataFrame, concepts: DataFrame, judgements: DataFrame | None = None,
-          min_confidence: float = K.MIN_CONFIDENCE, temperature: float = K.CONFIDENCE_TEMPERATURE) -> DataFrame:
+          min_confidence: float = K.MIN_CONFIDENCE, temperature: float = K.CONFIDENCE_TEMPERATURE,
+          task_rows: int = TASK_ROWS) -> DataFrame:
     """Final alignment (concept_id, ku_id, confidence, status, n_rejected).
 
     A candidate is rejected by what earlier concepts, in (course_id, concept_id)
-    order, were aligned to. What matters of the past is only, per unit and
-    level, the first concept aligned there: a handful of rows per unit. Each
-    round aligns everything against the last round's table; a concept depends
-    only on earlier ones, so the rounds settle on the sequential result.
+    order, were aligned to. A level of 0.5 or more can never be rejected, so those
+    concepts are settled at once. Of them only the first concept per unit and
+    level matters to the others: a handful of rows per unit. The others are
+    walked through in order by one task when their candidates are few, and
+    settled by rounds of joins when they are many.
     """
-    rows = stage(ranked.withColumn("seq", F.struct("course_id", "concept_id")), "ranked")
+    rows = ranked.withColumn("seq", F.struct("course_id", "concept_id"))
+    if judgements is not None:
+        asked = judgements.groupBy("concept_id", "ku_id").agg(F.bool_and("belongs").alias("belongs"))
+        rows = rows.join(asked, ["concept_id", "ku_id"], "left")
+    else:
+        rows = rows.withColumn("belongs", F.lit(None).cast("boolean"))
+    rows = stage(rows.withColumn("belongs", F.coalesce("belongs", F.lit(True))), "ranked")
     everyone = stage(concepts.select("concept_id", "course_id"), "concepts")
-    level_of = stage(rows.select("concept_id", "course_level", "seq").distinct(), "levels")
-    seen, size = None, -1
+    settle = lambda kept: apply_judgements(
+        verify(kept, everyone.join(kept.select("concept_id").distinct(), "concept_id", "left_semi"),
+               min_confidence, temperature),
+        rows.select("concept_id", "ku_id", "belongs"),
+    )
+    sure = rows.filter(F.col("course_level") >= K.ORDERING_SLACK)
+    open_rows = rows.filter(F.col("course_level") < K.ORDERING_SLACK)
+    firsts = stage(_first_seen(settle(sure), rows), "firsts")
+    if is_small(open_rows, task_rows) and is_small(firsts, task_rows):
+        rejected = _reject_in_task(open_rows, firsts, min_confidence, temperature)
+    else:
+        rejected = _reject_by_rounds(open_rows, firsts, settle)
+    rejected = stage(rejected, "rejected")
+    surviving = rows.join(rejected, ["concept_id", "ku_id"], "left_anti")
+    outcome = apply_judgements(
+        verify(surviving, everyone, min_confidence, temperature), rows.select("concept_id", "ku_id", "belongs")
+    )
+    counts = rejected.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return outcome.join(counts, "concept_id", "left").na.fill(0, ["n_rejected"])
+
+
+def _first_seen(outcome: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ku_id, level, first_seq): the first concept aligned per unit and level."""
+    return (
+        outcome.filter("status = 'aligned'").join(rows.select("concept_id", "ku_id", "course_level", "seq"), ["concept_id", "ku_id"])
+        .groupBy("ku_id", F.col("course_level").alias("level")).agg(F.min("seq").alias("first_seq"))
+    )
+
+
+def _reject_by_rounds(open_rows: DataFrame, firsts: DataFrame, settle) -> DataFrame:
+    """(concept_id, ku_id) rejected. Each round settles all open concepts against
+    the last round's table of firsts; a concept depends only on earlier ones, so
+    the rounds end at the sequential result."""
+    seen, size = firsts, -1
     while True:
-        if seen is None:
-            checked = rows.withColumn("violates", F.lit(False))
-        else:
-            per_unit = seen.groupBy("ku_id").agg(F.collect_list(F.struct("level", "first_seq")).alias("seen"))
-            checked = rows.join(per_unit, "ku_id", "left").withColumn("violates", F.coalesce(_violates(), F.lit(False)))
-        outcome = apply_judgements(
-            verify(checked.filter(~F.col("violates")), everyone, min_confidence, temperature), judgements
-        )
+        per_unit = seen.groupBy("ku_id").agg(F.collect_list(F.struct("level", "first_seq")).alias("seen"))
+        checked = open_rows.join(per_unit, "ku_id", "left").withColumn("violates", F.coalesce(_violates(), F.lit(False)))
+        aligned = _first_seen(settle(checked.filter(~F.col("violates"))), open_rows)
         now = stage(
-            outcome.filter("status = 'aligned'").join(level_of, "concept_id")
-            .groupBy("ku_id", F.col("course_level").alias("level")).agg(F.min("seq").alias("first_seq")),
-            "seen",
+            firsts.unionByName(aligned).groupBy("ku_id", "level").agg(F.min("first_seq").alias("first_seq")), "seen"
         )
         n = now.count()
         if n == size and now.join(seen, ["ku_id", "level", "first_seq"], "left_anti").isEmpty():
-            break
+            return checked.filter("violates").select("concept_id", "ku_id")
         seen, size = now, n
-    rejected = checked.filter("violates").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_rejected"))
-    return outcome.join(rejected, "concept_id", "left").na.fill(0, ["n_rejected"])
+
+
+def _reject_in_task(open_rows: DataFrame, firsts: DataFrame, min_confidence: float, temperature: float) -> DataFrame:
+    """The same by one ordered pass over open candidates and firsts."""
+    types = open_rows.schema
+    schema = f"concept_id {types['concept_id'].dataType.simpleString()}, ku_id {types['ku_id'].dataType.simpleString()}"
+    columns = ["course_id", "concept_id", "ku_id", "course_level", "rank", "score", "belongs"]
+    events = open_rows.select(*columns).unionByName(
+        firsts.select("first_seq.course_id", "first_seq.concept_id", "ku_id", F.col("level").alias("course_level")),
+        allowMissingColumns=True,
+    )
+    width = max(temperature, K.TEMPERATURE_FLOOR)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        seen: dict = {}
+        out = []
+        frame = frame.sort_values(["course_id", "concept_id", "rank"])
+        for _, group in frame.groupby(["course_id", "concept_id"], sort=False):
+            level = float(group["course_level"].iloc[0])
+            if group["rank"].isna().all():
+                for unit in group["ku_id"]:
+                    seen[unit] = min(level, seen.get(unit, level))
+                continue
+            left = []
+            for unit, score, belongs in zip(group["ku_id"], group["score"], group["belongs"]):
+                # The lowest level seen decides whether all are far above.
+                if unit in seen and level + K.ORDERING_SLACK < seen[unit]:
+                    out.append((group["concept_id"].iloc[0], unit))
+                else:
+                    left.append((unit, score, belongs))
+            if not left:
+                continue
+            gap = (left[1][1] - left[0][1]) / width if len(left) > 1 else -left[0][1]
+            if 1.0 / (1.0 + math.exp(gap)) >= min_confidence and left[0][2]:
+                seen[left[0][0]] = min(level, seen.get(left[0][0], level))
+        return pd.DataFrame(out, columns=["concept_id", "ku_id"]).astype(
+            {"concept_id": frame["concept_id"].dtype, "ku_id": frame["ku_id"].dtype}
+        )
+
+    return events.groupBy(F.lit(0).alias("all")).applyInPandas(walk, schema)
 
 
 def concept_records(aligned: DataFrame, concepts: DataFrame) -> DataFrame:
