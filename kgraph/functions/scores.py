@@ -25,9 +25,9 @@ def filter_level(digit) -> Column:
 def normalised_level(digit) -> Column:
     """Level digit mapped from 1..6 to 0..1 and clipped; unknown is 0.5."""
     scaled = (_col(digit) - F.lit(1)) / F.lit(5.0)
-    return F.coalesce(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)),
-        F.lit(K.NORMALISED_LEVEL_WHEN_UNKNOWN),
+    # least and greatest skip nulls, so the unknown case comes first.
+    return F.when(scaled.isNull(), F.lit(K.NORMALISED_LEVEL_WHEN_UNKNOWN)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
     )
 
 
