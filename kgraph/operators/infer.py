@@ -19,6 +19,10 @@ from kgraph.operators.closure import prerequisite_hops
 from kgraph.operators.ranking import confidence_stats, cumulative
 
 UNKNOWN_DIGIT = -1
+# Numbers of pairs are exact decimals: the square of a hot group's size does not
+# fit 64 bits, and halving it as a double would round.
+SIZE = "decimal(18,0)"
+PAIRS = "decimal(38,0)"
 
 
 def concept_nodes(concepts: DataFrame, courses: DataFrame, units: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def course_cells(nodes: DataFrame) -> DataFrame:
     """(course_id, digit, area, n): concepts per course and area."""
     digit = F.coalesce(S.level_digit("course_number"), F.lit(UNKNOWN_DIGIT))
     return nodes.groupBy("course_id", digit.alias("digit"), F.col("knowledge_area").alias("area")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).cast(SIZE).alias("n")
     )
 
 
@@ -84,7 +88,7 @@ def _with_scores(pairs: DataFrame, prior: Column, weights) -> DataFrame:
 
 
 def course_sizes(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("course_id", "digit").agg(F.sum("n").alias("n_course"))
+    return cells.groupBy("course_id", "digit").agg(F.sum("n").cast(SIZE).alias("n_course"))
 
 
 def _leveled(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -116,10 +120,10 @@ def _by_area(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     a = cells.select(F.col("course_id").alias("course_a"), "area", F.col("n").alias("n_area_a"))
     b = cells.select(F.col("course_id").alias("course_b"), "area", F.col("n").alias("n_area_b"))
     joined = pairs.join(a, "course_a").join(b, ["course_b", "area"], "left")
-    same = F.coalesce("n_area_b", F.lit(0))
+    same = F.coalesce("n_area_b", F.lit(0)).cast(SIZE)
     kinds = F.array(
-        F.struct(F.lit(True).alias("same_area"), (F.col("n_area_a") * same).alias("n_pairs")),
-        F.struct(F.lit(False).alias("same_area"), (F.col("n_area_a") * (F.col("n_b") - same)).alias("n_pairs")),
+        F.struct(F.lit(True).alias("same_area"), (F.col("n_area_a") * same).cast(PAIRS).alias("n_pairs")),
+        F.struct(F.lit(False).alias("same_area"), (F.col("n_area_a") * (F.col("n_b") - same)).cast(PAIRS).alias("n_pairs")),
     )
     return joined.withColumn("kind", F.explode(kinds)).select(
         *pairs.columns, "area", "kind.same_area", "kind.n_pairs"
@@ -156,8 +160,8 @@ def dependency_blocks(
     a prior, lie in one course, or contradict a declared pair. `n_pairs` counts
     what is left, `n_contradicted` the ordering rejections.
     """
-    of_level = cells.groupBy("digit", "area").agg(F.sum("n").alias("n"))
-    of_total = cells.groupBy("digit").agg(F.sum("n").alias("total"))
+    of_level = cells.groupBy("digit", "area").agg(F.sum("n").cast(SIZE).alias("n"))
+    of_total = cells.groupBy("digit").agg(F.sum("n").cast(SIZE).alias("total"))
     digits = F.explode(F.sequence(F.lit(UNKNOWN_DIGIT), F.lit(9)))
     grid = (
         of_level.select(F.col("digit").alias("digit_a"), "area", F.col("n").alias("n_a"))
@@ -167,10 +171,10 @@ def dependency_blocks(
               ["digit_b", "area"], "left")
         .filter(_never_upward())
     )
-    same = F.coalesce("n_b", F.lit(0))
+    same = F.coalesce("n_b", F.lit(0)).cast(SIZE)
     kinds = F.array(
-        F.struct(F.lit(True).alias("same_area"), (F.col("n_a") * same).alias("raw"), F.col("score_same").alias("score")),
-        F.struct(F.lit(False).alias("same_area"), (F.col("n_a") * (F.col("total") - same)).alias("raw"),
+        F.struct(F.lit(True).alias("same_area"), (F.col("n_a") * same).cast(PAIRS).alias("raw"), F.col("score_same").alias("score")),
+        F.struct(F.lit(False).alias("same_area"), (F.col("n_a") * (F.col("total") - same)).cast(PAIRS).alias("raw"),
                  F.col("score_other").alias("score")),
     )
     blocks = (
@@ -184,7 +188,7 @@ def dependency_blocks(
     sizes = course_sizes(cells)
     counted = lambda pairs, name: _by_area(
         _leveled(pairs, sizes).join(levels, ["digit_a", "digit_b"], "left_semi"), cells
-    ).groupBy(*key).agg(F.sum("n_pairs").alias(name))
+    ).groupBy(*key).agg(F.sum("n_pairs").cast(PAIRS).alias(name))
     with_prior = prior.select("course_a", "course_b")
     reverse = (
         declared_pairs(declared)
@@ -197,8 +201,10 @@ def dependency_blocks(
         blocks.join(counted(with_prior, "n_prior"), key, "left")
         .join(counted(reverse, "n_contradicted"), key, "left")
         .join(counted(inside, "n_inside"), key, "left")
-        .na.fill(0, ["n_prior", "n_contradicted", "n_inside"])
-        .withColumn("n_pairs", F.col("raw") - F.col("n_prior") - F.col("n_contradicted") - F.col("n_inside"))
+        .withColumns({c: F.coalesce(c, F.lit(0)).cast(PAIRS) for c in ("n_prior", "n_contradicted", "n_inside")})
+        .withColumn(
+            "n_pairs", (F.col("raw") - F.col("n_prior") - F.col("n_contradicted") - F.col("n_inside")).cast(PAIRS)
+        )
         .select(*key, "score", "n_pairs", "n_contradicted")
     )
 
@@ -314,7 +320,11 @@ def ordering_contradictions(edges: DataFrame, declared: DataFrame) -> DataFrame:
 # --- similarity -------------------------------------------------------------
 
 def _pairs_of(column: Column) -> Column:
-    return (column * (column - 1) / 2).cast("bigint")
+    """n (n - 1) / 2; the even one of the two factors is halved first."""
+    n = column.cast("bigint")
+    even = F.when(n % 2 == 0, n).otherwise(n - 1)
+    odd = F.when(n % 2 == 0, n - 1).otherwise(n)
+    return (F.shiftright(even, 1).cast(SIZE) * odd.cast(SIZE)).cast(PAIRS)
 
 
 def similarity_counts(members: DataFrame) -> DataFrame:
@@ -328,13 +338,13 @@ def similarity_counts(members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(low).alias("n_low")
     )
     totals = per_course.groupBy("ku_id").agg(
-        F.sum("n").alias("n"), F.sum(_pairs_of(F.col("n"))).alias("inside"),
-        F.sum("n_low").alias("n_low"), F.sum(_pairs_of(F.col("n_low"))).alias("inside_low"),
+        F.sum("n").alias("n"), F.sum(_pairs_of(F.col("n"))).cast(PAIRS).alias("inside"),
+        F.sum("n_low").alias("n_low"), F.sum(_pairs_of(F.col("n_low"))).cast(PAIRS).alias("inside_low"),
     )
     return totals.select(
         "ku_id",
-        (_pairs_of(F.col("n")) - F.col("inside")).alias("n_edges"),
-        (_pairs_of(F.col("n_low")) - F.col("inside_low")).alias("n_low_confidence"),
+        (_pairs_of(F.col("n")) - F.col("inside")).cast(PAIRS).alias("n_edges"),
+        (_pairs_of(F.col("n_low")) - F.col("inside_low")).cast(PAIRS).alias("n_low_confidence"),
     )
 
 
@@ -344,7 +354,8 @@ def _lower_end_pairs(members: DataFrame, group: list[str]) -> DataFrame:
     ends = placed.groupBy(*group).agg(F.max("end").alias("last"))
     return placed.join(ends, group).select(
         "ku_id", "confidence",
-        (F.col("w") * (F.col("last") - F.col("end")) + _pairs_of(F.col("w"))).alias("n_edges"),
+        ((F.col("w").cast(SIZE) * (F.col("last") - F.col("end")).cast(SIZE)).cast(PAIRS) + _pairs_of(F.col("w")))
+        .cast(PAIRS).alias("n_edges"),
     )
 
 
@@ -360,7 +371,7 @@ def similarity_profile(members: DataFrame) -> DataFrame:
     return (
         all_pairs.unionByName(inside)
         .groupBy("ku_id", F.greatest(F.lit(K.SIMILARITY_FLOOR), F.col("confidence")).alias("confidence"))
-        .agg(F.sum("n_edges").alias("n_edges"))
+        .agg(F.sum("n_edges").cast(PAIRS).alias("n_edges"))
         .filter("n_edges > 0")
     )
 
@@ -400,13 +411,13 @@ def area_coverage(cells: DataFrame, pairs: DataFrame, blocks: DataFrame, unit_ed
     confidence = F.least(F.lit(1.0), F.col("score"))
     empty = {"concepts": F.lit(0), "deps": F.lit(0), "conf": F.lit(0.0), "sims": F.lit(0)}
     row = lambda df, **given: df.select(
-        "area", *[(given.get(k, v)).cast("double" if k == "conf" else "bigint").alias(k) for k, v in empty.items()]
+        "area", *[(given.get(k, v)).cast("double" if k == "conf" else PAIRS).alias(k) for k, v in empty.items()]
     )
     tagged = (
         row(cells, concepts=F.col("n"))
         .unionByName(row(pairs.filter(~F.col("contradiction")), deps=F.col("n_pairs"),
-                         conf=confidence * F.col("n_pairs")))
-        .unionByName(row(blocks, deps=F.col("n_pairs"), conf=confidence * F.col("n_pairs")))
+                         conf=confidence * F.col("n_pairs").cast("double")))
+        .unionByName(row(blocks, deps=F.col("n_pairs"), conf=confidence * F.col("n_pairs").cast("double")))
         .unionByName(row(unit_edges, sims=F.col("n_edges")))
     )
     return (
@@ -415,7 +426,7 @@ def area_coverage(cells: DataFrame, pairs: DataFrame, blocks: DataFrame, unit_ed
         .agg(
             F.sum("concepts").alias("concept_count"), F.sum("deps").alias("dependency_edge_count"),
             F.sum("sims").alias("similarity_edge_count"),
-            S.ratio(F.sum("conf"), F.sum("deps")).alias("mean_confidence"),
+            S.ratio(F.sum("conf"), F.sum("deps").cast("double")).alias("mean_confidence"),
         )
     )
 
@@ -432,7 +443,7 @@ def inference_summary(
     stats = confidence_stats(
         weights.unionByName(profile.select("confidence", "n_edges")).filter("n_edges > 0"), "confidence", "n_edges"
     ).drop("n")
-    one = lambda df, **cols: df.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in cols.items()])
+    one = lambda df, **cols: df.agg(*[F.coalesce(v, F.lit(0)).cast(PAIRS).alias(k) for k, v in cols.items()])
     cycle = one(cycle_rejected, edges_rejected_cycle=F.count(F.lit(1)))
     parts = [
         one(kept, dependency_edges=F.sum("n_pairs")),
@@ -449,12 +460,14 @@ def inference_summary(
     joined = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:
         joined = joined.join(part.withColumn("one", F.lit(1)), "one")
-    deps = F.col("dependency_edges") - F.col("edges_rejected_cycle")
-    rejected = F.col("edges_rejected_cycle") + F.col("edges_rejected_ordering")
+    deps = (F.col("dependency_edges") - F.col("edges_rejected_cycle")).cast(PAIRS)
+    rejected = (F.col("edges_rejected_cycle") + F.col("edges_rejected_ordering")).cast(PAIRS)
     return (
         joined.drop("one")
         .withColumn("dependency_edges", deps)
-        .withColumn("total_candidates", F.col("dependency_edges") + rejected)
-        .withColumn("rejection_rate_pct", S.ratio(rejected, F.col("total_candidates")) * 100)
+        .withColumn("total_candidates", (F.col("dependency_edges") + rejected).cast(PAIRS))
+        .withColumn(
+            "rejection_rate_pct", S.ratio(rejected.cast("double"), F.col("total_candidates").cast("double")) * 100
+        )
         .withColumn("alarm", F.col("rejection_rate_pct") > alarm_pct)
     )

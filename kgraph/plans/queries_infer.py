@@ -24,6 +24,11 @@ def _inputs(t: Tables):
     return stage(_cells(t), "cells"), stage(I.prerequisite_prior(declared), "prior"), declared
 
 
+def _counts(df, *columns):
+    """Exact pair counts as doubles, for a result that plain SQL can state."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def concept_nodes(spark, folder):
     t = Tables(spark, folder)
     return I.concept_nodes(t.concept(), t.course(), t.knowledge_unit("region"))
@@ -48,11 +53,11 @@ def course_level_signal(spark, folder):
 
 
 def dependency_candidates(spark, folder):
-    return I.dependency_pairs(*_inputs(Tables(spark, folder)))
+    return _counts(I.dependency_pairs(*_inputs(Tables(spark, folder))), "n_pairs")
 
 
 def dependency_blocks(spark, folder):
-    return I.dependency_blocks(*_inputs(Tables(spark, folder)))
+    return _counts(I.dependency_blocks(*_inputs(Tables(spark, folder))), "n_pairs", "n_contradicted")
 
 
 def ordering_contradictions(spark, folder):
@@ -64,11 +69,11 @@ def ordering_contradictions(spark, folder):
 
 
 def similarity_counts(spark, folder):
-    return I.similarity_counts(Tables(spark, folder).aligned_concept())
+    return _counts(I.similarity_counts(Tables(spark, folder).aligned_concept()), "n_edges", "n_low_confidence")
 
 
 def similarity_profile(spark, folder):
-    return I.similarity_profile(Tables(spark, folder).aligned_concept())
+    return _counts(I.similarity_profile(Tables(spark, folder).aligned_concept()), "n_edges")
 
 
 def _unit_edges(t: Tables, counts):
@@ -80,10 +85,12 @@ def _unit_edges(t: Tables, counts):
 def area_coverage(spark, folder):
     t = Tables(spark, folder)
     cells, prior, declared = _inputs(t)
-    return I.area_coverage(
+    return _counts(I.area_coverage(
         cells, I.dependency_pairs(cells, prior, declared), I.dependency_blocks(cells, prior, declared),
         _unit_edges(t, I.similarity_counts(t.aligned_concept())),
-    ).withColumn("mean_confidence", F.round("mean_confidence", 6))
+    ), "concept_count", "dependency_edge_count", "similarity_edge_count").withColumn(
+        "mean_confidence", F.round("mean_confidence", 6)
+    )
 
 
 def inference_summary(spark, folder):
@@ -93,8 +100,12 @@ def inference_summary(spark, folder):
     blocks = stage(I.dependency_blocks(cells, prior, declared), "blocks")
     aligned = t.aligned_concept()
     _, rejected = Y.resolve_cycles(I.cycle_candidates(pairs, cells))
-    return I.inference_summary(
+    summary = I.inference_summary(
         pairs, blocks, I.similarity_profile(aligned), I.similarity_counts(aligned), rejected
+    )
+    return _counts(
+        summary, "dependency_edges", "similarity_edges", "low_confidence_similarity", "edges_rejected_cycle",
+        "edges_rejected_ordering", "total_candidates",
     ).select(
         "dependency_edges", "similarity_edges", "low_confidence_similarity", "edges_rejected_cycle",
         "edges_rejected_ordering", F.round("confidence_mean", 6).alias("confidence_mean"),
@@ -184,29 +195,30 @@ QUERIES = {
     "course_level_signal": (course_level_signal, V("""SELECT d.course_id, d.prereq_id,
         greatest(0e0, least(1e0, (a.lvl - 1) / 5e0 - (b.lvl - 1) / 5e0)) AS level_signal FROM declared d
         JOIN course a ON a.course_id = d.course_id JOIN course b ON b.course_id = d.prereq_id""")),
-    "dependency_candidates": (dependency_candidates, V("SELECT * FROM candidate")),
-    "dependency_blocks": (dependency_blocks, V("SELECT * FROM block")),
+    "dependency_candidates": (dependency_candidates, V("SELECT * REPLACE (CAST(n_pairs AS DOUBLE) AS n_pairs) FROM candidate")),
+    "dependency_blocks": (dependency_blocks, V("""SELECT * REPLACE (CAST(n_pairs AS DOUBLE) AS n_pairs,
+        CAST(n_contradicted AS DOUBLE) AS n_contradicted) FROM block""")),
     "ordering_contradictions": (ordering_contradictions, V("""SELECT e.to_course AS course_a, e.from_course AS course_b,
         count(*) AS n_edges FROM dependency e JOIN declared d ON d.course_id = e.from_course
         AND d.prereq_id = e.to_course GROUP BY 1, 2""")),
-    "similarity_counts": (similarity_counts, V("""SELECT ku_id, CAST(coalesce(sum(e), 0) AS BIGINT) AS n_edges,
-        CAST(coalesce(sum(l), 0) AS BIGINT) AS n_low_confidence FROM
+    "similarity_counts": (similarity_counts, V("""SELECT ku_id, CAST(coalesce(sum(e), 0) AS DOUBLE) AS n_edges,
+        CAST(coalesce(sum(l), 0) AS DOUBLE) AS n_low_confidence FROM
         (SELECT ku_id, count(*) AS e, count(*) FILTER (WHERE low) AS l FROM simpair GROUP BY 1
         UNION ALL SELECT DISTINCT ku_id, 0, 0 FROM aligned) GROUP BY ku_id""")),
-    "similarity_profile": (similarity_profile, V("""SELECT ku_id, confidence, count(*) AS n_edges FROM simpair
+    "similarity_profile": (similarity_profile, V("""SELECT ku_id, confidence, CAST(count(*) AS DOUBLE) AS n_edges FROM simpair
         GROUP BY 1, 2""")),
-    "area_coverage": (area_coverage, V("""SELECT area AS knowledge_area, CAST(sum(concepts) AS BIGINT) AS concept_count,
-        CAST(sum(deps) AS BIGINT) AS dependency_edge_count, CAST(sum(sims) AS BIGINT) AS similarity_edge_count,
+    "area_coverage": (area_coverage, V("""SELECT area AS knowledge_area, CAST(sum(concepts) AS DOUBLE) AS concept_count,
+        CAST(sum(deps) AS DOUBLE) AS dependency_edge_count, CAST(sum(sims) AS DOUBLE) AS similarity_edge_count,
         round(CASE WHEN sum(deps) > 0 THEN sum(conf) / sum(deps) ELSE 0 END, 6) AS mean_confidence
         FROM ka WHERE area <> '' GROUP BY 1""")),
     "inference_summary": (inference_summary, V("""SELECT d.n AS dependency_edges, s.n AS similarity_edges,
-        s.low AS low_confidence_similarity, CAST(0 AS BIGINT) AS edges_rejected_cycle,
-        CAST(0 AS BIGINT) AS edges_rejected_ordering, round(p.mean, 6) AS confidence_mean,
+        s.low AS low_confidence_similarity, 0e0 AS edges_rejected_cycle,
+        0e0 AS edges_rejected_ordering, round(p.mean, 6) AS confidence_mean,
         round((p.lo + p.hi) / 2, 6) AS confidence_median, round(p.p10, 6) AS confidence_p10,
         round(p.p90, 6) AS confidence_p90, d.n AS total_candidates, 0e0 AS rejection_rate_pct, FALSE AS alarm
-        FROM (SELECT CAST(sum(n_pairs) AS BIGINT) AS n FROM (SELECT n_pairs FROM candidate UNION ALL
+        FROM (SELECT CAST(sum(n_pairs) AS DOUBLE) AS n FROM (SELECT n_pairs FROM candidate UNION ALL
         SELECT n_pairs FROM block)) d,
-        (SELECT count(*) AS n, count(*) FILTER (WHERE low) AS low FROM simpair) s,
+        (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE low) AS DOUBLE) AS low FROM simpair) s,
         (SELECT sum(c * n) / sum(n) AS mean, min(c) FILTER (WHERE upto > (total - 1) // 2) AS lo,
         min(c) FILTER (WHERE upto > total // 2) AS hi,
         min(c) FILTER (WHERE upto > greatest(0, CAST(floor(total * 0.10) AS BIGINT) - 1)) AS p10,
