@@ -14,30 +14,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
     Where it is unset, a local master gets a temporary folder; a cluster gets an
     error, since executors cannot share the driver's disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="spark-kgraph-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-kgraph-")
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/kgraph/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the staging folder and return the written table."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/kgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Delete this application's staged tables, once its results are stored."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when `df` has at most `max_rows` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

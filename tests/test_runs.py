@@ -83,3 +83,15 @@ def test_extract_infer_evaluate(spark, rows, tmp_path):
     assert {r["band"]: r["tp"] for r in result["headline"].collect()} == {"all": 1, "high": 0, "medium": 1, "low": 0}
     assert {r["mode"]: r["tp"] for r in result["ablation"].collect()} == {"retrieval_only": 0, "retrieval_rerank": 1, "full_pipeline": 1}
     assert {r["section"] for r in result["report"].collect()} == {"headline", "by_knowledge_area", "reproduction", "failures", "ablation"}
+
+
+def test_staging_can_be_cleared(spark):
+    from kgraph.sources import staging
+
+    table = staging.stage(spark.range(3).toDF("x"), "three")
+    assert table.count() == 3 and staging.is_small(table, 3) and not staging.is_small(table, 2)
+    folder = staging._run_folder(spark)
+    staging.clear_staging(spark)
+    from kgraph.sources.tables import exists
+
+    assert not exists(spark, folder)
