@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from kgraph.llm import shard
+from kgraph.llm import bpe, shard, url_filter
 
 QUERIES = {
+    **bpe.QUERIES,
     **shard.QUERIES,
+    **url_filter.QUERIES,
 }
