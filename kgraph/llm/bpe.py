@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-The vocabulary is a rank file (base64 bytes and rank per line). The library works on characters, so every byte is
-written as one printable character; merges are all splits of a token into two tokens, in rank order, so that
-any two neighbours that make up a token are merged, lowest rank first. A piece that is a token is taken whole.
+The vocabulary is a rank file (base64 bytes and rank per line). The pattern cuts a text into pieces, and the
+library's model merges each piece. The model works on characters, so every byte is written as one printable
+character; merges are all splits of a token into two tokens, in rank order, so that any two neighbours that make up
+a token are merged, lowest rank first. A piece that is a token is taken whole.
 Decoding looks up the characters of each id, turns them back into bytes and only then into text, so characters
 that were split over tokens come out whole.
 
@@ -27,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of a text that are encoded at once.
 CUT = 1 << 16
+#: Pieces whose ids a worker remembers, and the longest of them.
+CACHED, SHORT = 1 << 18, 48
 _CUT_AT = re.compile(r"(?<=[A-Za-z0-9])[ \n]")
 
 
@@ -81,14 +85,52 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str = PATTERN) -> str:
     })
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(described: str):
-    import os
+class Encoder:
+    """The library's model behind the splitting pattern; pieces that come again are merged once.
+
+    At most CACHED short pieces are remembered, so memory stays bounded however many there are.
+    """
+
+    def __init__(self, described: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(described).model
+        splitter = json.loads(described)["pre_tokenizer"]["pretokenizers"][0]
+        self.pieces = regex.compile(splitter["pattern"]["Regex"])
+        self.letters = dict(enumerate(byte_characters()))
+        self.known: dict[str, list[int]] = {}
+
+    def merged(self, piece: str) -> list:
+        """The library's tokens of one piece, on one character per byte."""
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        for piece in self.pieces.findall(text):
+            found = known.get(piece)
+            if found is None:
+                found = [t.id for t in self.merged(piece)]
+                if len(piece) <= SHORT:
+                    if len(known) >= CACHED:
+                        known.clear()
+                    known[piece] = found
+            out += found
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Id, first and end character of each token; a split character belongs to all its tokens."""
+        out = []
+        for match in self.pieces.finditer(text):
+            piece = match.group()
+            at = [match.start() + i for i, c in enumerate(piece) for _ in c.encode()]
+            out += [(t.id, at[t.offsets[0]], at[t.offsets[1] - 1] + 1) for t in self.merged(piece)]
+        return out
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(described)
+@lru_cache(maxsize=4)
+def _encoder(described: str) -> Encoder:
+    return Encoder(described)
 
 
 @lru_cache(maxsize=4)
@@ -112,19 +154,16 @@ def _parts(text: str) -> list[str]:
 
 def encode_text(described: str, text: str, offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of one text and, if wanted, the first and the end character of each."""
-    tokenizer = _tokenizer(described)
-    ids, starts, ends, at = [], [], [], 0
+    encoder = _encoder(described)
+    none = np.empty(0, np.int32)
+    if not offsets:
+        return np.concatenate([none, *(np.array(encoder.ids(p), np.int32) for p in _parts(text))]), none, none
+    spans, at = [np.empty((0, 3), np.int32)], 0
     for part in _parts(text):
-        encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-        encoded = encode([part], add_special_tokens=False)[0]
-        ids.append(np.array(encoded.ids, np.int32))
-        if offsets:
-            pairs = np.array(encoded.offsets, np.int32).reshape(-1, 2) + at
-            starts.append(pairs[:, 0])
-            ends.append(pairs[:, 1])
-            at += len(part)
-    none = [np.empty(0, np.int32)]
-    return np.concatenate(ids or none), np.concatenate(starts or none), np.concatenate(ends or none)
+        spans.append(np.array(encoder.spans(part), np.int32).reshape(-1, 3) + np.array([0, at, at], np.int32))
+        at += len(part)
+    whole = np.concatenate(spans)
+    return whole[:, 0], whole[:, 1], whole[:, 2]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -167,8 +206,10 @@ class Codec:
 
         @F.arrow_udf("binary")
         def decoded(rows: pa.Array) -> pa.Array:
-            known = _byte_table(described.value)
-            return pa.array([b"".join(map(known.__getitem__, r or ())) for r in rows.to_pylist()], pa.binary())
+            known = _byte_table(described.value).__getitem__
+            values, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+            return pa.array(
+                [b"".join(map(known, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
         return decoded(ids)
 
