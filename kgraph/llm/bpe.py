@@ -124,7 +124,11 @@ class Encoder:
         for match in self.pieces.finditer(text):
             piece = match.group()
             at = [match.start() + i for i, c in enumerate(piece) for _ in c.encode()]
-            out += [(t.id, at[t.offsets[0]], at[t.offsets[1] - 1] + 1) for t in self.merged(piece)]
+            first = 0
+            for token in self.merged(piece):
+                last = first + len(token.value)  # one character per byte
+                out.append((token.id, at[first], at[last - 1] + 1))
+                first = last
         return out
 
 
