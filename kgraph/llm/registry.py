@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, near_dup, shard, url_filter
+from kgraph.llm import bpe, decontaminate, near_dup, quality, shard, url_filter
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
     **near_dup.QUERIES,
+    **quality.QUERIES,
     **shard.QUERIES,
     **url_filter.QUERIES,
 }
