@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, near_dup, quality, shard, url_filter
+from kgraph.llm import bpe, decontaminate, near_dup, quality, secrets, shard, url_filter
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
     **near_dup.QUERIES,
     **quality.QUERIES,
+    **secrets.QUERIES,
     **shard.QUERIES,
     **url_filter.QUERIES,
 }

@@ -1,0 +1,94 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from kgraph.llm import secrets as s
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def corpus(n=120, seed=1):
+    """Texts with real secrets and with numbers, addresses and names that look like some."""
+    rng = random.Random(seed)
+    draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    words = [draw("abcdefghij", rng.randint(2, 7)) for _ in range(60)]
+    rows, secrets = [], {}
+    for i in range(n):
+        body = [rng.choice(words) for _ in range(30)]
+        kind = i % 8
+        value = None
+        if kind == 0:
+            value = draw("0123456789abcdef", 18)
+            body.insert(10, f"password={value}")
+        elif kind == 1:
+            value = draw("0123456789abcdef", 40)
+            body.insert(10, f'token = "{value}"')
+        elif kind == 2:
+            value = "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
+            body.insert(10, value + ",")
+        elif kind == 3:
+            body.insert(10, draw("123456789", 16))
+        elif kind == 4:
+            body.insert(10, f"sha256 checksum {draw('0123456789abcdef', 40)}")
+        elif kind == 5:
+            body.insert(10, f"{rng.choice(words)}_{rng.choice(words)}-{rng.choice(words)}_{rng.randint(1, 9)}")
+        secrets[i] = value
+        rows.append((i, " ".join(body), f"src{i % 3}"))
+    return rows, secrets
+
+
+def test_findings_of_planted_secrets(spark):
+    rows, secrets = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = s.scan(df).collect()
+    assert {(r.doc_id, r.value) for r in found if r.is_secret} == {(i, v) for i, v in secrets.items() if v}
+    assert any(not r.is_secret for r in found)
+    words = {i: t.split() for i, t, _ in rows}
+    assert all(r.value in words[r.doc_id][r.position] for r in found)
+    plan = s.scan(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_masks_secrets_and_nothing_else(spark):
+    rows, secrets = corpus()
+    extra = [(None, None, None), (None, "password=abcdef0123456789ab x", None), (900, "", "s"), (901, rows[0][1], None),
+             (901, rows[0][1], None), (902, "word " * 40000 + f"password={secrets[0]}", "s")]
+    df = spark.createDataFrame(rows + extra, SCHEMA).withColumn("is_secret", F.lit(7))
+    out = s.mask(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()))
+    want = sorted((i is None, i or 0, (t or "").replace(secrets.get(i) or secrets[0], s.MASK).replace("abcdef0123456789ab", s.MASK))
+                  for i, t, _ in rows + extra)
+    assert got == want
+
+
+def test_given_labels_decide(spark):
+    rows, secrets = corpus(80)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = s.find_candidates(df)
+    labelled = found.withColumn("label", F.col("value").rlike("^[0-9]+$").cast("int"))
+    out = s.scan(df, labelled).collect()
+    assert {r.value.isdigit() for r in out if r.is_secret} == {True}
+
+
+def test_no_labels_of_both_kinds_removes_nothing(spark):
+    df = spark.createDataFrame([(1, "password=abcdef0123456789ab", "a/test/x")] * 2, SCHEMA)
+    assert [(r.score, r.is_secret) for r in s.scan(df).collect()] == [(1.0, True)] * 2
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert s.scan(df).collect() == [] and s.mask(df).collect() == []
+
+
+@pytest.mark.parametrize("text, want", [
+    ("x password=hunterhunter, y", [("hunterhunter", "password")]),
+    ("key: 'abc123abc123abc'.", [("abc123abc123abc", "")]),
+    ("secret = hunterhunter", [("hunterhunter", "")]),
+    ("mail a.b12345678@c.example.com or reader thereationtion", []),
+    ("", []),
+])
+def test_shapes(spark, text, want):
+    rows = spark.createDataFrame([(1, text, "p")], SCHEMA)
+    assert [(r.value, r.name) for r in s.find_candidates(rows).collect()] == want
