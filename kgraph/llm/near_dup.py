@@ -6,9 +6,10 @@ shingle that arrived first. Two texts agree in a register with the probability J
 process stops once its next arrival is later than the latest register of its text (early termination).
 
 Texts that are equal word by word are one node. Bands of ROWS registers send nodes to buckets. In each bucket all
-nodes are compared with its smallest node (a star); exact Jaccard of the shingle sets decides. Where nodes of a bucket
-are then still in different components, every pair that lies in two of them is compared as well, so no link inside
-a bucket is lost and no pairs are made within a component. A pair at the threshold 0.8 misses all buckets with probability
+nodes are compared with its smallest node (a star); exact Jaccard of the shingle sets decides. Nodes of a bucket that
+are then still outside its main component meet further nodes of that component for TURNS rounds, and where a bucket
+still lies in several components, every pair that lies in two of them is compared as well: no link inside a
+bucket is lost, and no pairs are made within a component. A pair at the threshold 0.8 misses all buckets with probability
 2e-4 (36 bands of 7), and is then mostly still joined over a third text.
 
 Texts travel once, and only those of candidates are kept. Links, components and sketches stay in tables in the
@@ -37,6 +38,13 @@ from kgraph.sources.staging import stage
 THRESHOLD = 0.8
 BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
+#: Rounds in which nodes outside the main component of a bucket meet one more node of it, before all remaining pairs do.
+TURNS = 1
+#: 64-bit words of packed registers, four bits each.
+WORDS = -(-HASHES // 16)
+SKETCHED = ["doc_id", "node", "size", "bits", "bands"]
+#: Standard deviations below the expected agreement at which a pair is given up without being compared.
+SIGMAS = 4
 #: Arrivals that are drawn at once while few processes are left.
 DRAWN = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -100,17 +108,28 @@ def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sign_nibbles(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, packed into 64-bit words (the last filled up with zeros)."""
+    nibbles = (registers & np.uint64(15)).astype(np.uint8)
+    padded = np.pad(nibbles, ((0, 0), (0, -nibbles.shape[1] % 16)))
+    return (padded[:, ::2] | padded[:, 1::2] << 4).view("<i8")
+
+
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node and band keys of each text; texts without words have none."""
+    """doc_id, node, number of shingles, packed registers and band keys of each text; texts without words have no bands."""
     for batch in batches:
         shingles, rows = shingle_hashes(*word_hashes(batch["text"]))
         n = batch.num_rows
-        keys = band_keys(prob_minhash(*weighted(shingles, rows), n))
+        items, owners, weights = weighted(shingles, rows)
+        registers = prob_minhash(items, owners, weights, n)
+        keys = band_keys(registers)
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(sign_nibbles(registers).ravel()), WORDS).cast(pa.list_(pa.int64()))
+        sizes = pa.array(np.bincount(owners, minlength=n), pa.int32())
         has = np.zeros(n, bool)
         has[rows] = True
         offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel(), pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], lists], ["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], sizes, bits, lists], SKETCHED)
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:
@@ -141,6 +160,36 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return named.select("a", "b", jaccard("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def _plausible(threshold: float) -> Column:
+    """A pair (size, bits, size_y, bits_y) that can be similar.
+
+    Sizes bound the similarity exactly. Four bits of two registers agree with probability similarity + (1 - similarity) / 16;
+    a pair at the threshold is SIGMAS standard deviations lower with probability 3e-5, less often than bands miss it.
+    """
+    expected = threshold + (1 - threshold) / 16
+    least = HASHES * expected - SIGMAS * (HASHES * expected * (1 - expected)) ** 0.5
+
+    def differing(i: int) -> Column:
+        x = F.col("bits")[i].bitwiseXOR(F.col("bits_y")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = sum(map(differing, range(WORDS)), F.lit(0))
+    return (F.least("size", "size_y") >= threshold * F.greatest("size", "size_y")) & (HASHES - differ >= least)
+
+
+def _split_buckets(crowded: DataFrame, labels: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, label, size, bits, bands) of the buckets that lie in several components, and the largest component of each."""
+    placed = stage(
+        crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")),
+        "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    split = stage(placed.join(mixed.select("bucket"), "bucket").join(info, "node"), "near-split")
+    sizes = split.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    return split, stage(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "near-main")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_id and class_node for every row of `docs` (doc_id, text).
 
@@ -150,15 +199,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).withColumn("node", node_of(F.col("text")))
-    sketched = rows.filter("node is not null").mapInArrow(sketch, "doc_id long, node binary, bands array<long>")
+    sketched = stage(rows.mapInArrow(sketch, "doc_id long, node binary, size int, bits array<long>, bands array<long>"), "near-sketches")
     nodes = stage(
-        sketched.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")),
+        sketched.filter("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"),
+            F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands")),
         "near-nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = stage(entries.join(shared.drop("n"), "bucket").select("bucket", "a", "node"), "near-buckets")
-    stars = crowded.filter("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = stage(crowded.filter("a < node").select("a", F.col("node").alias("b")).distinct(), "near-stars")
 
     wanted = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     # of the rows of a text only those with its smallest doc_id are candidates for its one copy
@@ -168,20 +218,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             F.any_value("text").alias("text")),
         "near-texts")
 
-    links = stage(_similar(stars, texts, threshold), "near-links")
-    labels = components(links)
-    placed = stage(
-        crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")),
-        "near-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    split = placed.join(mixed, "bucket")
-    sizes = split.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    outside = split.join(main, "bucket").filter("label != main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-    across = outside.join(split.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly")), "bucket").filter(
-        "lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stage(_similar(across.join(stars, ["a", "b"], "left_anti"), texts, threshold), "near-more")
-    links = links.unionByName(more)
+    info = nodes.select("node", "size", "bits", "bands")
+    tried, links = stars, stage(_similar(stars, texts, threshold), "near-links")
+    for turn in range(TURNS + 1):
+        split, main = _split_buckets(crowded, components(links), info)
+        outside = split.join(main, "bucket").filter("label != main")
+        if turn < TURNS:  # one other node of the main component for each node outside
+            pivot = split.join(main, "bucket").filter("label = main").groupBy("bucket").agg(
+                F.min_by(F.struct(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("bits").alias("bits_y")),
+                         F.xxhash64("node", "bucket", F.lit(turn))).alias("y")).select("bucket", "y.*")
+            pairs = outside.join(pivot, "bucket").filter(_plausible(threshold)).select("node", "y")
+        else:  # whatever is still in two components, in full
+            pairs = outside.join(
+                split.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"),
+                             F.col("size").alias("size_y"), F.col("bits").alias("bits_y"), F.col("bands").alias("bands_y")), "bucket",
+            ).filter(F.col("label") != F.col("other")).filter(_plausible(threshold)).filter(
+                F.get(F.array_intersect("bands", "bands_y"), F.lit(0)) == F.col("bucket")  # each pair in one bucket
+            ).select("node", "y")
+        pairs = pairs.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        links = links.unionByName(stage(_similar(pairs, texts, threshold), "near-links"))
+        tried = tried.unionByName(pairs)
     labels = components(links)
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
@@ -193,7 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = stage(named.join(heads, "label").select(
         "node", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_node"), "class_size", "links"),
         "near-classes")
-    ids = docs.select("doc_id", node_of(F.make_valid_utf8("text")).alias("node"))
+    ids = sketched.select("doc_id", "node")
     named_rows = ids.filter("node is not null").join(classes, "node").select(
         "doc_id", "node", "class_id", "class_node", "class_size", "links")
     alone = ids.filter("node is null").select(
