@@ -191,7 +191,8 @@ class Codec:
         def encoded(texts: pa.Array) -> pa.Array:
             return _lists([encode_text(described.value, t)[0] for t in texts.to_pylist()])
 
-        return encoded(text)
+        # else the planner would copy the call into every column that is made from the ids
+        return encoded.asNondeterministic()(text)
 
     def tokens(self, text: Column) -> Column:
         """struct<ids, starts, ends>: ids with the characters that each covers, a split character under all its tokens."""
