@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, near_dup, quality, secrets, shard, url_filter
+from kgraph.llm import bpe, decontaminate, near_dup, neighbours, quality, secrets, shard, url_filter
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
     **near_dup.QUERIES,
+    **neighbours.QUERIES,
     **quality.QUERIES,
     **secrets.QUERIES,
     **shard.QUERIES,
