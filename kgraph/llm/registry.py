@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, near_dup, neighbours, quality, secrets, shard, url_filter
+from kgraph.llm import bpe, decontaminate, language, near_dup, neighbours, quality, secrets, shard, url_filter
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
+    **language.QUERIES,
     **near_dup.QUERIES,
     **neighbours.QUERIES,
     **quality.QUERIES,
