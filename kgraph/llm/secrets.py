@@ -30,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgraph.functions.once import with_once
 from kgraph.llm.common import clean_text, quoted, table
 from kgraph.sources.staging import stage
 
@@ -61,9 +62,9 @@ def _words_match(words: str, text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z])({words})(?![a-z])"))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<position, value, name, before, after>> of a text without nulls."""
-    words = F.split(text, r"\s+")
+def candidates(words: Column) -> Column:
+    """array<struct<position, value, name, before, after>> of the words of a text; `words` must be a column, since it is
+    read at every word and an expression would be computed as often."""
 
     def shaped(word: Column, place: Column) -> Column:
         before = F.concat_ws(" ", *[F.get(words, place - k) for k in (3, 2, 1)])
@@ -91,10 +92,16 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(places, lambda i: shaped(F.get(words, i), i)), kept)
 
 
+def with_candidates(docs: DataFrame, text: str) -> DataFrame:
+    """`docs` with the array `__candidates`."""
+    cut = with_once(docs, {"__words": F.split(clean_text(text), r"\s+")})
+    return with_once(cut, {"__candidates": candidates(F.col("__words"))}).drop("__words")
+
+
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row for each candidate: key, position (word from 0) and CONTEXT."""
-    found = docs.select(
-        F.col(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.explode(candidates(clean_text(text))).alias("c"))
+    rows = docs.select(F.col(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text))
+    found = with_candidates(rows, text).select(key, "path", F.explode("__candidates").alias("c"))
     return found.select(key, "c.position", "c.value", "c.name", "c.before", "c.after", "path")
 
 
@@ -207,11 +214,11 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
     named = docs.withColumn("__key", F.sha2(clean_text(text), 256))
     secrets = scan(named, None, "__key", text, path).filter("is_secret").groupBy("__key").agg(
         F.collect_set("value").alias("__secrets"))
-    hit = F.size(candidates(clean_text(text))) > 0
-    masked = named.filter(hit).join(secrets, "__key", "left").withColumn(text, F.aggregate(
+    sorted_out = with_candidates(named, text).withColumn("__hit", F.size("__candidates") > 0).drop("__candidates")
+    masked = sorted_out.filter("__hit").join(secrets, "__key", "left").withColumn(text, F.aggregate(
         F.array_sort(F.coalesce("__secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
         F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK))))
-    return masked.select(*quoted(columns)).unionByName(docs.filter(~hit))
+    return masked.select(*quoted(columns)).unionByName(sorted_out.filter("not __hit").select(*quoted(columns)))
 
 
 def op10_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
