@@ -348,8 +348,12 @@ def thin_units(counts: DataFrame, min_courses: int = K.MIN_COVERAGE_COURSES) ->
     return counts.filter(F.col("n_courses") < min_courses)
 
 
-def extraction_summary(courses: DataFrame, concepts: DataFrame) -> DataFrame:
-    """One row: courses read and skipped, concepts by outcome."""
+def extraction_summary(courses: DataFrame, concepts: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """One row: courses read and skipped, concepts by outcome.
+
+    `extracted` holds all labels that were read, repeats and known ones included;
+    without it the kept concepts are all there were.
+    """
     short = F.length(F.trim(F.coalesce("description", F.lit("")))) < K.MIN_DESCRIPTION_LENGTH
     read = courses.agg(
         F.count(F.lit(1)).alias("courses_processed"), F.count_if(short).alias("concepts_skipped_empty")
@@ -361,6 +365,11 @@ def extraction_summary(courses: DataFrame, concepts: DataFrame) -> DataFrame:
         F.count_if(status == "low_confidence_unaligned").alias("concepts_low_confidence"),
         F.count_if(status == "unaligned").alias("concepts_unaligned"),
     )
+    if extracted is not None:
+        named = outcome.columns
+        total = extracted.agg(F.count(F.lit(1)).alias("concepts_extracted"))
+        outcome = outcome.drop("concepts_extracted").withColumn("one", F.lit(1)).join(
+            total.withColumn("one", F.lit(1)), "one").select(*named)
     return read.withColumn("one", F.lit(1)).join(outcome.withColumn("one", F.lit(1)), "one").drop("one")
 
 

@@ -468,8 +468,11 @@ def merge_spine(spine: DataFrame, enrichment: DataFrame, base_url: str, subject:
 
     A page's title wins over the list's, and the number stands in for both; the
     description comes from the page only, and the source is the page when it has one.
+    Of several pages with one slug the first by url counts, so a course stays one row.
     """
-    pages = enrichment.select(
+    facts = F.struct("url", *[c for c in enrichment.columns if c not in ("url", "number_3")])
+    single = enrichment.groupBy("number_3").agg(F.min_by(facts, F.struct("url", F.xxhash64(facts))).alias("page"))
+    pages = single.select("number_3", "page.*").select(
         F.concat(F.lit("cs"), "number_3").alias("slug"), F.col("title").alias("page_title"),
         F.col("description").alias("page_description"), "prerequisite_refs", "has_description",
         F.col("url").alias("page_url"),

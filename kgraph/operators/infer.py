@@ -211,12 +211,13 @@ def dependency_blocks(
 
 def dependency_edges(
     wanted: DataFrame, nodes: DataFrame, pairs: DataFrame, prior: DataFrame, declared: DataFrame,
-    min_score: float = K.MIN_DEPENDENCY_SCORE, weights=None,
+    min_score: float = K.MIN_DEPENDENCY_SCORE, weights=None, dropped: DataFrame | None = None,
 ) -> DataFrame:
     """Concept-level dependency edges that start at the `wanted` concepts.
 
     (from_id, to_id, score). Edges with a prior expand `pairs`; the others are
     found by joining each wanted concept to the levels its area can pass to.
+    `dropped` (see rejected_pairs) takes the edges out that were rejected for a cycle.
     """
     digit = F.coalesce(S.level_digit("course_number"), F.lit(UNKNOWN_DIGIT))
     node = nodes.select("concept_id", "course_id", F.col("knowledge_area").alias("area"), digit.alias("digit"))
@@ -232,8 +233,11 @@ def dependency_edges(
         start.join(pairs.filter(~F.col("contradiction")), ["course_a", "area"])
         .join(end.drop("digit_b"), "course_b")
         .filter(F.col("same_area") == (F.col("area") == F.col("area_b")))
-        .select("from_id", "to_id", "score")
     )
+    if dropped is not None:
+        cell = ["course_a", "area", "course_b", "area_b"]
+        backed = backed.join(dropped.select(*cell).distinct(), cell, "left_anti")
+    backed = backed.select("from_id", "to_id", "score")
     excluded = prior.select("course_a", "course_b").unionByName(
         declared_pairs(declared).select(F.col("prereq_id").alias("course_a"), F.col("course_id").alias("course_b"))
     ).distinct()
@@ -309,6 +313,40 @@ def cycle_candidates(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
+def rejected_pairs(rejected: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rejected cell edges (src, dst) as (course_a, area, course_b, area_b,
+    same_area, n_pairs); n_pairs counts the concept pairs that the edge stands for."""
+    end = lambda name: F.from_json(name, "course string, area string")
+    size = lambda tag, area: cells.select(
+        F.col("course_id").alias(f"course_{tag}"), F.col("area").alias(area), F.col("n").cast(SIZE).alias(f"n_{tag}"))
+    return (
+        rejected.select(end("src").alias("a"), end("dst").alias("b"))
+        .select(F.col("a.course").alias("course_a"), F.col("a.area").alias("area"),
+                F.col("b.course").alias("course_b"), F.col("b.area").alias("area_b"))
+        .join(size("a", "area"), ["course_a", "area"]).join(size("b", "area_b"), ["course_b", "area_b"])
+        .select("course_a", "area", "course_b", "area_b", (F.col("area") == F.col("area_b")).alias("same_area"),
+                (F.col("n_a") * F.col("n_b")).cast(PAIRS).alias("n_pairs"))
+    )
+
+
+def without_rejected(pairs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`pairs` less the concept pairs of `dropped` (see rejected_pairs); pairs with none left go."""
+    key = ["course_a", "area", "course_b", "same_area"]
+    lost = dropped.groupBy(*key).agg(F.sum("n_pairs").cast(PAIRS).alias("n_lost"))
+    rest = F.col("n_pairs") - F.when(F.col("contradiction"), F.lit(0)).otherwise(F.coalesce("n_lost", F.lit(0)))
+    return (
+        pairs.join(lost, key, "left").withColumn("n_pairs", rest.cast(pairs.schema["n_pairs"].dataType))
+        .filter("n_pairs > 0").select(*pairs.columns)
+    )
+
+
+def stored_cell_edges(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored edges (from_id, to_id) between the cells of their concepts, as (src, dst)."""
+    name = lambda tag: F.to_json(F.struct(F.col("course_id").alias("course"), F.col("knowledge_area").alias("area"))).alias(tag)
+    side = lambda tag, end: nodes.select(F.col("concept_id").alias(end), name(tag)).distinct()
+    return stored.join(side("src", "from_id"), "from_id").join(side("dst", "to_id"), "to_id").select("src", "dst").distinct()
+
+
 def ordering_contradictions(edges: DataFrame, declared: DataFrame) -> DataFrame:
     """Edges (course_a, course_b, ...) whose reverse is declared."""
     reverse = declared_pairs(declared).select(
@@ -435,7 +473,11 @@ def inference_summary(
     pairs: DataFrame, blocks: DataFrame, profile: DataFrame, unit_counts: DataFrame, cycle_rejected: DataFrame,
     alarm_pct: float = K.REJECTION_ALARM_PCT,
 ) -> DataFrame:
-    """One row: edge counts by outcome, confidence figures, rejection rate."""
+    """One row: edge counts by outcome, confidence figures, rejection rate.
+
+    All counts are concept pairs. `pairs` no longer holds what was rejected for a
+    cycle; `cycle_rejected` has it (n_pairs).
+    """
     kept = pairs.filter(~F.col("contradiction")).select("score", "n_pairs").unionByName(
         blocks.select("score", "n_pairs")
     )
@@ -444,7 +486,7 @@ def inference_summary(
         weights.unionByName(profile.select("confidence", "n_edges")).filter("n_edges > 0"), "confidence", "n_edges"
     ).drop("n")
     one = lambda df, **cols: df.agg(*[F.coalesce(v, F.lit(0)).cast(PAIRS).alias(k) for k, v in cols.items()])
-    cycle = one(cycle_rejected, edges_rejected_cycle=F.count(F.lit(1)))
+    cycle = one(cycle_rejected, edges_rejected_cycle=F.sum("n_pairs"))
     parts = [
         one(kept, dependency_edges=F.sum("n_pairs")),
         one(unit_counts, similarity_edges=F.sum("n_edges"), low_confidence_similarity=F.sum("n_low_confidence")),
@@ -460,11 +502,9 @@ def inference_summary(
     joined = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:
         joined = joined.join(part.withColumn("one", F.lit(1)), "one")
-    deps = (F.col("dependency_edges") - F.col("edges_rejected_cycle")).cast(PAIRS)
     rejected = (F.col("edges_rejected_cycle") + F.col("edges_rejected_ordering")).cast(PAIRS)
     return (
         joined.drop("one")
-        .withColumn("dependency_edges", deps)
         .withColumn("total_candidates", (F.col("dependency_edges") + rejected).cast(PAIRS))
         .withColumn(
             "rejection_rate_pct", S.ratio(rejected.cast("double"), F.col("total_candidates").cast("double")) * 100

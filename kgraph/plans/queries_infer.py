@@ -100,8 +100,9 @@ def inference_summary(spark, folder):
     blocks = stage(I.dependency_blocks(cells, prior, declared), "blocks")
     aligned = t.aligned_concept()
     _, rejected = Y.resolve_cycles(I.cycle_candidates(pairs, cells))
+    dropped = stage(I.rejected_pairs(rejected, cells), "dropped")
     summary = I.inference_summary(
-        pairs, blocks, I.similarity_profile(aligned), I.similarity_counts(aligned), rejected
+        I.without_rejected(pairs, dropped), blocks, I.similarity_profile(aligned), I.similarity_counts(aligned), dropped
     )
     return _counts(
         summary, "dependency_edges", "similarity_edges", "low_confidence_similarity", "edges_rejected_cycle",

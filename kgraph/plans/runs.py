@@ -89,7 +89,7 @@ def ingest_block_pages(*subjects: DataFrame, retrieved_at: Column | None = None,
 def ingest_spine(payloads: DataFrame, syllabi: DataFrame, base_url: str, subject: str = "CS",
                  version: str = "1.0.0", limit: int | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """An authoritative course list enriched by syllabus pages."""
-    listing = A.odata_courses(payloads, subject).withColumn("pos", F.struct("id", "pos"))
+    listing = A.odata_courses(payloads, subject)
     merged = B.merge_spine(B.first_by_number(listing, limit), B.syllabus_pages(syllabi), base_url, subject)
     courses = stage(
         merged.withColumn("authority", F.lit("derived")).withColumn(
@@ -144,7 +144,7 @@ def extract_concepts(courses: DataFrame, payloads: DataFrame, vectors: DataFrame
     counts = L.coverage_counts(aligned, units)
     results = {
         "concepts": records, "rejected_payloads": rejected, "coverage": counts, "thin_units": L.thin_units(counts),
-        "summary": _beside(L.extraction_summary(courses, records), confidence_stats(records).drop("n")),
+        "summary": _beside(L.extraction_summary(courses, records, labels), confidence_stats(records).drop("n")),
     }
     return _stored(results, out)
 
@@ -152,18 +152,28 @@ def extract_concepts(courses: DataFrame, payloads: DataFrame, vectors: DataFrame
 # --- infer ------------------------------------------------------------------
 
 def infer_graph(concepts: DataFrame, courses: DataFrame, units: DataFrame, declared: DataFrame,
-                run_id: str = "run", min_score: float = K.MIN_DEPENDENCY_SCORE, out: str | None = None) -> dict[str, DataFrame]:
+                run_id: str = "run", min_score: float = K.MIN_DEPENDENCY_SCORE, out: str | None = None,
+                stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """Dependency pairs and blocks, similarity profile, rejections and reports.
 
     `concepts` is (concept_id, source_course_id, knowledge_unit_id,
-    alignment_status, confidence). `out=None` is a dry run.
+    alignment_status, confidence), `stored` the dependency edges (from_id, to_id)
+    of earlier runs, which new edges must not close a cycle with. Pairs, coverage
+    and summary hold what is left once the rejected edges are out; `dropped` names
+    these by course and area for the expansion to concepts. `out=None` is a dry run.
     """
     declared = stage(I.declared_pairs(declared), "declared")
-    cells = stage(I.course_cells(I.concept_nodes(concepts, courses, units)), "cells")
+    nodes = stage(I.concept_nodes(concepts, courses, units), "nodes")
+    cells = stage(I.course_cells(nodes), "cells")
     prior = stage(I.prerequisite_prior(declared), "prior")
-    pairs = stage(I.dependency_pairs(cells, prior, declared, min_score), "pairs")
+    found = stage(I.dependency_pairs(cells, prior, declared, min_score), "pairs")
     blocks = stage(I.dependency_blocks(cells, prior, declared, min_score), "blocks")
-    _, cyclic = Y.resolve_cycles(I.cycle_candidates(pairs, cells))
+    candidates = stage(I.cycle_candidates(found, cells), "cycle-candidates")
+    _, cyclic = Y.resolve_cycles(candidates, None if stored is None else I.stored_cell_edges(stored, nodes))
+    # a stored edge may be rejected too, but only candidates are part of the pairs
+    new = cyclic.join(candidates.select("src", "dst"), ["src", "dst"], "left_semi")
+    dropped = stage(I.rejected_pairs(new, cells), "dropped")
+    pairs = stage(I.without_rejected(found, dropped), "kept-pairs")
     members = (
         concepts.filter((F.col("alignment_status") == "aligned") & F.col("knowledge_unit_id").isNotNull())
         .select(F.col("knowledge_unit_id").alias("ku_id"), F.col("source_course_id").alias("course_id"), "confidence")
@@ -178,10 +188,11 @@ def infer_graph(concepts: DataFrame, courses: DataFrame, units: DataFrame, decla
     )
     results = {
         "dependency_pairs": pairs.filter("not contradiction").drop("contradiction"), "dependency_blocks": blocks,
+        "dropped": dropped,
         "similarity_counts": counts, "similarity_profile": profile,
         "rejected": ordering.unionByName(cyclic).withColumn("run_id", F.lit(run_id)),
         "area_coverage": I.area_coverage(cells, pairs, blocks, by_area),
-        "summary": I.inference_summary(pairs, blocks, profile, counts, cyclic),
+        "summary": I.inference_summary(pairs, blocks, profile, counts, dropped),
     }
     return _stored(results, out)
 

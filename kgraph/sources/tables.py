@@ -106,17 +106,20 @@ def odata_courses(payloads: DataFrame, subject: str) -> DataFrame:
     """(subject, id, number, title, description, credit_hours) of landed lists.
 
     Items whose credit hours are no number are dropped; missing hours stay null.
+    `pos` orders the items as they landed: by payload (its `seq` where it has one,
+    else the order of the stored rows), then by place in the list.
     """
     item = "struct<Id:string,Number:string,Title:string,Description:string,CreditHours:string>"
     hours = F.col("c.CreditHours").try_cast("double")
+    landed = F.col("seq").cast("bigint") if "seq" in payloads.columns else F.monotonically_increasing_id()
     return (
-        payloads.select(F.from_json("payload", f"value array<{item}>").alias("p"))
-        .select(F.posexplode("p.value").alias("pos", "c"))
+        payloads.select(landed.alias("landed"), F.from_json("payload", f"value array<{item}>").alias("p"))
+        .select("landed", F.posexplode("p.value").alias("place", "c"))
         .filter(F.col("c.CreditHours").isNull() | hours.isNotNull())
         .select(
             F.lit(subject).alias("subject"), F.coalesce("c.Id", F.lit("")).alias("id"),
             F.coalesce("c.Number", F.lit("")).alias("number"), F.coalesce("c.Title", F.lit("")).alias("title"),
-            F.coalesce("c.Description", F.lit("")).alias("description"), hours.alias("credit_hours"), "pos",
+            F.coalesce("c.Description", F.lit("")).alias("description"), hours.alias("credit_hours"), F.struct("landed", "place").alias("pos"),
         )
     )
 

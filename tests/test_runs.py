@@ -65,6 +65,7 @@ def test_extract_infer_evaluate(spark, rows, tmp_path):
         (c, l, k, "aligned") for c in ("CS-1", "CS-2") for l, k in (("x", "k1"), ("y", "k2"))]
     summary = got["summary"].first()
     assert (summary["courses_processed"], summary["concepts_skipped_empty"], summary["concepts_aligned"]) == (3, 1, 4)
+    assert summary["concepts_extracted"] == 5  # the repeated label was extracted as well
     stored = got["concepts"].filter("label = 'x'").select("source_course_id", "label")
     assert runs.extract_concepts(courses, payloads, vectors, units, unit_vectors, stored)["concepts"].count() == 2
     concepts = got["concepts"]
@@ -85,6 +86,43 @@ def test_extract_infer_evaluate(spark, rows, tmp_path):
     assert {r["section"] for r in result["report"].collect()} == {"headline", "by_knowledge_area", "reproduction", "failures", "ablation"}
 
 
+def test_inferred_graph_has_no_cycle(spark, rows):
+    """Three courses of one level that require each other in a ring, two concepts each."""
+    ring = [("A", "B"), ("B", "C"), ("C", "A")]
+    courses = spark.createDataFrame([(c, "20000") for c in "ABC"], "course_id string, course_number string")
+    units = spark.createDataFrame([("k", "one", "X", "core")], "ku_id string, label string, knowledge_area string, tier string")
+    concepts = spark.createDataFrame([(f"{c}{i}", c, "k", "aligned", 0.9) for c in "ABC" for i in (1, 2)], (
+        "concept_id string, source_course_id string, knowledge_unit_id string, alignment_status string, confidence double"))
+    declared = spark.createDataFrame(ring, "course_id string, prereq_id string")
+    found = runs.infer_graph(concepts, courses, units, declared, min_score=0.5)
+    pairs = found["dependency_pairs"].select("course_a", "course_b", "n_pairs").collect()
+    summary, rejected = found["summary"].first(), found["rejected"].filter("reason = 'cycle_prevention'").count()
+    from kgraph.operators import cycles as Y
+
+    assert rejected > 0 and not Y.has_cycle(found["dependency_pairs"].select(
+        F.col("course_a").alias("src"), F.col("course_b").alias("dst"), "score"))
+    assert summary["edges_rejected_cycle"] == 4 * rejected
+    assert summary["dependency_edges"] == sum(p["n_pairs"] for p in pairs)
+    assert found["area_coverage"].first()["dependency_edge_count"] == summary["dependency_edges"]
+    assert found["dropped"].agg(F.sum("n_pairs")).first()[0] == 4 * rejected
+    # an edge of an earlier run counts: the edge that closes a ring with it is not new
+    earlier = spark.createDataFrame([("A1", "B1"), ("B1", "C1")], "from_id string, to_id string")
+    again = runs.infer_graph(concepts, courses, units, declared, min_score=0.5, stored=earlier)
+    assert not Y.has_cycle(again["dependency_pairs"].select(
+        F.col("course_a").alias("src"), F.col("course_b").alias("dst"), "score"))
+
+
+def test_spine_keeps_landing_order_and_one_page_per_course(spark):
+    item = lambda n, title: json.dumps({"value": [{"Id": n, "Number": "25200", "Title": title, "CreditHours": 3}]})
+    payloads = spark.createDataFrame([(1, item("9", "first")), (2, item("10", "second"))], "seq int, payload string")
+    page = "<main><h1>CS 252:</h1><p>nothing more</p></main>"
+    pages = spark.createDataFrame([("https://b", page), ("https://a", page)], "url string, html string")
+    alone = runs.ingest_spine(payloads, pages.limit(0), "https://list")["courses"].collect()
+    assert [r["title"] for r in alone] == ["first"]
+    both = runs.ingest_spine(payloads, pages, "https://list")["courses"].collect()
+    assert [r["course_id"] for r in both] == ["CS-25200"]
+
+
 def test_staging_can_be_cleared(spark):
     from kgraph.sources import staging
 
