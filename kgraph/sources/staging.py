@@ -7,31 +7,19 @@ for the next join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder; a cluster gets an
-    error, since executors cannot share the driver's disk.
-    """
+    """The shared folder named by spark.checkpoint.dir, or by setCheckpointDir."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-kgraph-")
-    return _LOCAL_ROOTS[context.applicationId]
+    return root.rstrip("/")
 
 
 def _run_folder(spark: SparkSession) -> str:

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from kgraph.session import build_session
@@ -7,6 +9,7 @@ from kgraph.session import build_session
 def spark():
     session = build_session("tests", "local[8]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
