@@ -45,7 +45,7 @@ from kgraph.sources.staging import stage
 MOST = 5
 LARGE = 1 - 1e-6
 HOT = 10_000
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 CHUNK_TOKENS = 1 << 20
 BEGIN, END, NONE = np.uint64(1), np.uint64(2), np.uint64(0)
 CHUNKS = "part int, chunk long, v array<long>, w array<long>, doc array<int>, n array<int>, ids array<long>, held array<boolean>, tokens array<long>"
