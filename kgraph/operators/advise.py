@@ -163,6 +163,8 @@ def combinations(
     The pool holds at most `pool_size` rows per query, which is the feature's own
     limit, so each query makes at most C(20,2) + C(20,3) rows.
     """
+    if max_size not in (2, 3):
+        raise ValueError("combinations hold two or three courses")
     pool = combination_pool(scored, pool_size)
     best = pool.groupBy("query_id").agg(
         F.max(F.size("covered_kus")).alias("best_single"), F.first("total_kus").alias("total_kus")

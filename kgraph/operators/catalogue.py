@@ -16,9 +16,6 @@ from kgraph.functions.once import with_once
 
 # --- pages ------------------------------------------------------------------
 
-BLOCK_TITLE = r"^([A-Z]+)\s*(\d+)\s+(.+?)\s+credit:\s*([\d.]+)\s+Hour"
-
-
 def course_blocks(pages: DataFrame) -> DataFrame:
     """Every course block of a subject page as one row.
 
@@ -37,21 +34,13 @@ def course_blocks(pages: DataFrame) -> DataFrame:
         "title_text": H.text_of(part("courseblocktitle")),
         "description": F.coalesce(H.text_of(part("courseblockdesc")), F.lit("")),
     }).drop("found", "block")
-    group = lambda n: T.found("title_text", BLOCK_TITLE, n, "isU")
+    group = lambda n: T.found("title_text", K.BLOCK_TITLE, n, "isU")
     return titled.filter(group(0).isNotNull()).select(
         "url", F.upper(group(1)).alias("prefix"), group(2).alias("number"), F.trim(group(3)).alias("title"),
         F.coalesce(group(4).try_cast("double"), F.lit(0.0)).alias("credits"), "description",
     )
 
 
-COURSE_TITLE = r"\b([A-Z]{2,5})\s+(\d{5}[A-Z]?)\s*[-–]\s*(.+)"
-CREDIT_COLON = r"Credit\s+Hours?\s*:\s*(\d+(?:\.\d+)?)"
-CREDIT_SPAN = r"(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)\s+(?:Credit\s+Hours?|credits?)"
-CREDIT_FIXED = r"(\d+(?:\.\d+)?)\s+(?:Credit\s+Hours?|credits?)"
-PREREQ_TEXT = r"(?:Prerequisites?|Pre-requisites?)\s*:?\s*(.*?)(?:\n|\.(?:\s|$)|$)"
-CROSS_LISTED = r"(?:Same as|Also offered as|Cross-listed with)\s+([A-Z]{2,5}\s+\d{5}[A-Z]?)"
-
-
 def course_pages(pages: DataFrame) -> DataFrame:
     """One raw course per course page; pages without a course code drop out."""
     read = with_once(
@@ -62,9 +51,9 @@ def course_pages(pages: DataFrame) -> DataFrame:
     cell = H.first(H.where("found", lambda e: (e["tag"] == "td") & H.has_class(e, "courseblockdesc")))
     long_paragraphs = H.where("found", lambda e: (e["tag"] == "p") & (H.raw_length(e) > 40))
     fallback = F.array_join(F.transform(F.slice(long_paragraphs, 1, 3), lambda e: H.text_of(e)), " ")
-    code = lambda n: T.found("page_text", COURSE_TITLE, n, "sU")
+    code = lambda n: T.found("page_text", K.COURSE_TITLE, n, "sU")
     credits = F.coalesce(
-        *[F.trim(T.found("page_text", p, 0, "iU")) for p in (CREDIT_COLON, CREDIT_SPAN, CREDIT_FIXED)],
+        *[F.trim(T.found("page_text", p, 0, "iU")) for p in (K.CREDIT_COLON, K.CREDIT_SPAN, K.CREDIT_FIXED)],
         F.when(F.lower("page_text").contains("variable"), "Variable"), F.lit(""),
     )
     number = F.trim(code(2))
@@ -73,18 +62,13 @@ def course_pages(pages: DataFrame) -> DataFrame:
         F.substring(F.trim(F.split_part(F.regexp_replace(code(3), r"(?U)\s+", " "), F.lit("."), F.lit(1))), 1, 200).alias("title"),
         F.coalesce(H.text_of(block), H.text_of(cell), fallback).alias("description"),
         credits.alias("credits_raw"),
-        F.coalesce(T.one_space(T.found("page_text", PREREQ_TEXT, 1, "isU")), F.lit("")).alias("prereqs_raw"),
-        F.transform(T.found_all("page_text", CROSS_LISTED, 1, "iU"), lambda x: F.trim(x)).alias("cross_list_raw"),
+        F.coalesce(T.one_space(T.found("page_text", K.PREREQ_TEXT, 1, "isU")), F.lit("")).alias("prereqs_raw"),
+        F.transform(T.found_all("page_text", K.CROSS_LISTED, 1, "iU"), lambda x: F.trim(x)).alias("cross_list_raw"),
         F.when(F.substring(number, 1, 1).try_cast("int") >= 5, "Graduate").otherwise("Undergraduate").alias("level_raw"),
         F.col("url").alias("source_url"), "retrieved_at", "source_revision",
     )
 
 
-# Where the outline of a syllabus page ends.
-SYLLABUS_HEAD = "Detailed Syllabus:"
-FOOTER_MARKERS = ("\nHome\n", "\nContact", "\n© ", "\nPurdue University,")
-
-
 def course_slug(course_number) -> Column:
     """Page name of a course: cs and the first three digits of its number."""
     return F.concat(F.lit("cs"), F.substring(F.regexp_replace(course_number, r"\D", ""), 1, 3))
@@ -108,10 +92,10 @@ def syllabus_pages(pages: DataFrame) -> DataFrame:
         lambda d: F.concat(F.lit("CS-"), F.when(F.length(d) == 3, F.concat(d, F.lit("00"))).otherwise(d)),
     )
     outline = F.when(
-        outline_at > 0, H.strip(F.substring(F.col("body"), outline_at + len(SYLLABUS_HEAD), F.length("body")))
+        outline_at > 0, H.strip(F.substring(F.col("body"), outline_at + len(K.SYLLABUS_HEAD), F.length("body")))
     ).otherwise(F.lit(""))
     # The outline starts with text, so a marker never stands at its start.
-    for marker in FOOTER_MARKERS:
+    for marker in K.FOOTER_MARKERS:
         outline = F.substring_index(outline, marker, 1)
     cut = with_once(read.filter(named(0).isNotNull()), {"outline": outline})
     description = F.substring(H.strip(F.regexp_replace("outline", r"\n{2,}", " ")), 1, 4000)
@@ -124,15 +108,11 @@ def syllabus_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-HOURS = r"(\d+)\s+(?:credit\s+hours?|hours?|credits?)"
-GPA = r"(\d+\.\d+)\s+GPA"
-
-
 def rule_type(text) -> Column:
     """hours, gpa or courses, the first that fits; null when none does."""
     return (
-        F.when(T.found(text, HOURS, 0, "iU").isNotNull(), "hours")
-        .when(T.found(text, GPA, 0, "iU").isNotNull(), "gpa")
+        F.when(T.found(text, K.HOURS, 0, "iU").isNotNull(), "hours")
+        .when(T.found(text, K.GPA, 0, "iU").isNotNull(), "gpa")
         .when(T.found(text, K.COURSE_CODE).isNotNull(), "courses")
     )
 

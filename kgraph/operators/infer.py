@@ -26,13 +26,23 @@ PAIRS = "decimal(38,0)"
 
 
 def concept_nodes(concepts: DataFrame, courses: DataFrame, units: DataFrame) -> DataFrame:
-    """Every concept with its course number and area, '' when unaligned."""
-    areas = units.select(F.col("ku_id").alias("knowledge_unit_id"), "knowledge_area")
+    """Every concept with its course number and area, '' when unaligned.
+
+    Concepts without a unit are most of the table; each joins by a key of its own
+    that no unit has, so they do not meet in one partition.
+    """
+    unit = F.col("knowledge_unit_id").cast("string")
+    own = F.when(unit.isNotNull(), F.struct(unit.alias("unit"), F.lit("").alias("none"))).otherwise(
+        F.struct(F.lit("").alias("unit"), F.col("concept_id").cast("string").alias("none")))
+    areas = units.select(
+        F.struct(F.col("ku_id").cast("string").alias("unit"), F.lit("").alias("none")).alias("_unit"),
+        "knowledge_area")
     return (
         concepts.join(
             courses.select(F.col("course_id").alias("source_course_id"), "course_number"), "source_course_id"
         )
-        .join(areas, "knowledge_unit_id", "left")
+        .withColumn("_unit", own)
+        .join(areas, "_unit", "left")
         .select(
             "concept_id", F.col("source_course_id").alias("course_id"),
             F.coalesce("course_number", F.lit("")).alias("course_number"),
