@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker. A batch ends at whichever comes first, so a
 #: worker holds a few megabytes however long single texts are.
-BATCH_ROWS = 512
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
