@@ -1,7 +1,7 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 Shingles of five words are weighted by 1 + ln(count in the text). Each shingle is a Poisson process whose rate is its
-weight: its arrivals are exponential steps, each arrival falls into one of HASHES registers, and a register keeps the
+weight: its arrivals are exponential steps, each arrival falls into one of SIGNED registers, and a register keeps the
 shingle that arrived first. Two texts agree in a register with the probability Jaccard similarity of their weights. A
 process stops once its next arrival is later than the latest register of its text (early termination).
 
@@ -40,8 +40,10 @@ BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
 #: Rounds in which nodes outside the main component of a bucket meet one more node of it, before all remaining pairs do.
 TURNS = 1
+#: Registers of a sketch: the first HASHES make the bands, all of them estimate the similarity of a pair.
+SIGNED = 2 * HASHES
 #: 64-bit words of packed registers, four bits each.
-WORDS = -(-HASHES // 16)
+WORDS = -(-SIGNED // 16)
 SKETCHED = ["doc_id", "node", "size", "bits", "bands"]
 #: Standard deviations below the expected agreement at which a pair is given up without being compared.
 SIGMAS = 4
@@ -121,8 +123,8 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rows = shingle_hashes(*word_hashes(batch["text"]))
         n = batch.num_rows
         items, owners, weights = weighted(shingles, rows)
-        registers = prob_minhash(items, owners, weights, n)
-        keys = band_keys(registers)
+        registers = prob_minhash(items, owners, weights, n, SIGNED)
+        keys = band_keys(registers[:, :HASHES])
         bits = pa.FixedSizeListArray.from_arrays(pa.array(sign_nibbles(registers).ravel()), WORDS).cast(pa.list_(pa.int64()))
         sizes = pa.array(np.bincount(owners, minlength=n), pa.int32())
         has = np.zeros(n, bool)
@@ -167,7 +169,7 @@ def _plausible(threshold: float) -> Column:
     a pair at the threshold is SIGMAS standard deviations lower with probability 3e-5, less often than bands miss it.
     """
     expected = threshold + (1 - threshold) / 16
-    least = HASHES * expected - SIGMAS * (HASHES * expected * (1 - expected)) ** 0.5
+    least = SIGNED * expected - SIGMAS * (SIGNED * expected * (1 - expected)) ** 0.5
 
     def differing(i: int) -> Column:
         x = F.col("bits")[i].bitwiseXOR(F.col("bits_y")[i])
@@ -176,7 +178,7 @@ def _plausible(threshold: float) -> Column:
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
     differ = sum(map(differing, range(WORDS)), F.lit(0))
-    return (F.least("size", "size_y") >= threshold * F.greatest("size", "size_y")) & (HASHES - differ >= least)
+    return (F.least("size", "size_y") >= threshold * F.greatest("size", "size_y")) & (SIGNED - differ >= least)
 
 
 def _split_buckets(crowded: DataFrame, labels: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
