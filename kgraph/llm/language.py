@@ -239,7 +239,8 @@ def _training_texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     first = Window.partitionBy("lang").orderBy("h")
     limits = rows.select("lang", "h").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).groupBy(
         "lang").agg(F.max("h").alias("limit"))
-    chosen = rows.join(limits, "lang").filter("h <= limit")
+    # one row per language
+    chosen = rows.join(F.broadcast(limits), "lang").filter("h <= limit")
     return chosen.groupBy("lang", "h").agg(F.any_value("text").alias("text")).select("lang", "text")
 
 
