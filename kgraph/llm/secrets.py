@@ -1,7 +1,11 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word, freed of quotes and closing punctuation and of a `name=` before it, that has the shape of a
-credential: at least LENGTH characters with a digit, or at least SHORTEST behind a name that tells of one. The forest sees
+A candidate is any run of characters inside a word that has the shape of a credential: at least LENGTH characters with a
+digit, or at least SHORTEST behind a name that tells of one. A word may hold several (compact JSON, URLs, delimited lists).
+Behind a telling name, within the word or before it, a run has whatever signs there are up to its closing quote, or without
+quotes up to one of , ; & | < > ( ) [ ] { } or a quote, less punctuation at the end; the password of `scheme://user:password@`
+reaches to the last @; elsewhere a run has letters, digits and + / _ . -. Names are read back for up to 64 characters. The
+words before a word belong to its first run, the word after it to its last. The forest sees
 
 * length and the shares of digits, capitals, small letters and signs, distinct characters, hexadecimal or not;
 * character transitions: how often neighbouring characters change between letter, digit, capital, sign;
@@ -48,9 +52,20 @@ DECOY_WORDS = (
     "md5|checksum|hash|version|build|serial"
 )
 PATH_WORDS = "test|spec|example|sample|fixture|mock|docs?|vendor|third_party"
-_SHAPE = (
-    r"""^["'`(\[<{]*(?:([A-Za-z][A-Za-z0-9_.\-]*)[=:]+)?["'`]*([A-Za-z0-9+/_.\-]{%d,}?={0,2})["'`.,;:!?)\]>}]*$""" % SHORTEST
+_NAME = r"[A-Za-z][A-Za-z0-9_.\-]{0,63}"
+_TELLING = r"[A-Za-z0-9_.\-]{0,64}(?<![A-Za-z])(?i:%s)(?![A-Za-z])[A-Za-z0-9_.\-]{0,64}" % CREDENTIAL_WORDS.replace("(", "(?:")
+_SIGN = r"""["'`\\)\]]*[=:]+>?"""
+_ENDS = r"""\s"'`\\,;&|<>()\[\]{}"""
+_QUOTED = "|".join(r"\\*%s([^%s\s]{%d,}[^%s\s\\])\\*%s" % (q, q, SHORTEST - 1, q, q) for q in "\"'`")
+#: All runs of a word: (scheme://user, password), (name or tag, value in one of three quotes or in none), (name or tag, value).
+#: A sign of assignment that begins the word stands for a telling name before it.
+_RUN = (
+    r"""([A-Za-z][A-Za-z0-9+.\-]{0,31}://[^\s/?#:@"'<>]{0,64}):([^\s/?#"'<>]{%d,})@""" % SHORTEST
+    + rf"""|(?:({_TELLING}){_SIGN}|<({_TELLING})>|^=(?!["'`\\(\[<{{]*{_NAME}["'`\\]*[=:][^=]))[(\[{{]*"""
+    + rf"""(?:{_QUOTED}|["'`\\]*([^{_ENDS}]{{{SHORTEST - 1},}}[^{_ENDS}.:!?]))"""
+    + rf"""|(?:({_NAME}){_SIGN}["'`\\(\[{{]*|<({_NAME})>)?([A-Za-z0-9+/_.\-]{{{SHORTEST - 1},}}[A-Za-z0-9+/_\-]={{0,2}})"""
 )
+_NAMES, _VALUES = (1, 3, 4, 9, 10), (2, 5, 6, 7, 8, 11)
 CONTEXT = ["value", "name", "before", "after", "path"]
 FEATURES = [
     "length", "digits", "capitals", "small", "signs", "distinct", "hexadecimal", "letter_digit", "small_capital", "sign_changes",
@@ -62,34 +77,47 @@ def _words_match(words: str, text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z])({words})(?![a-z])"))
 
 
+def _telling(name: Column, before: Column) -> Column:
+    """How often a name, or words before that end in a sign of assignment, tell of a credential."""
+    assigned = F.concat_ws(" ", name, F.when(_assigns(before), before))
+    return _words_match(CREDENTIAL_WORDS, assigned) + name.contains("://").cast("int")
+
+
+def _assigns(before: Column) -> Column:
+    return before.rlike("[=:]>?$")
+
+
 def candidates(words: Column) -> Column:
-    """array<struct<position, value, name, before, after>> of the words of a text; `words` must be a column, since it is
-    read at every word and an expression would be computed as often."""
+    """array<struct<position, value, name, before, after>> of the runs in the words of a text; `words` must be a column,
+    since it is read at every word and an expression would be computed as often."""
 
     def shaped(word: Column, place: Column) -> Column:
         before = F.concat_ws(" ", *[F.get(words, place - k) for k in (3, 2, 1)])
-        return F.struct(
-            place.alias("position"), F.regexp_extract(word, _SHAPE, 2).alias("value"),
-            F.regexp_extract(word, _SHAPE, 1).alias("name"), before.alias("before"),
-            F.coalesce(F.get(words, place + 1), F.lit("")).alias("after"), word.alias("word"),
-        )
+        told = F.when(_telling(F.lit(""), before) > 0, "=").otherwise("")
+        runs = F.regexp_extract_all(F.concat(told, word), F.lit(_RUN), F.lit(0))
+
+        def part(run: Column, groups: tuple[int, ...]) -> Column:
+            return F.concat(*[F.regexp_extract(run, _RUN, k) for k in groups])
+
+        def each(found: Column) -> Column:
+            return F.transform(found, lambda run, i: F.struct(
+                place.alias("position"), part(run, _VALUES).alias("value"), part(run, _NAMES).alias("name"),
+                F.when(i == 0, before).otherwise("").alias("before"),
+                F.when(i == F.size(found) - 1, F.coalesce(F.get(words, place + 1), F.lit(""))).otherwise("").alias("after")))
 
-    def told(c: Column) -> Column:
-        """A name or an assignment before the value tells of a credential."""
-        assigned = F.concat_ws(" ", c["name"], F.when(c["before"].rlike(r"[=:]$"), c["before"]))
-        return _words_match(CREDENTIAL_WORDS, assigned) > 0
+        return F.flatten(F.transform(F.array(runs), each))  # bound by a lambda, so that the runs are found once
 
     def kept(c: Column) -> Column:
         long = (F.length(c["value"]) >= LENGTH) & c["value"].rlike("[0-9]")
-        return (F.length(c["value"]) >= SHORTEST) & (long | told(c))
+        return (F.length(c["value"]) >= SHORTEST) & (long | (_telling(c["name"], c["before"]) > 0))
 
     # cheap conditions first: most words are shorter, or have neither digit nor sign nor a sign before them
     def likely(word: Column, place: Column) -> Column:
-        signed = word.rlike("[0-9=:]") | F.get(words, place - 1).rlike("[=:]$")
+        signed = word.rlike("[0-9=:>]") | _assigns(F.get(words, place - 1))
         return (F.length(word) >= SHORTEST) & F.coalesce(signed, F.lit(False))
 
     places = F.filter(F.transform(words, lambda w, i: F.when(likely(w, i), i)), lambda i: i.isNotNull())
-    return F.filter(F.transform(places, lambda i: shaped(F.get(words, i), i)), kept)
+    return F.filter(F.flatten(F.transform(places, lambda i: shaped(F.get(words, i), i))), kept)
 
 
 def with_candidates(docs: DataFrame, text: str) -> DataFrame:
@@ -144,9 +172,9 @@ def add_features(found: DataFrame) -> DataFrame:
         "longest_run": F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda r: F.length(r))) / size,
         "path_words": _words_match(PATH_WORDS, F.col("path")).cast("double"),
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
-        "credential_words": _words_match(CREDENTIAL_WORDS, near).cast("double"),
+        "credential_words": (_words_match(CREDENTIAL_WORDS, near) + F.col("name").contains("://").cast("int")).cast("double"),
         "decoy_words": _words_match(DECOY_WORDS, F.concat_ws(" ", near, value)).cast("double"),
-        "assigned": ((F.col("name") != "") | F.col("before").rlike("[=:]$")).cast("double"),
+        "assigned": ((F.col("name") != "") | _assigns(F.col("before"))).cast("double"),
     })
 
 
