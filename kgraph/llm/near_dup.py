@@ -1,9 +1,10 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
-Shingles of five words are weighted by 1 + ln(count in the text). Each shingle is a Poisson process whose rate is its
-weight: its arrivals are exponential steps, each arrival falls into one of SIGNED registers, and a register keeps the
-shingle that arrived first. Two texts agree in a register with the probability Jaccard similarity of their weights. A
-process stops once its next arrival is later than the latest register of its text (early termination).
+Each shingle of five words is a Poisson process whose rate is its weight: its arrivals are exponential steps, each
+arrival falls into one of SIGNED registers, and a register keeps the shingle that arrived first. Two texts agree in a
+register with the probability Jaccard similarity of their weights. All weights are 1, however often a text repeats a
+passage: only then is that the Jaccard similarity of the sets, which decides about a pair. A process stops once its next
+arrival is later than the latest register of its text (early termination).
 
 Texts that are equal word by word are one node. Bands of ROWS registers send nodes to buckets. In each bucket all
 nodes are compared with its smallest node (a star); exact Jaccard of the shingle sets decides. Nodes of a bucket that
@@ -58,14 +59,15 @@ def node_of(text: Column) -> Column:
 
 
 def weighted(shingles: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, their rows and weights."""
+    """Distinct shingles of each row, their rows and weights.
+
+    Weights by count would find pairs by another similarity than the one that verifies them.
+    """
     order = np.lexsort((shingles, rows))
     s, r = shingles[order], rows[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
-    first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(s)))
-    return s[first], r[first], 1 + np.log(counts)
+    return s[new], r[new], np.ones(np.count_nonzero(new))
 
 
 def prob_minhash(items: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, hashes: int = HASHES) -> np.ndarray:

@@ -138,3 +138,16 @@ def test_shingles_against_plain_python():
 def test_components(spark, links, want):
     out = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.label for r in out} == want
+
+
+def test_unevenly_repeated_passages(spark):
+    """Similarity of sets decides, so a repeated passage must not hide a pair from the bands or the registers."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(24):
+        base = [f"w{k}x{rng.randrange(10 ** 6)}" for _ in range(200)]
+        copy = base + base[:40] * [50, 300, 1000][k % 3]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    assert all(jaccard(shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])) > 0.9 for i in range(0, len(rows), 2))
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
