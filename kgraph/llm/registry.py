@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, katz, language, near_dup, neighbours, quality, secrets, shard, url_filter
+from kgraph.llm import bpe, decontaminate, katz, language, merkle, near_dup, neighbours, quality, secrets, shard, url_filter
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
     **katz.QUERIES,
     **language.QUERIES,
+    **merkle.QUERIES,
     **near_dup.QUERIES,
     **neighbours.QUERIES,
     **quality.QUERIES,

@@ -130,7 +130,7 @@ def op7_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _sql_crc(text: str) -> str:
+def sql_crc(text: str) -> str:
     """crc32 of a text expression in the check SQL."""
     pairs = f"string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')"
     return (
@@ -140,6 +140,14 @@ def _sql_crc(text: str) -> str:
     )
 
 
+#: The table `t` that sql_crc reads.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
 def _sql_walk(source: str) -> str:
     """One walk of the permutation over a relation with the column x, as nested selects."""
     step = f"SELECT *, x // b AS l, x % b AS r FROM ({source})"
@@ -152,17 +160,13 @@ def _sql_walk(source: str) -> str:
 
 
 OP7_SQL = f"""
-WITH RECURSIVE crc_table AS (
-  SELECT list(v ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
-      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v
-    FROM (SELECT unnest(range(256)) AS i))),
+WITH RECURSIVE {CRC_TABLE_SQL},
 sized AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {_sql_crc("coalesce(text, '')")} AS text_crc32, t
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {sql_crc("coalesce(text, '')")} AS text_crc32, t
   FROM documents, crc_table),
 keyed AS (
   SELECT doc_id, size, text_crc32,
-    {_sql_crc("coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR || '|' || text_crc32::VARCHAR")} % {BUCKETS} AS bucket
+    {sql_crc("coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR || '|' || text_crc32::VARCHAR")} % {BUCKETS} AS bucket
   FROM sized),
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS k,
