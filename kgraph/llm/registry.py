@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from kgraph.llm import bpe, decontaminate, katz, language, licenses, merkle, near_dup, neighbours, quality, secrets, shard, url_filter
+from kgraph.llm import (
+    bpe, decontaminate, hard_negatives, katz, language, licenses, merkle, near_dup, neighbours, quality, secrets, shard, url_filter,
+)
 
 QUERIES = {
     **bpe.QUERIES,
     **decontaminate.QUERIES,
+    **hard_negatives.QUERIES,
     **katz.QUERIES,
     **language.QUERIES,
     **licenses.QUERIES,
