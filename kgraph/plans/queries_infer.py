@@ -180,6 +180,10 @@ VIEWS = {
         AND a.course_id <> f.course_id GROUP BY 1, 2""",
     "flatwalk": """SELECT src, dst FROM flatedge UNION SELECT w.src, e.dst FROM flatwalk w JOIN flatedge e ON w.dst = e.src""",
     "oncycle": "SELECT src AS node FROM flatwalk WHERE src = dst",
+    "flatrank": """SELECT src, dst, score, row_number() OVER (ORDER BY score, src, dst) AS r FROM flatedge
+        WHERE src IN (SELECT node FROM oncycle) AND dst IN (SELECT node FROM oncycle)""",
+    "higher": """SELECT r AS low, dst AS node FROM flatrank
+        UNION SELECT h.low, e.dst FROM higher h JOIN flatrank e ON e.src = h.node AND e.r > h.low""",
 }
 V = lambda body: with_views(body, VIEWS)
 
@@ -235,5 +239,6 @@ QUERIES = {
         AND dst IN (SELECT w.src FROM flatwalk w JOIN oncycle o ON o.node = w.dst)""")),
     "strong_components": (strong_components, V("""SELECT a.src AS node, min(a.dst) AS component FROM flatwalk a
         JOIN flatwalk b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")),
-    "break_cycles": (break_cycles, None),
+    "break_cycles": (break_cycles, V("""SELECT src, dst, score FROM flatrank e
+        WHERE EXISTS (SELECT 1 FROM higher h WHERE h.low = e.r AND h.node = e.src)""")),
 }
