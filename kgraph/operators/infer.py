@@ -301,28 +301,92 @@ def course_level_pairs(declared: DataFrame, courses: DataFrame) -> DataFrame:
     )
 
 
+def _cell_name(course: str, area: str) -> Column:
+    return F.to_json(F.struct(F.col(course).alias("course"), F.col(area).alias("area")))
+
+
+def cell_edges(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Accepted pairs as edges between (course, area) cells: (src, dst, score, level_a, level_b, n_pairs).
+
+    All concepts of a cell have the same edges, so a cell edge stands for all of its n_pairs concept pairs.
+    """
+    side = lambda tag, area: cells.select(
+        F.col("course_id").alias(f"course_{tag}"), F.col("area").alias(area), F.col("n").alias(f"n_{tag}"),
+        S.filter_level(_known("digit")).alias(f"level_{tag}"))
+    return (
+        pairs.filter(~F.col("contradiction")).join(side("a", "area"), ["course_a", "area"]).join(side("b", "area_b"), "course_b")
+        .filter(F.col("same_area") == (F.col("area") == F.col("area_b")))
+        .select(_cell_name("course_a", "area").alias("src"), _cell_name("course_b", "area_b").alias("dst"), "score",
+                "level_a", "level_b", (F.col("n_a") * F.col("n_b")).cast(PAIRS).alias("n_pairs"))
+    )
+
+
 def cycle_candidates(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Accepted pairs between equal levels as edges between (course, area) cells.
+    """Accepted pairs between equal levels as cell edges (src, dst, score, n_pairs).
 
     Edges never point upward, so only edges inside one level can close a cycle.
-    All concepts of a cell have the same edges, so a cell edge stands for all.
     """
+    return cell_edges(pairs, cells).filter("level_a = level_b").select("src", "dst", "score", "n_pairs")
+
+
+def downward_pairs(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Accepted pairs to a lower level as edges (src, dst, score, n_pairs) from a cell to the same-area or other-area part
+    of a course; they close no cycle and need not be cut into cells."""
     level = lambda tag: cells.select(
-        F.col("course_id").alias(f"course_{tag}"), S.filter_level(_known("digit")).alias(f"level_{tag}")
-    ).distinct()
-    flat = (
-        pairs.filter(~F.col("contradiction")).join(level("a"), "course_a").join(level("b"), "course_b")
-        .filter(F.col("level_a") == F.col("level_b"))
-    )
-    ends = cells.select(F.col("course_id").alias("course_b"), F.col("area").alias("area_b"))
-    name = lambda course, area: F.to_json(F.struct(F.col(course).alias("course"), F.col(area).alias("area")))
+        F.col("course_id").alias(f"course_{tag}"), S.filter_level(_known("digit")).alias(f"level_{tag}")).distinct()
+    part = F.to_json(F.struct(F.col("course_b").alias("course"), "same_area"))
     return (
-        flat.join(ends, "course_b")
-        .filter(F.col("same_area") == (F.col("area") == F.col("area_b")))
-        .select(name("course_a", "area").alias("src"), name("course_b", "area_b").alias("dst"), "score")
+        pairs.filter(~F.col("contradiction")).join(level("a"), "course_a").join(level("b"), "course_b").filter("level_a > level_b")
+        .select(_cell_name("course_a", "area").alias("src"), part.alias("dst"), "score", F.col("n_pairs").cast(PAIRS).alias("n_pairs"))
     )
 
 
+def stored_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Stored edges (src, dst), as cycle_candidates and downward_pairs make them, between cells: (src, dst, row_dst).
+
+    Parts of a course are cut into cells where the edge no longer points downward; elsewhere they close no cycle by themselves.
+    """
+    ends = rows.select(
+        "src", F.col("dst").alias("row_dst"), F.from_json("dst", "course string, area string, same_area boolean").alias("to"),
+        F.from_json("src", "course string, area string").alias("from"))
+    whole = ends.filter(F.col("to.area").isNotNull()).select("src", F.col("row_dst").alias("dst"), "row_dst")
+    cell = cells.select(
+        F.col("course_id").cast("string").alias("course"), "area", _cell_name("course_id", "area").alias("dst"),
+        S.filter_level(_known("digit")).alias("level"))
+    course = cell.select("course", "level").distinct()
+    parts = (
+        ends.filter(F.col("to.same_area").isNotNull())
+        .join(course.select(F.col("course").alias("a"), F.col("level").alias("level_a")), F.col("from.course") == F.col("a"))
+        .join(course.select(F.col("course").alias("b"), F.col("level").alias("level_b")), F.col("to.course") == F.col("b"))
+        .filter("level_b >= level_a").join(cell.drop("level"), F.col("b") == F.col("course"))
+        .filter((F.col("area") == F.col("from.area")) == F.col("to.same_area")).select("src", "dst", "row_dst")
+    )
+    return whole.unionByName(parts)
+
+
+def upward_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cell edges (src, dst) that point to a higher level, as stored edges may after a course was renumbered."""
+    level = lambda end: cells.select(
+        _cell_name("course_id", "area").alias(end), S.filter_level(_known("digit")).alias(f"level_{end}"))
+    return edges.join(level("src"), "src").join(level("dst"), "dst").filter("level_dst > level_src").select("src", "dst")
+
+
+def block_paths(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edges (src, dst, score) that lead wherever the concept edges of `blocks` lead, through one hub a block.
+
+    A hub also joins the few pairs that a block leaves out (one course, declared pairs), so it may show a way too many, never
+    one too few. The number of edges grows with the cells, not with their pairs.
+    """
+    hub = F.to_json(F.struct("digit_a", "digit_b", F.when(F.col("same_area"), F.col("area")).alias("hub_area")))
+    hubs = blocks.select("digit_a", "digit_b", "area", "same_area", "score", hub.alias("hub"))
+    cell = cells.select("digit", F.col("area").alias("cell_area"), _cell_name("course_id", "area").alias("cell"))
+    into = hubs.join(cell, (F.col("digit") == F.col("digit_a")) & (F.col("cell_area") == F.col("area"))).select(
+        F.col("cell").alias("src"), F.col("hub").alias("dst"), "score")
+    inside = (F.col("digit") == F.col("digit_b")) & (~F.col("same_area") | (F.col("cell_area") == F.col("area")))
+    out = hubs.join(cell, inside).select(F.col("hub").alias("src"), F.col("cell").alias("dst"), "score")
+    return into.unionByName(out).groupBy("src", "dst").agg(F.max("score").alias("score"))
+
+
 def rejected_pairs(rejected: DataFrame, cells: DataFrame) -> DataFrame:
     """Rejected cell edges (src, dst) as (course_a, area, course_b, area_b,
     same_area, n_pairs); n_pairs counts the concept pairs that the edge stands for."""
@@ -350,11 +414,11 @@ def without_rejected(pairs: DataFrame, dropped: DataFrame) -> DataFrame:
     )
 
 
-def stored_cell_edges(stored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stored edges (from_id, to_id) between the cells of their concepts, as (src, dst)."""
-    name = lambda tag: F.to_json(F.struct(F.col("course_id").alias("course"), F.col("knowledge_area").alias("area"))).alias(tag)
-    side = lambda tag, end: nodes.select(F.col("concept_id").alias(end), name(tag)).distinct()
-    return stored.join(side("src", "from_id"), "from_id").join(side("dst", "to_id"), "to_id").select("src", "dst").distinct()
+def stored_by_cell(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored edges (from_id, to_id) with the cells (src, dst) of their concepts."""
+    side = lambda tag, end: nodes.select(
+        F.col("concept_id").alias(end), _cell_name("course_id", "knowledge_area").alias(tag)).distinct()
+    return stored.select("from_id", "to_id").join(side("src", "from_id"), "from_id").join(side("dst", "to_id"), "to_id")
 
 
 def ordering_contradictions(edges: DataFrame, declared: DataFrame) -> DataFrame:

@@ -166,6 +166,22 @@ class Tables:
             .agg((F.max("l_quantity") / F.lit(64.0)).alias("score"))
         )
 
+    def looped(self) -> DataFrame:
+        """(course_id, prereq_id): declared pairs with rings inside levels (lines of one order and level require each
+        other's first line) and some pairs that are declared both ways."""
+        declared = self.declared().select("course_id", "prereq_id")
+        flat = self.same_level_edges().select(F.col("src").alias("course_id"), F.col("dst").alias("prereq_id"))
+        turned = declared.filter((F.col("course_id") + F.col("prereq_id")) % 11 == 0).select(
+            F.col("prereq_id").alias("course_id"), F.col("course_id").alias("prereq_id"))
+        return declared.unionByName(flat).unionByName(turned).distinct()
+
+    def earlier_cells(self) -> DataFrame:
+        """(src, dst): edges that an earlier run left between the unaligned concepts of two courses of one level, many
+        of them against what is declared now."""
+        name = lambda course: F.to_json(F.struct(F.col(course).alias("course"), F.lit("").alias("area")))
+        return self.same_level_edges().filter((F.col("src") + F.col("dst")) % 3 == 0).select(
+            name("dst").alias("src"), name("src").alias("dst"))
+
     def dependency(self) -> DataFrame:
         """(from_id, to_id, from_course, to_course, confidence): stored concept
         edges, from a line to its order's first line one or two levels below."""

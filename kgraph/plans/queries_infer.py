@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from kgraph.functions import scores as S
@@ -9,9 +11,13 @@ from kgraph.operators import closure as C
 from kgraph.operators import cycles as Y
 from kgraph.operators import infer as I
 from kgraph.operators.ranking import confidence_stats as stats_of
+from kgraph.plans import runs
 from kgraph.plans.mapping import Tables
+from kgraph.plans.oracle import RECURSIVE
+from kgraph.plans.oracle import VIEWS as SHARED
 from kgraph.plans.oracle import with_views
-from kgraph.sources.staging import stage
+from kgraph.sources import tables as A
+from kgraph.sources.staging import new_folder, stage
 
 
 def _cells(t: Tables):
@@ -139,6 +145,46 @@ def break_cycles(spark, folder):
     return Y.break_cycles(Tables(spark, folder).same_level_edges())
 
 
+def _looped_run(t: Tables, graph: str | None, run_id: str):
+    return runs.infer_graph(t.concept(), t.course(), t.knowledge_unit("region"), t.looped(), run_id, graph=graph)
+
+
+def inferred_graph(spark, folder):
+    """The edge table after an earlier run's edges and two runs over declared pairs with rings and contradictions: its
+    edges inside one level, where cycles are possible, deleted ones included."""
+    t = Tables(spark, folder)
+    graph = new_folder(spark, "graph")
+    earlier = t.earlier_cells().select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.lit(0.0).alias("confidence"))
+    rows = A.inferred_edges(earlier, "concept_dependency", "earlier")
+    A.write_inferred_edges(rows, rows.limit(0), f"{graph}/edges")
+    for run_id in ("first", "second"):
+        _looped_run(t, graph, run_id)
+    flat = A.read_edges(spark, f"{graph}/edges").filter(F.get_json_object("to_id", "$.area").isNotNull())
+    return flat.select("from_id", "to_id", "confidence", "active")
+
+
+def rejection_summary(spark, folder):
+    """Counts of one run over declared pairs with rings and contradictions."""
+    summary = _looped_run(Tables(spark, folder), None, "run")["summary"]
+    counts = ["dependency_edges", "edges_rejected_cycle", "edges_rejected_ordering", "total_candidates"]
+    return _counts(summary, *counts).select(*counts, F.round("rejection_rate_pct", 6).alias("rejection_rate_pct"), "alarm")
+
+
+def looped_coverage(spark, folder):
+    """Per area what is left of the candidates once rejected edges are out."""
+    report = _looped_run(Tables(spark, folder), None, "run")["area_coverage"]
+    return _counts(report, "concept_count", "dependency_edge_count").select(
+        "knowledge_area", "concept_count", "dependency_edge_count", F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+def _over_looped(view: str) -> str:
+    """A view's SQL over the looped pairs instead of the declared ones."""
+    text = {**SHARED, **RECURSIVE, **VIEWS}[view]
+    for name in ("declared", "walk", "closure", "prior", "cellpair", "candidate"):
+        text = re.sub(rf"\b{name}\b(?! AS\b| numeric)", "looped" if name == "declared" else f"l{name}", text)
+    return text.replace("p.lprior", "p.prior").replace("AS lprior", "AS prior")
+
+
 VIEWS = {
     "cell": """SELECT c.source_course_id AS course_id, lvl AS digit, coalesce(k.knowledge_area, '') AS area, count(*) AS n
         FROM concept c JOIN course ON course.course_id = c.source_course_id
@@ -185,6 +231,31 @@ VIEWS = {
     "higher": """SELECT r AS low, dst AS node FROM flatrank
         UNION SELECT h.low, e.dst FROM higher h JOIN flatrank e ON e.src = h.node AND e.r > h.low""",
 }
+VIEWS["looped"] = """SELECT course_id, prereq_id FROM declared UNION SELECT src, dst FROM flatedge
+    UNION SELECT prereq_id, course_id FROM declared WHERE (course_id + prereq_id) % 11 = 0"""
+for _view in ("walk", "closure", "prior", "cellpair", "candidate", "block"):
+    VIEWS[f"l{_view}"] = _over_looped(_view)
+VIEWS |= {
+    "loopedge": """SELECT '{"course":' || course_a || ',"area":"' || c.area || '"}' AS src,
+        '{"course":' || course_b || ',"area":"' || b.area || '"}' AS dst, score, a.digit AS level_a, b.digit AS level_b,
+        a.n * b.n AS n_pairs FROM lcandidate c JOIN cell a ON a.course_id = c.course_a AND a.area = c.area
+        JOIN cell b ON b.course_id = c.course_b AND (b.area = c.area) = c.same_area WHERE NOT contradiction""",
+    "earlier": """SELECT DISTINCT '{"course":' || dst || ',"area":""}' AS src, '{"course":' || src || ',"area":""}' AS dst
+        FROM flatedge WHERE (src + dst) % 3 = 0""",
+    "newpool": "SELECT src, dst, score FROM loopedge WHERE level_a = level_b",
+    "oldpool": """SELECT src, dst, max(score) AS score FROM (SELECT * FROM newpool
+        UNION ALL SELECT src, dst, 0e0 FROM earlier) GROUP BY 1, 2""",
+}
+for _pool in ("new", "old"):
+    VIEWS |= {
+        # edges out of which nothing leads on, or into which nothing leads, close no cycle
+        f"{_pool}core": f"""SELECT * FROM {_pool}pool WHERE src IN (SELECT dst FROM {_pool}pool) AND dst IN (SELECT src FROM {_pool}pool)""",
+        f"{_pool}rank": f"SELECT *, row_number() OVER (ORDER BY score, src, dst) AS r FROM {_pool}core",
+        f"{_pool}higher": f"""SELECT r AS low, dst AS node FROM {_pool}rank
+            UNION SELECT h.low, e.dst FROM {_pool}higher h JOIN {_pool}rank e ON e.src = h.node AND e.r > h.low""",
+        f"{_pool}drop": f"""SELECT src, dst FROM {_pool}rank e
+            WHERE EXISTS (SELECT 1 FROM {_pool}higher h WHERE h.low = e.r AND h.node = e.src)""",
+    }
 V = lambda body: with_views(body, VIEWS)
 
 QUERIES = {
@@ -241,4 +312,23 @@ QUERIES = {
         JOIN flatwalk b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")),
     "break_cycles": (break_cycles, V("""SELECT src, dst, score FROM flatrank e
         WHERE EXISTS (SELECT 1 FROM higher h WHERE h.low = e.r AND h.node = e.src)""")),
+    "inferred_graph": (inferred_graph, V("""SELECT src AS from_id, dst AS to_id, least(1e0, score) AS confidence, TRUE AS active
+        FROM newpool e WHERE NOT EXISTS (SELECT 1 FROM olddrop d WHERE d.src = e.src AND d.dst = e.dst)
+        UNION ALL SELECT src, dst, 0e0, NOT EXISTS (SELECT 1 FROM olddrop d WHERE d.src = o.src AND d.dst = o.dst) FROM earlier o
+        WHERE NOT EXISTS (SELECT 1 FROM newpool e WHERE e.src = o.src AND e.dst = o.dst)
+        OR EXISTS (SELECT 1 FROM olddrop d WHERE d.src = o.src AND d.dst = o.dst)""")),
+    "rejection_summary": (rejection_summary, V("""SELECT (k + b - c) AS dependency_edges, c AS edges_rejected_cycle,
+        o AS edges_rejected_ordering, k + b + o AS total_candidates, round((c + o) / (k + b + o) * 100, 6) AS rejection_rate_pct,
+        (c + o) / (k + b + o) * 100 > 20 AS alarm FROM
+        (SELECT coalesce(sum(n_pairs) FILTER (WHERE NOT contradiction), 0)::DOUBLE AS k,
+            coalesce(sum(n_pairs) FILTER (WHERE contradiction), 0)::DOUBLE AS o FROM lcandidate),
+        (SELECT coalesce(sum(n_pairs), 0)::DOUBLE AS b FROM lblock),
+        (SELECT coalesce(sum(n_pairs), 0)::DOUBLE AS c FROM loopedge JOIN newdrop USING (src, dst))""")),
+    "looped_coverage": (looped_coverage, V("""SELECT area AS knowledge_area, sum(concepts)::DOUBLE AS concept_count,
+        sum(deps)::DOUBLE AS dependency_edge_count, round(CASE WHEN sum(deps) > 0 THEN sum(conf) / sum(deps) ELSE 0 END, 6) AS mean_confidence
+        FROM (SELECT area, sum(n) AS concepts, 0 AS deps, 0e0 AS conf FROM cell GROUP BY 1
+        UNION ALL SELECT area, 0, n_pairs, least(1e0, score) * n_pairs FROM lcandidate WHERE NOT contradiction
+        UNION ALL SELECT area, 0, n_pairs, least(1e0, score) * n_pairs FROM lblock
+        UNION ALL SELECT src::JSON ->> 'area', 0, -n_pairs, -least(1e0, score) * n_pairs FROM loopedge JOIN newdrop USING (src, dst))
+        WHERE area <> '' GROUP BY 1""")),
 }

@@ -6,6 +6,8 @@ returns the written tables. With `out=None` nothing is stored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,25 +155,38 @@ def extract_concepts(courses: DataFrame, payloads: DataFrame, vectors: DataFrame
 
 def infer_graph(concepts: DataFrame, courses: DataFrame, units: DataFrame, declared: DataFrame,
                 run_id: str = "run", min_score: float = K.MIN_DEPENDENCY_SCORE, out: str | None = None,
-                stored: DataFrame | None = None) -> dict[str, DataFrame]:
+                stored: DataFrame | None = None, graph: str | None = None) -> dict[str, DataFrame]:
     """Dependency pairs and blocks, similarity profile, rejections and reports.
 
     `concepts` is (concept_id, source_course_id, knowledge_unit_id,
-    alignment_status, confidence), `stored` the dependency edges (from_id, to_id)
-    of earlier runs, which new edges must not close a cycle with. Pairs, coverage
-    and summary hold what is left once the rejected edges are out; `dropped` names
-    these by course and area for the expansion to concepts. `out=None` is a dry run.
+    alignment_status, confidence). Edges of earlier runs are given as concept edges `stored` (from_id, to_id), or lie
+    in the edge table under `graph`, which this run then updates: what it accepts is written, what it expires is deleted,
+    what it rejects is appended. A stored edge counts with score 0, so it goes first where it closes a cycle; `expired` names
+    such edges, and stored edges without them and new ones have no cycle. Pairs, coverage and summary hold
+    what is left once the rejected edges are out; `dropped` names these by course and area for the expansion to
+    concepts. `out=None` and `graph=None` is a dry run.
     """
+    spark = concepts.sparkSession
     declared = stage(I.declared_pairs(declared), "declared")
     nodes = stage(I.concept_nodes(concepts, courses, units), "nodes")
     cells = stage(I.course_cells(nodes), "cells")
     prior = stage(I.prerequisite_prior(declared), "prior")
     found = stage(I.dependency_pairs(cells, prior, declared, min_score), "pairs")
     blocks = stage(I.dependency_blocks(cells, prior, declared, min_score), "blocks")
-    candidates = stage(I.cycle_candidates(found, cells), "cycle-candidates")
-    _, cyclic = Y.resolve_cycles(candidates, None if stored is None else I.stored_cell_edges(stored, nodes))
-    # a stored edge may be rejected too, but only candidates are part of the pairs
-    new = cyclic.join(candidates.select("src", "dst"), ["src", "dst"], "left_semi")
+    flat = stage(I.cycle_candidates(found, cells), "cycle-candidates")
+    of_concepts = None if stored is None else stage(I.stored_by_cell(stored, nodes), "stored")
+    in_table = A.read_edges(spark, f"{graph}/edges") if graph else None
+    of_table = None if in_table is None else stage(I.stored_cells(A.stored_dependencies(in_table), cells), "stored-cells")
+    old = [t.select("src", "dst") for t in (of_concepts, of_table) if t is not None]
+    old = stage(reduce(DataFrame.unionByName, old).distinct(), "old-edges") if old else None
+    candidates, edges = flat.select("src", "dst", "score"), flat
+    if old is not None and not I.upward_edges(old, cells).isEmpty():
+        # with a way up, edges between levels can close a cycle as well
+        edges = stage(I.cell_edges(found, cells), "cell-edges")
+        candidates = edges.select("src", "dst", "score").unionByName(I.block_paths(cells, blocks))
+    _, cyclic = Y.resolve_cycles(candidates, old)
+    new = cyclic.join(edges.select("src", "dst"), ["src", "dst"], "left_semi")
+    gone = stage(cyclic.select("src", "dst").join(old, ["src", "dst"], "left_semi") if old is not None else cyclic.select("src", "dst").limit(0), "gone")
     dropped = stage(I.rejected_pairs(new, cells), "dropped")
     pairs = stage(I.without_rejected(found, dropped), "kept-pairs")
     members = (
@@ -186,15 +201,34 @@ def infer_graph(concepts: DataFrame, courses: DataFrame, units: DataFrame, decla
         end("course_a", "area").alias("src"), F.col("course_b").cast("string").alias("dst"), "score",
         F.lit("prerequisite_ordering_contradiction").alias("reason"),
     )
+    # a stored edge that is no candidate any more counts as rejected too, with all its pairs or, a concept edge, as one
+    only_old = gone.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    lost = dropped.select("n_pairs")
+    if of_table is not None:
+        lost = lost.unionByName(I.rejected_pairs(of_table.join(only_old, ["src", "dst"], "left_semi").select("src", "dst").distinct(), cells).select("n_pairs"))
+    if of_concepts is not None:
+        lost = lost.unionByName(of_concepts.join(only_old, ["src", "dst"], "left_semi").select(F.lit(1).cast(I.PAIRS).alias("n_pairs")))
+    expired = gone if of_concepts is None else of_concepts.join(gone, ["src", "dst"], "left_semi")
+    kept_flat = flat.join(new.select("src", "dst"), ["src", "dst"], "left_anti")
     results = {
         "dependency_pairs": pairs.filter("not contradiction").drop("contradiction"), "dependency_blocks": blocks,
-        "dropped": dropped,
+        "dropped": dropped, "edges": kept_flat.unionByName(I.downward_pairs(found, cells)), "expired": expired,
         "similarity_counts": counts, "similarity_profile": profile,
         "rejected": ordering.unionByName(cyclic).withColumn("run_id", F.lit(run_id)),
         "area_coverage": I.area_coverage(cells, pairs, blocks, by_area),
-        "summary": I.inference_summary(pairs, blocks, profile, counts, dropped),
+        "summary": I.inference_summary(pairs, blocks, profile, counts, lost),
     }
-    return _stored(results, out)
+    results = _stored(results, out)
+    if graph:
+        kind = "concept_dependency"
+        ended = gone if of_table is None else gone.unionByName(
+            of_table.join(gone, ["src", "dst"], "left_semi").select("src", F.col("row_dst").alias("dst"))).distinct()
+        named = lambda rows, score: rows.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), score.alias("confidence"))
+        A.write_inferred_edges(
+            A.inferred_edges(named(results["edges"], F.least(F.lit(1.0), F.col("score"))), kind, run_id),
+            A.inferred_edges(named(ended, F.lit(0.0)), kind, run_id, active=False), f"{graph}/edges")
+        A.append_rejected_edges(results["rejected"].drop("run_id"), run_id, f"{graph}/rejected")
+    return results
 
 
 # --- evaluate ---------------------------------------------------------------

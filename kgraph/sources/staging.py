@@ -26,10 +26,15 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/kgraph/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the staging folder that nothing uses yet."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the staging folder and return the written table."""
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

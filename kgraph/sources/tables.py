@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgraph import constants as K
 from kgraph.operators import validate as V
+from kgraph.sources.staging import stage
 
 PROVENANCE = "struct<source_url:string,retrieved_at:timestamp,adapter_name:string,adapter_version:string,source_revision:string>"
 RULE = "struct<rule_id:string,verbatim_text:string,machine_checkable:boolean,structured:string>"
@@ -234,11 +235,50 @@ def connected_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
-def write_inferred_edges(edges: DataFrame, concepts: DataFrame, path: str, stored: DataFrame | None = None) -> None:
-    """Connected edges, written over the stored ones by edge id, by type."""
-    fresh = connected_edges(edges, concepts)
-    whole = fresh if stored is None else upsert(stored, fresh, ["edge_id"])
-    whole.write.mode("errorifexists").partitionBy("relationship_type").parquet(path)
+#: Partitions of the edge table below each relationship type.
+EDGE_BUCKETS = 64
+EDGE = ["edge_id", "from_id", "to_id", "confidence", "model_id", "run_id", "active", "relationship_type", "bucket"]
+
+
+def inferred_edges(edges: DataFrame, kind: str, run_id: str, model_id: str = "structural", active: bool = True) -> DataFrame:
+    """(from_id, to_id, confidence) as rows of the edge table.
+
+    An edge's id is a hash of its type and ends, so every run names an edge alike and an upsert finds it again.
+    """
+    ident = F.sha2(F.concat_ws("|", F.lit(kind), "from_id", "to_id"), 256)
+    return edges.select(
+        ident.alias("edge_id"), "from_id", "to_id", F.col("confidence").cast("double").alias("confidence"),
+        F.lit(model_id).alias("model_id"), F.lit(run_id).alias("run_id"), F.lit(active).alias("active"),
+        F.lit(kind).alias("relationship_type"), F.pmod(F.crc32(ident), F.lit(EDGE_BUCKETS)).cast("int").alias("bucket"))
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of the edge table, deleted ones included; None where there is no table yet."""
+    return spark.read.parquet(path).select(*EDGE) if exists(spark, path) else None
+
+
+def write_inferred_edges(written: DataFrame, expired: DataFrame, path: str) -> None:
+    """Upsert `written` and delete `expired` (both rows of the edge table) by edge id.
+
+    Only partitions (type, bucket) that either names are read and overwritten; the others stay as they are. What such a partition will
+    hold is written to the shared folder first, so a run that breaks off is repeated from there or from the
+    start with the same result. A deleted edge stays as a row that is not active, since
+    overwriting by partition cannot leave a partition empty.
+    """
+    spark = written.sparkSession
+    delta = stage(written.select(*EDGE).withColumn("active", F.lit(True)).unionByName(
+        expired.select(*EDGE).withColumn("active", F.lit(False))), "edge-delta")
+    fresh = delta.groupBy("edge_id").agg(F.max_by(F.struct(*EDGE[1:]), F.struct(~F.col("active"), "confidence")).alias("r"))
+    fresh = fresh.select("edge_id", "r.*")
+    old = read_edges(spark, path)
+    if old is not None:
+        # at most one row for each type and bucket
+        touched = delta.select("relationship_type", "bucket").distinct()
+        kept = old.join(F.broadcast(touched), ["relationship_type", "bucket"], "left_semi").join(
+            delta.select("edge_id").distinct(), "edge_id", "left_anti")
+        fresh = kept.select(*EDGE).unionByName(fresh.select(*EDGE))
+    stage(fresh.select(*EDGE), "edge-partitions").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "relationship_type", "bucket").parquet(path)
 
 
 def append_rejected_edges(rejected: DataFrame, run_id: str, path: str) -> None:
@@ -247,7 +287,7 @@ def append_rejected_edges(rejected: DataFrame, run_id: str, path: str) -> None:
 
 def stored_dependencies(edges: DataFrame) -> DataFrame:
     """(src, dst) of stored dependency edges, the seed of the cycle check."""
-    return edges.filter(F.col("relationship_type") == "concept_dependency").select(
+    return edges.filter((F.col("relationship_type") == "concept_dependency") & F.col("active")).select(
         F.col("from_id").alias("src"), F.col("to_id").alias("dst")
     )
 

@@ -112,6 +112,71 @@ def test_inferred_graph_has_no_cycle(spark, rows):
         F.col("course_a").alias("src"), F.col("course_b").alias("dst"), "score"))
 
 
+def small_graph(spark, levels):
+    courses = spark.createDataFrame(list(levels.items()), "course_id string, course_number string")
+    units = spark.createDataFrame([("k", "one", "X", "core")], "ku_id string, label string, knowledge_area string, tier string")
+    concepts = spark.createDataFrame([(f"{c}{i}", c, "k", "aligned", 0.9) for c in levels for i in (1, 2)], (
+        "concept_id string, source_course_id string, knowledge_unit_id string, alignment_status string, confidence double"))
+    return concepts, courses, units
+
+
+def test_stored_edge_that_closes_a_cycle_is_expired(spark, rows):
+    """A stored edge against a declared pair of one level goes; one that points upward goes once a way leads down."""
+    inputs = small_graph(spark, {"A": "20000", "B": "20000", "L": "10000"})
+    declared = spark.createDataFrame([("A", "B"), ("B", "L")], "course_id string, prereq_id string")
+    earlier = spark.createDataFrame([("B1", "A1"), ("L1", "A2"), ("A1", "B2")], "from_id string, to_id string")
+    found = runs.infer_graph(*inputs, declared, min_score=0.5, stored=earlier)
+    assert rows(found["expired"], "from_id", "to_id") == [("B1", "A1"), ("L1", "A2")]
+    assert found["summary"].first()["edges_rejected_cycle"] == 2 and found["dropped"].isEmpty()
+    assert found["rejected"].filter("reason = 'cycle_prevention'").count() == 2
+    assert found["dependency_pairs"].agg(F.sum("n_pairs")).first()[0] == 8  # A to B and B to L
+
+
+def test_two_runs_leave_one_acyclic_table(spark, rows, tmp_path):
+    from kgraph.operators import cycles as Y
+    from kgraph.sources import tables as A
+
+    graph = str(tmp_path / "graph")
+    inputs = small_graph(spark, {"A": "20000", "B": "20000", "C": "20000", "L": "10000"})
+    declared = lambda *pairs: spark.createDataFrame(pairs, "course_id string, prereq_id string")
+    runs.infer_graph(*inputs, declared(("A", "B"), ("B", "C"), ("C", "L")), "r1", 0.5, graph=graph)
+    first = {r["edge_id"]: r for r in A.read_edges(spark, f"{graph}/edges").collect()}
+    assert len(first) == 3 and all(r["active"] and r["run_id"] == "r1" for r in first.values())
+    # now C requires A: a ring with what is stored
+    second = runs.infer_graph(*inputs, declared(("C", "A"), ("C", "L"), ("B", "C")), "r2", 0.5, graph=graph)
+    table = A.read_edges(spark, f"{graph}/edges")
+    assert {r["edge_id"] for r in table.collect()} >= set(first)
+    active = A.stored_dependencies(table)
+    assert not Y.has_cycle(active)
+    name = lambda c: '{"course":"%s","area":"X"}' % c
+    gone = rows(table.filter("not active"), "from_id", "to_id")
+    assert gone == [(name("A"), name("B"))]
+    assert second["summary"].first()["edges_rejected_cycle"] == 4
+    assert rows(spark.read.parquet(f"{graph}/rejected").filter("reason = 'cycle_prevention'"), "src", "dst", "run_id") == [
+        (name("A"), name("B"), "r2")]
+    # the same run once more changes nothing
+    before = sorted(table.collect())
+    runs.infer_graph(*inputs, declared(("C", "A"), ("C", "L"), ("B", "C")), "r2", 0.5, graph=graph)
+    assert sorted(A.read_edges(spark, f"{graph}/edges").collect()) == before
+
+
+def test_only_named_partitions_are_written_again(spark, tmp_path):
+    from kgraph.sources import tables as A
+
+    path = str(tmp_path / "edges")
+    edges = lambda pairs, run: A.inferred_edges(
+        spark.createDataFrame(pairs, "from_id string, to_id string, confidence double"), "concept_dependency", run)
+    none = edges([], "none")
+    A.write_inferred_edges(edges([(f"a{i}", "b", 0.5) for i in range(200)], "r1"), none, path)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.glob("edges/**/*.parquet")}
+    A.write_inferred_edges(edges([("a3", "b", 0.9), ("new", "b", 0.6)], "r2"), edges([("a4", "b", 0.0)], "r2"), path)
+    kept = {p for p, at in files.items() if p.exists() and p.stat().st_mtime_ns == at}
+    assert len(files) - len(kept) <= 3
+    table = {r["from_id"]: r for r in A.read_edges(spark, path).collect()}
+    assert len(table) == 201 and (table["a3"]["confidence"], table["a3"]["run_id"]) == (0.9, "r2")
+    assert [k for k, r in table.items() if not r["active"]] == ["a4"] and table["a5"]["run_id"] == "r1"
+
+
 def test_spine_keeps_landing_order_and_one_page_per_course(spark):
     item = lambda n, title: json.dumps({"value": [{"Id": n, "Number": "25200", "Title": title, "CreditHours": 3}]})
     payloads = spark.createDataFrame([(1, item("9", "first")), (2, item("10", "second"))], "seq int, payload string")
