@@ -64,6 +64,7 @@ STATUS_NO_CONCEPTS = (
     "Could not resolve your interest to any known concepts. "
     "Try rephrasing with more specific technical terms."
 )
+STATUS_COURSE_NOT_FOUND = "No course '%s' is present in the catalogue graph."
 STATUS_NO_COURSES = (
     "No courses with concepts aligned to your interest were found. "
     "Try related terms."

@@ -114,5 +114,5 @@ def f1(precision, recall) -> Column:
 
 
 def seeded_order(key, seed: int) -> Column:
-    """A repeatable shuffle key that does not depend on partitioning."""
-    return F.xxhash64(_col(key), F.lit(seed))
+    """A repeatable shuffle key that depends neither on partitioning nor on the engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), _col(key).cast("string")).cast("binary"))

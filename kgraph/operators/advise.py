@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from kgraph import constants as K
 from kgraph.functions import scores as S
-from kgraph.sources.staging import broadcast_if_small
+from kgraph.operators.closure import bounded_closure
+from kgraph.sources.staging import broadcast_if_small, stage
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -413,6 +414,68 @@ def overlap(requests: DataFrame, completed: DataFrame, aligned: DataFrame, cours
     )
 
 
+# --- requests for single courses --------------------------------------------
+
+def _requested(requests: DataFrame, courses: DataFrame, declared: DataFrame) -> DataFrame:
+    """(course_id, status, status_message), one row per requested course."""
+    asked = course_exists(requests.select("course_id").distinct(), courses, declared)
+    message = F.format_string(K.STATUS_COURSE_NOT_FOUND, F.col("course_id").cast("string"))
+    return asked.withColumn("status_message", F.when(F.col("status") == "course_not_found", message).otherwise(F.lit("")))
+
+
+def requested_unlocks(requests: DataFrame, declared: DataFrame) -> DataFrame:
+    """(course_id, unlocks) for the requested courses: whatever requires them, directly or not.
+
+    The walk starts at the requests, so its size follows them and not the whole catalogue.
+    """
+    up = declared.select(F.col("prereq_id").alias("src"), F.col("course_id").alias("dst"))
+    asked = requests.select("course_id").distinct().select(F.col("course_id").alias("src"), F.col("course_id").alias("at"))
+    return bounded_closure(up, seeds=asked).filter("src <> dst").select(
+        F.col("src").alias("course_id"), F.col("dst").alias("unlocks"))
+
+
+def unlock_requests(requests: DataFrame, courses: DataFrame, declared: DataFrame) -> DataFrame:
+    """(course_id, status, status_message, unlocks, title): every requested course has a row, with `unlocks` null where it
+    opens up nothing or is not known. Stubs have title ''."""
+    titles = courses.select(F.col("course_id").alias("unlocks"), "title")
+    opened = requested_unlocks(requests, declared).join(titles, "unlocks", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    return _requested(requests, courses, declared).join(opened, "course_id", "left").select(
+        "course_id", "status", "status_message", "unlocks", "title")
+
+
+def course_details(requests: DataFrame, courses: DataFrame, aligned: DataFrame, units: DataFrame,
+                   declared: DataFrame) -> DataFrame:
+    """Everything known about each requested course, one row per fact (see course_detail).
+
+    A row of section `course` carries status, number, subject, level, title (label) and description (note), also for
+    courses without any fact, for stubs (all '') and for unknown courses.
+    """
+    asked = stage(_requested(requests, courses, declared), "requested")
+    wanted = asked.filter("status = 'ok'").select("course_id")
+    only = lambda rows: rows.join(wanted, "course_id", "left_semi")
+    facts = course_detail(courses, only(aligned), units, only(declared), requested_unlocks(wanted, declared))
+    text = lambda name: F.coalesce(name, F.lit(""))
+    of_course = asked.join(courses, "course_id", "left").select(
+        "course_id", "status", "status_message", F.lit("course").alias("section"), F.col("course_id").cast("string").alias("item_id"),
+        text("title").alias("label"), text("description").alias("note"), F.lit(None).cast("double").alias("confidence"),
+        *[text(c).alias(c) for c in ("course_number", "subject_code", "level")])
+    none = {c: F.lit(None).cast("string") for c in ("course_number", "subject_code", "level")}
+    return of_course.unionByName(facts.withColumns({"status": F.lit("ok"), "status_message": F.lit(""), **none}))
+
+
+def overlap_details(requests: DataFrame, completed: DataFrame, aligned: DataFrame, units: DataFrame, courses: DataFrame,
+                    declared: DataFrame | None = None) -> DataFrame:
+    """Matched and missing units of every request with label and area, one row each; a request for an unknown course
+    or one without units has a single row without unit."""
+    named = overlap_units(requests, completed, aligned).join(
+        units.select("ku_id", F.coalesce("label", F.lit("")).alias("ku_label"), F.coalesce("knowledge_area", F.lit("")).alias("knowledge_area")),
+        "ku_id")
+    checked = course_exists(requests.select("student_id", "course_id").distinct(), courses, declared)
+    return checked.join(named, ["student_id", "course_id"], "left").select(
+        "student_id", "course_id", "status", "ku_id", "ku_label", "knowledge_area",
+        F.round("max_confidence", 3).alias("confidence"), "matched")
+
+
 def discover_status(queries: DataFrame, query_ku: DataFrame, matches: DataFrame) -> DataFrame:
     """ok, no_concepts_resolved or no_courses_found for every query."""
     resolved = query_ku.select("query_id").distinct().withColumn("resolved", F.lit(True))

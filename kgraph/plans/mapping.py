@@ -244,6 +244,18 @@ class Tables:
         """(student_id, course_id): parts a customer bought, flagged N."""
         return self._bought(F.col("l_returnflag") == "N")
 
+    def course_requests(self) -> DataFrame:
+        """(course_id): the first parts of orders flagged A, and courses that no catalogue has."""
+        asked = self.read("lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_partkey").alias("course_id"))
+        unknown = self.read("part").filter("p_partkey % 50 = 0").select((F.col("p_partkey") + 10_000_000).alias("course_id"))
+        return asked.unionByName(unknown).distinct()
+
+    def student_requests(self) -> DataFrame:
+        """(student_id, course_id): targets, and a course that no catalogue has for one customer in twenty."""
+        unknown = self.read("customer").filter("c_custkey % 20 = 0").select(
+            F.col("c_custkey").alias("student_id"), (F.col("c_custkey") + 10_000_000).alias("course_id"))
+        return self.targets().unionByName(unknown)
+
     def vector_concept(self) -> DataFrame:
         """(concept_id, course_id, course_number, label, vector): five vectors
         make a course."""

@@ -143,6 +143,26 @@ def overlap_units(spark, folder):
     return A.overlap_units(t.targets(), t.completed(), t.aligned_concept())
 
 
+def unlock_requests(spark, folder):
+    t = Tables(spark, folder)
+    return A.unlock_requests(t.course_requests(), t.course(), t.declared())
+
+
+def course_details(spark, folder):
+    t = Tables(spark, folder)
+    return A.course_details(t.course_requests(), t.course(), t.aligned_concept(), t.knowledge_unit(), t.declared())
+
+
+def readiness_requests(spark, folder):
+    t = Tables(spark, folder)
+    return A.readiness(t.student_requests(), t.completed(), t.declared(), t.course())
+
+
+def overlap_details(spark, folder):
+    t = Tables(spark, folder)
+    return A.overlap_details(t.student_requests(), t.completed(), t.aligned_concept(), t.knowledge_unit(), t.course())
+
+
 def status_branch(spark, folder):
     t = Tables(spark, folder)
     queries = t.read("nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"))
@@ -180,6 +200,16 @@ UNLOCK_VIEWS = {
     "climb": """SELECT prereq_id AS course_id, course_id AS unlocks FROM declared
         UNION SELECT c.course_id, d.course_id FROM climb c JOIN declared d ON d.prereq_id = c.unlocks""",
 }
+REQUEST_VIEWS = {
+    **UNLOCK_VIEWS,
+    "asked": """SELECT DISTINCT l_partkey AS course_id FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1
+        UNION SELECT p_partkey + 10000000 FROM part WHERE p_partkey % 50 = 0""",
+    "answered": """SELECT course_id, CASE WHEN course_id IN (SELECT course_id FROM course) THEN 'ok' ELSE 'course_not_found' END AS status,
+        CASE WHEN course_id IN (SELECT course_id FROM course) THEN ''
+        ELSE 'No course ' || chr(39) || course_id || chr(39) || ' is present in the catalogue graph.' END AS status_message FROM asked""",
+    "askedby": """SELECT student_id, course_id, 'ok' AS status FROM targets
+        UNION ALL SELECT c_custkey, c_custkey + 10000000, 'course_not_found' FROM customer WHERE c_custkey % 20 = 0""",
+}
 OVERLAP_VIEWS = {
     "unitof": "SELECT course_id, ku_id, max(confidence) AS max_confidence FROM aligned GROUP BY 1, 2",
     "overlapped": """SELECT t.student_id, t.course_id, u.ku_id, u.max_confidence,
@@ -253,4 +283,27 @@ QUERIES = {
         WHEN n_nationkey NOT IN (SELECT i.query_id FROM interest i JOIN aligned a ON a.ku_id = i.ku_id
         JOIN course c ON c.course_id = a.course_id WHERE c.level = 'graduate' AND a.confidence >= 0.77)
         THEN 'no_courses_found' ELSE 'ok' END AS status FROM nation""")),
+    "unlock_requests": (unlock_requests, V("""SELECT a.course_id, status, status_message, x.unlocks, c.title FROM answered a
+        LEFT JOIN (SELECT * FROM climb WHERE course_id <> unlocks) x ON x.course_id = a.course_id
+        LEFT JOIN course c ON c.course_id = x.unlocks""", REQUEST_VIEWS)),
+    "course_details": (course_details, V("""SELECT a.course_id, status, status_message, 'course' AS section,
+        a.course_id::VARCHAR AS item_id, coalesce(title, '') AS label, coalesce(description, '') AS note, NULL::DOUBLE AS confidence,
+        coalesce(course_number, '') AS course_number, coalesce(subject_code, '') AS subject_code, coalesce(level, '') AS level
+        FROM answered a LEFT JOIN course c ON c.course_id = a.course_id
+        UNION ALL SELECT a.course_id, 'ok', '', 'concept', a.ku_id::VARCHAR, ku.label, ku.knowledge_area, round(avg(a.confidence), 3),
+        NULL, NULL, NULL FROM aligned a JOIN ku ON ku.ku_id = a.ku_id WHERE a.course_id IN (SELECT course_id FROM asked)
+        GROUP BY a.course_id, a.ku_id, ku.label, ku.knowledge_area
+        UNION ALL SELECT d.course_id, 'ok', '', 'prerequisite', d.prereq_id::VARCHAR, c.title, d.verbatim, NULL, NULL, NULL, NULL
+        FROM declared d JOIN course c ON c.course_id = d.prereq_id WHERE d.course_id IN (SELECT course_id FROM asked)
+        UNION ALL SELECT x.course_id, 'ok', '', 'unlock', x.unlocks::VARCHAR, c.title, '', NULL, NULL, NULL, NULL
+        FROM climb x JOIN course c ON c.course_id = x.unlocks
+        WHERE x.course_id <> x.unlocks AND x.course_id IN (SELECT course_id FROM asked)""", REQUEST_VIEWS)),
+    "readiness_requests": (readiness_requests, V("""SELECT t.student_id, t.course_id, count(u.prereq_id) AS n_unmet,
+        count(u.prereq_id) = 0 AND t.status = 'ok' AS ready, t.status FROM askedby t
+        LEFT JOIN unmet u ON u.student_id = t.student_id AND u.course_id = t.course_id GROUP BY t.student_id, t.course_id, t.status""",
+        {**REQUEST_VIEWS, **OVERLAP_VIEWS})),
+    "overlap_details": (overlap_details, V("""SELECT t.student_id, t.course_id, t.status, o.ku_id, ku.label AS ku_label,
+        ku.knowledge_area, round(o.max_confidence, 3) AS confidence, o.matched FROM askedby t
+        LEFT JOIN overlapped o ON o.student_id = t.student_id AND o.course_id = t.course_id
+        LEFT JOIN ku ON ku.ku_id = o.ku_id""", {**REQUEST_VIEWS, **OVERLAP_VIEWS})),
 }

@@ -247,13 +247,18 @@ def skip_existing(spark, folder):
 
 
 def fingerprint_counts(spark, folder):
-    """Tables written as a snapshot, and whether they still match their manifest."""
+    """Tables written as a snapshot with their fingerprints, and whether they still match their manifest; of one
+    course in a hundred the title is changed afterwards, in a copy."""
     t = Tables(spark, folder)
     root, name = f"{staging_root(spark)}/kgraph", f"snapshot-{uuid.uuid4().hex}"
     A.create_snapshot({"courses": t.course(), "units": t.knowledge_unit(), "edges": t.declared()}, root, name)
     kept = spark.read.parquet(f"{root}/{name}/_manifest")
-    again = A.manifest({n: A.resolve_snapshot(spark, root, name, n) for n in ("courses", "units", "edges")})
-    return kept.join(A.compare_manifests(kept, again), "name").select("name", "records", "matches")
+    found = {n: A.resolve_snapshot(spark, root, name, n) for n in ("courses", "units", "edges")}
+    same = kept.join(A.compare_manifests(kept, A.manifest(found)), "name")
+    title = F.when(F.col("course_id") % 100 == 0, F.upper("title")).otherwise(F.col("title"))
+    changed = A.manifest({**found, "courses": found["courses"].withColumn("title", title)})
+    differs = changed.join(A.compare_manifests(kept, changed), "name").withColumn("name", F.concat("name", F.lit(", changed")))
+    return same.unionByName(differs).withColumn("total", F.col("total").cast("bigint"))
 
 
 def vocabulary_counts(spark, folder):
@@ -344,6 +349,21 @@ V = lambda body: with_views(body, VIEWS)
 _GUARD = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{p}'" for p in GUARD_WORDS)
 _DEFAULT_GUARD = "|".join(f"(?:{p})" for p in G.K.GUARD_PATTERNS)
 
+def _sql_fingerprint(name: str, columns: str, source: str, matches: bool) -> str:
+    text = " || chr(31) || ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in sorted(columns.split()))
+    return f"""SELECT '{name}' AS name, count(*) AS records, bit_xor(h) AS mix, sum(h % 1000003)::BIGINT AS total, {matches} AS matches
+        FROM (SELECT ('0x' || substr(md5({text}), 1, 15))::BIGINT AS h FROM {source})"""
+
+
+_SNAPSHOT = [
+    ("courses", "course_id course_number description level subject_code title", "course"),
+    ("units", "knowledge_area ku_id label tier", "ku"), ("edges", "course_id prereq_id verbatim", "declared"),
+]
+_CHANGED = "(SELECT * REPLACE (CASE WHEN course_id % 100 = 0 THEN upper(title) ELSE title END AS title) FROM course)"
+_FINGERPRINTS = " UNION ALL ".join(
+    [_sql_fingerprint(n, c, source, True) for n, c, source in _SNAPSHOT]
+    + [_sql_fingerprint(f"{n}, changed", c, _CHANGED if n == "courses" else source, n != "courses") for n, c, source in _SNAPSHOT])
+
 QUERIES = {
     "course_blocks": (course_blocks, V("SELECT url, prefix, number, title, credits, description FROM blockrow")),
     "ordered_refs": (prose_refs, V("""SELECT prefix || '-' || number AS course_id, number AS course_number,
@@ -427,8 +447,7 @@ QUERIES = {
     "skip_existing": (skip_existing, """SELECT DISTINCT l_partkey AS course_id, l_suppkey AS label FROM lineitem l
         WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey
         AND r.l_suppkey = l.l_suppkey)"""),
-    "fingerprint_counts": (fingerprint_counts, with_views("""SELECT 'courses' AS name, count(*) AS records, TRUE AS matches FROM part
-        UNION ALL SELECT 'units', count(*), TRUE FROM ku UNION ALL SELECT 'edges', count(*), TRUE FROM declared""")),
+    "fingerprint_counts": (fingerprint_counts, with_views(_FINGERPRINTS)),
     "vocabulary_counts": (vocabulary_counts, with_views("""SELECT count(DISTINCT knowledge_area) AS knowledge_area_count,
         count(*) AS knowledge_unit_count FROM ku""")),
     "named_units": (named_units, with_views("""SELECT knowledge_area, CASE WHEN n_regionkey < 3 THEN 'Area of ' || n_name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgraph import constants as K
 from kgraph.operators import evaluate as E
 from kgraph.operators import infer as I
 from kgraph.plans.mapping import Tables
@@ -56,6 +57,15 @@ def prf_bands(spark, folder):
     )
 
 
+def prf_held_out(spark, folder):
+    """Recovery of the test part of the split; pairs of the train part are neither hits nor misses."""
+    t = Tables(spark, folder)
+    declared = stage(t.declared(), "declared")
+    test = stage(E.held_out_split(declared).filter("part = 'test'"), "test")
+    return E.prf(_reach(t, E.ALL_BANDS), test, declared, list(E.ALL_BANDS)).select(
+        "band", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def prf_all(spark, folder):
     t = Tables(spark, folder)
     declared = stage(t.declared(), "declared")
@@ -229,6 +239,31 @@ VIEWS = {
         CASE WHEN toxic = 1 THEN 'incorrect' WHEN quality = 1 THEN 'correct' ELSE 'plausible_but_wrong' END AS label,
         least(1e0, n_chars / 4096e0) AS confidence FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
 }
+_SHUFFLE = lambda key, seed=K.RANDOM_SEED: f"md5('{seed}|' || {key})"
+_SAMPLE = lambda source, size: f"""SELECT * FROM (SELECT * FROM {source}
+    QUALIFY row_number() OVER (PARTITION BY knowledge_area ORDER BY {_SHUFFLE('item_id')}, item_id)
+    <= greatest(1, {size} // (SELECT count(DISTINCT knowledge_area) FROM {source})))
+    ORDER BY {_SHUFFLE('item_id')}, item_id LIMIT {size}"""
+_ENDS = """a.title AS concept_a_label, a.course_id AS concept_a_course, b.title AS concept_b_label, b.course_id AS concept_b_course,
+    a.subject_code AS knowledge_area"""
+VIEWS |= {
+    "split": f"""SELECT key, course_id, prereq_id,
+        CASE WHEN row_number() OVER (ORDER BY {_SHUFFLE('key')}, key, course_id, prereq_id)
+        > count(*) OVER () - floor(count(*) OVER () * {K.HELD_OUT_FRACTION}e0) THEN 'test' ELSE 'train' END AS part
+        FROM (SELECT course_id || '->' || prereq_id AS key, course_id, prereq_id FROM declared)""",
+    "heldcount": """SELECT c.band, (SELECT count(*) FROM reached r JOIN split s ON s.course_id = r.course_x AND s.prereq_id = r.course_y
+        WHERE r.band = c.band AND part = 'test') AS tp, fp FROM bandcount c""",
+    "heldquality": """SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision,
+        CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall
+        FROM (SELECT *, (SELECT count(*) FROM split WHERE part = 'test') - tp AS fn FROM heldcount)""",
+    "judgedsample": _SAMPLE("judged", 100),
+    "noveledge": f"""SELECT from_id || '->' || to_id AS item_id, {_ENDS} FROM classed e JOIN course a ON a.course_id = e.from_course
+        JOIN course b ON b.course_id = e.to_course WHERE edge_class = 'novel'""",
+    "novelsample": _SAMPLE("noveledge", 200),
+    "distractor": f"""SELECT * FROM (SELECT d.prereq_id || '->' || d.course_id AS item_id, {_ENDS} FROM declared d
+        JOIN course a ON a.course_id = d.prereq_id JOIN course b ON b.course_id = d.course_id)
+        ORDER BY {_SHUFFLE('item_id')}, item_id LIMIT (SELECT CAST(floor(count(*) * {K.DISTRACTOR_RATIO}) AS BIGINT) FROM novelsample)""",
+}
 V = lambda body: with_views(body, VIEWS)
 _PRF = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN " \
     "2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1"
@@ -237,7 +272,8 @@ QUERIES = {
     "scored_edges": (scored_edges, V("""SELECT from_id, to_id, level_signal, prior, area_signal, score FROM scored""")),
     "ablation": (ablation, V(f"SELECT mode, tp, fp, fn, {_PRF} FROM modequality")),
     "report_table": (report_table, None),
-    "held_out_split": (held_out_split, None),
+    "held_out_split": (held_out_split, V("SELECT key, course_id, prereq_id, part FROM split")),
+    "prf_held_out": (prf_held_out, V(f"SELECT band, tp, fp, fn, {_PRF} FROM heldquality")),
     "split_sizes": (split_sizes, V("""SELECT 'test' AS part, CAST(floor(count(*) * 0.2e0) AS BIGINT) AS n FROM declared
         UNION ALL SELECT 'train', count(*) - CAST(floor(count(*) * 0.2e0) AS BIGINT) FROM declared""")),
     "validate_split": (validate_split, V("SELECT count(*) AS n_kept, count(*) AS n_keys FROM declared")),
@@ -250,12 +286,12 @@ QUERIES = {
     "edge_classes": (edge_classes, V("SELECT from_id, to_id, edge_class FROM classed")),
     "reproduction": (reproduction, V("""SELECT edge_class, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence,
         min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM classed GROUP BY 1""")),
-    "stratified_sample": (stratified_sample, None),
+    "stratified_sample": (stratified_sample, V("SELECT item_id, knowledge_area, belongs, label, is_inferred, confidence FROM judgedsample")),
     "alignment_precision": (alignment_precision, V("""SELECT knowledge_area, count(*) AS judged,
         count(*) FILTER (WHERE belongs) AS correct,
         round(count(*) FILTER (WHERE belongs) / CAST(count(*) AS DOUBLE), 4) AS precision FROM judged
         GROUP BY ROLLUP (knowledge_area)""")),
-    "blind_set": (blind_set, None),
+    "blind_set": (blind_set, V("SELECT * FROM novelsample UNION ALL SELECT * FROM distractor")),
     "judgement_counts": (judgement_counts, V("""SELECT n.label, count(j.item_id) AS n FROM
         (VALUES ('correct'), ('plausible_but_wrong'), ('incorrect')) n(label) LEFT JOIN judged j ON j.label = n.label
         GROUP BY 1""")),

@@ -295,8 +295,14 @@ def stored_dependencies(edges: DataFrame) -> DataFrame:
 # --- snapshots --------------------------------------------------------------
 
 def fingerprint(table: DataFrame, name: str) -> DataFrame:
-    """(name, records, mix, total): a row count and two order-free hash sums."""
-    row = F.xxhash64(*sorted(table.columns))
+    """(name, records, mix, total): a row count and two order-free hash sums.
+
+    A row's hash is the first 60 bits of the md5 of its values as text, by column name, with a mark for null, so another engine can
+    state it too.
+    """
+    quoted = [F.col("`" + c.replace("`", "``") + "`").cast("string") for c in sorted(table.columns)]
+    text = F.concat_ws("\u001f", *[F.coalesce(c, F.lit("\u0000")) for c in quoted])
+    row = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return table.agg(
         F.count(F.lit(1)).alias("records"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("mix"),
         F.coalesce(F.sum(F.pmod(row, F.lit(1_000_003))), F.lit(0)).alias("total"),

@@ -120,3 +120,31 @@ def test_guard(spark, rows):
     with pytest.raises(Exception, match="entitlement language"):
         G.require_clean(df, ["text"]).collect()
     assert G.require_clean(df.filter("text = 'Plain text'"), ["text"]).count() == 1
+
+
+def test_requests_for_single_courses(spark, rows):
+    courses = spark.createDataFrame(
+        [("A", "100", "S", "a", "ug", "da"), ("B", "200", "S", "b", "ug", None), ("C", "300", "S", "c", "g", "dc")],
+        "course_id string, course_number string, subject_code string, title string, level string, description string")
+    declared = spark.createDataFrame(
+        [("B", "A", "v1"), ("C", "B", None), ("A", "STUB", "v3"), ("C", "A", "v4")], "course_id string, prereq_id string, verbatim string")
+    aligned = spark.createDataFrame([("B", "k", 0.5), ("B", "k", 0.7), ("C", "k", 0.9)], "course_id string, ku_id string, confidence double")
+    units = spark.createDataFrame([("k", "unit", "X")], "ku_id string, label string, knowledge_area string")
+    asked = spark.createDataFrame([("A",), ("C",), ("STUB",), ("NO",), ("A",)], "course_id string")
+    unlocked = A.unlock_requests(asked, courses, declared)
+    missing = "No course 'NO' is present in the catalogue graph."
+    assert rows(unlocked, "course_id", "status", "unlocks", "title") == sorted([
+        ("A", "ok", "B", "b"), ("A", "ok", "C", "c"), ("C", "ok", None, None), ("NO", "course_not_found", None, None),
+        ("STUB", "ok", "A", "a"), ("STUB", "ok", "B", "b"), ("STUB", "ok", "C", "c")], key=repr)
+    assert {r["status_message"] for r in unlocked.filter("status <> 'ok'").collect()} == {missing}
+    facts = rows(A.course_details(asked, courses, aligned, units, declared), "course_id", "section", "item_id", "label", "note", "status")
+    assert [f for f in facts if f[1] == "course"] == sorted([
+        ("A", "course", "A", "a", "da", "ok"), ("C", "course", "C", "c", "dc", "ok"), ("NO", "course", "NO", "", "", "course_not_found"),
+        ("STUB", "course", "STUB", "", "", "ok")], key=repr)
+    assert ("A", "prerequisite", "STUB", "", "v3", "ok") in facts and ("C", "concept", "k", "unit", "X", "ok") in facts
+    assert not any(f[0] == "B" for f in facts) and sum(f[1] == "unlock" for f in facts) == 5
+    students = spark.createDataFrame([("s", "C"), ("s", "A"), ("s", "NO")], "student_id string, course_id string")
+    done = spark.createDataFrame([("s", "B")], "student_id string, course_id string")
+    assert rows(A.overlap_details(students, done, aligned, units, courses)) == sorted([
+        ("s", "C", "ok", "k", "unit", "X", 0.9, True), ("s", "A", "ok", None, None, None, None, None),
+        ("s", "NO", "course_not_found", None, None, None, None, None)], key=repr)
