@@ -116,6 +116,66 @@ def elements(html: Column | str, tags: list[str]) -> Column:
     return walk(html)
 
 
+class _BlockWalker(_Walker):
+    """For every block (`tag` with class `name`) the text strings of the first element of each part inside it.
+
+    Open blocks are kept on a stack, and a part that opens goes to each of them that has none of its kind yet. Text is collected for
+    such parts only, so the walk is linear in the page and nothing is copied for other ancestors.
+    """
+
+    def __init__(self, block: tuple[str, str], parts: list[tuple[str, str]]):
+        self.block, self.parts = block, parts
+        self.blocks: list[dict] = []
+        self.open_blocks: list[dict] = []
+        super().__init__(frozenset())
+
+    def _open(self, tag: str, attrs: dict) -> dict | None:
+        classes = (attrs.get("class") or "").split()
+        element = None
+        for place, (part_tag, name) in enumerate(self.parts):
+            waiting = [b for b in self.open_blocks if b["parts"][place] is None] if tag == part_tag and name in classes else []
+            if waiting:
+                element = element or {"pieces": []}
+                for block in waiting:
+                    block["parts"][place] = element["pieces"]
+        if tag == self.block[0] and self.block[1] in classes:
+            element = element or {"pieces": []}
+            element["block"] = {"parts": [None] * len(self.parts)}
+            self.blocks.append(element["block"])
+            self.open_blocks.append(element["block"])
+        return element
+
+    def _flush(self) -> None:
+        text = "".join(self.buffer)
+        self.buffer.clear()
+        if text and not any(tag in HIDDEN_TAGS for tag, _ in self.stack):
+            for _, element in self.stack:
+                if element is not None and "block" not in element:
+                    element["pieces"].append(text)
+
+    def _close_top(self) -> None:
+        _, element = self.stack.pop()
+        if element is not None and "block" in element:
+            self.open_blocks.remove(element["block"])
+
+
+def blocks(html: Column | str, block: tuple[str, str], parts: list[tuple[str, str]]) -> Column:
+    """Every block, a (tag, class), in document order: for each of `parts`, also (tag, class), the text strings of the first such
+    element inside it, null where there is none."""
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def walk(pages: pd.Series) -> pd.Series:
+        def one(page):
+            walker = _BlockWalker(block, parts)
+            walker.feed(page or "")
+            walker.finish()
+            return [b["parts"] for b in walker.blocks]
+
+        return pages.map(one)
+
+    return walk(html)
+
+
 BLANKS = r"^[\s\x{a0}]+|[\s\x{a0}]+$"
 
 
@@ -124,10 +184,13 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, BLANKS, "")
 
 
+def joined(pieces: Column, separator: str = " ") -> Column:
+    """Stripped, non-empty text strings joined by `separator`."""
+    return F.array_join(F.filter(F.transform(pieces, lambda p: strip(p)), lambda p: p != ""), separator)
+
+
 def text_of(element: Column, separator: str = " ") -> Column:
-    """Stripped, non-empty text strings of an element joined by `separator`."""
-    parts = F.filter(F.transform(element["pieces"], lambda p: strip(p)), lambda p: p != "")
-    return F.array_join(parts, separator)
+    return joined(element["pieces"], separator)
 
 
 def raw_length(element: Column) -> Column:

@@ -22,18 +22,12 @@ def course_blocks(pages: DataFrame) -> DataFrame:
     (url, prefix, number, title, credits, description); a block without a title
     of the expected form is dropped.
     """
-    is_block = lambda e: (e["tag"] == "div") & H.has_class(e, "courseblock")
-    blocks = (
-        pages.select("url", H.elements("html", ["div", "p"]).alias("found"))
-        .select("url", "found", F.explode(H.where("found", is_block)).alias("block"))
-    )
-    part = lambda name: H.first(H.where("found", lambda e: (
-        (e["tag"] == "p") & H.has_class(e, name) & H.inside(e, F.col("block"))
-    )))
+    parts = [("p", "courseblocktitle"), ("p", "courseblockdesc")]
+    blocks = pages.select("url", F.explode(H.blocks("html", ("div", "courseblock"), parts)).alias("parts"))
     titled = with_once(blocks, {
-        "title_text": H.text_of(part("courseblocktitle")),
-        "description": F.coalesce(H.text_of(part("courseblockdesc")), F.lit("")),
-    }).drop("found", "block")
+        "title_text": H.joined(F.get("parts", F.lit(0))),
+        "description": F.coalesce(H.joined(F.get("parts", F.lit(1))), F.lit("")),
+    }).drop("parts")
     group = lambda n: T.found("title_text", K.BLOCK_TITLE, n, "isU")
     return titled.filter(group(0).isNotNull()).select(
         "url", F.upper(group(1)).alias("prefix"), group(2).alias("number"), F.trim(group(3)).alias("title"),

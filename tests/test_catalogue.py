@@ -185,3 +185,18 @@ def test_label_and_split_files(spark, rows, tmp_path):
     assert A.read_summary(spark, str(tmp_path / "none.json")) is None
     vocabulary = {"units": [{"ku_id": "k", "label": "l", "knowledge_area": "A", "tier": "odd", "source": "S"}]}
     assert rows(A.read_vocabulary(spark, write("v.json", vocabulary)), "ku_id", "tier") == [("k", "elective")]
+
+
+def test_blocks_take_the_first_part_inside_also_of_nested_ones(spark):
+    page = (
+        '<div class="courseblock x"><div class="courseblock"><p class="courseblocktitle">CS 101 Inner Title. Credit: 3 Hours.</p>'
+        '<p class="courseblockdesc">inner <b>bold</b> text<script>no</script></p></div><p class="courseblocktitle">CS 102 Outer.</p></div>'
+        '<p class="courseblocktitle">CS 103 outside.</p><div class="courseblock"><p class="courseblockdesc">alone'
+        '<div class="courseblock"><p class="courseblocktitle">CS 104 open</p>')
+    from kgraph.functions import html as H
+
+    df = spark.createDataFrame([(page,), (None,), ("",)], "html string")
+    parts = [("p", "courseblocktitle"), ("p", "courseblockdesc")]
+    got = [r[0] for r in df.select(H.blocks("html", ("div", "courseblock"), parts)).collect()]
+    inner = [["CS 101 Inner Title. Credit: 3 Hours."], ["inner ", "bold", " text"]]
+    assert got == [[inner, inner, [["CS 104 open"], ["alone", "CS 104 open"]], [["CS 104 open"], None]], [], []]
