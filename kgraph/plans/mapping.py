@@ -1,9 +1,8 @@
 """The graph's tables, read from the star-schema tables of the test data.
 
 Parts are courses, suppliers are vocabulary units, order lines are concepts and
-two lines of one order make an edge. Edges point at one representative line per
-(order, level), so the number of edges grows with the lines and not with the
-square of an order's size.
+two lines of one order make an edge. An order has at most seven lines, so the
+number of edges grows with the lines.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgraph import constants as K
-
 
 def _letters(n: Column) -> Column:
     """Two capital letters from a number."""
@@ -119,20 +116,19 @@ class Tables:
             .select("l_orderkey", "lvl", F.col("l_partkey").alias("course_id"), *extra)
         )
 
-    def declared(self) -> DataFrame:
-        """(course_id, prereq_id, verbatim): an R line requires its order's
-        first part one level below."""
+    def _flagged(self, *extra: str) -> DataFrame:
+        """R lines with their part's level."""
         part = self.read("part").select("p_partkey", self._level().alias("lvl"))
-        lines = (
-            self.read("lineitem")
-            .filter(F.col("l_returnflag") == "R")
-            .select("l_orderkey", "l_partkey")
+        return (
+            self.read("lineitem").filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_partkey", *extra)
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select("l_orderkey", "lvl", F.col("l_partkey").alias("course_id"))
-        )
-        lower = lines.groupBy("l_orderkey", (F.col("lvl") + 1).alias("lvl")).agg(
-            F.min("course_id").alias("prereq_id")
+            .select("l_orderkey", "lvl", F.col("l_partkey").alias("course_id"), *extra)
         )
+
+    def declared(self) -> DataFrame:
+        """(course_id, prereq_id, verbatim): an R line requires every part of its order one level below."""
+        lines = self._flagged()
+        lower = lines.select("l_orderkey", (F.col("lvl") + 1).alias("lvl"), F.col("course_id").alias("prereq_id"))
         return (
             lines.join(lower, ["l_orderkey", "lvl"])
             .groupBy("course_id", "prereq_id")
@@ -145,30 +141,20 @@ class Tables:
         )
 
     def same_level_edges(self) -> DataFrame:
-        """(src, dst, score) inside one level, where cycles can occur."""
-        part = self.read("part").select("p_partkey", self._level().alias("lvl"))
-        lines = (
-            self.read("lineitem")
-            .filter(F.col("l_returnflag") == "R")
-            .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        )
-        first = lines.groupBy("l_orderkey", "lvl").agg(
-            F.min(F.struct("l_linenumber", "l_partkey")).alias("first")
-        )
+        """(src, dst, score) inside one level, where cycles can occur: from an R line to every earlier one of its order."""
+        lines = self._flagged("l_linenumber", "l_quantity")
+        earlier = lines.select(
+            "l_orderkey", "lvl", F.col("l_linenumber").alias("earlier"), F.col("course_id").alias("dst"))
         return (
-            lines.join(first, ["l_orderkey", "lvl"])
-            .filter(
-                (F.col("l_linenumber") > F.col("first.l_linenumber"))
-                & (F.col("l_partkey") != F.col("first.l_partkey"))
-            )
-            .groupBy(F.col("l_partkey").alias("src"), F.col("first.l_partkey").alias("dst"))
+            lines.join(earlier, ["l_orderkey", "lvl"])
+            .filter((F.col("l_linenumber") > F.col("earlier")) & (F.col("course_id") != F.col("dst")))
+            .groupBy(F.col("course_id").alias("src"), "dst")
             .agg((F.max("l_quantity") / F.lit(64.0)).alias("score"))
         )
 
     def looped(self) -> DataFrame:
-        """(course_id, prereq_id): declared pairs with rings inside levels (lines of one order and level require each
-        other's first line) and some pairs that are declared both ways."""
+        """(course_id, prereq_id): declared pairs with rings inside levels (lines require the earlier ones of their order
+        and level) and some pairs that are declared both ways."""
         declared = self.declared().select("course_id", "prereq_id")
         flat = self.same_level_edges().select(F.col("src").alias("course_id"), F.col("dst").alias("prereq_id"))
         turned = declared.filter((F.col("course_id") + F.col("prereq_id")) % 11 == 0).select(
@@ -184,18 +170,15 @@ class Tables:
 
     def dependency(self) -> DataFrame:
         """(from_id, to_id, from_course, to_course, confidence): stored concept
-        edges, from a line to its order's first line one or two levels below."""
+        edges, from a line to every line of its order one or two levels below."""
         lines = self._lines(
             self._concept_id().alias("concept_id"), (F.col("l_quantity") / F.lit(64.0)).alias("confidence")
         )
-        first = lines.groupBy("l_orderkey", "lvl").agg(
-            F.min(F.struct("course_id", "concept_id")).alias("first")
-        )
-        lower = first.select(
+        lower = lines.select(
             "l_orderkey",
             F.explode(F.array(F.col("lvl") + 1, F.col("lvl") + 2)).alias("lvl"),
-            F.col("first.course_id").alias("to_course"),
-            F.col("first.concept_id").alias("to_id"),
+            F.col("course_id").alias("to_course"),
+            F.col("concept_id").alias("to_id"),
         )
         return (
             lines.join(lower, ["l_orderkey", "lvl"])
@@ -209,20 +192,12 @@ class Tables:
         )
 
     def interest(self) -> DataFrame:
-        """(query_id, ku_id, pos): one query per nation, its best-funded units.
-
-        Fifteen units per query is the resolver's own top-k.
-        """
+        """(query_id, ku_id, pos): one query per nation, its units by funds."""
         order = W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-        return (
-            self.read("supplier")
-            .select("s_nationkey", "s_suppkey", F.row_number().over(order).alias("pos"))
-            .filter(F.col("pos") <= K.RESOLVE_TOP_K)
-            .select(
-                F.col("s_nationkey").cast("bigint").alias("query_id"),
-                F.col("s_suppkey").alias("ku_id"),
-                "pos",
-            )
+        return self.read("supplier").select(
+            F.col("s_nationkey").cast("bigint").alias("query_id"),
+            F.col("s_suppkey").alias("ku_id"),
+            F.row_number().over(order).alias("pos"),
         )
 
     def _bought(self, wanted: Column) -> DataFrame:

@@ -28,20 +28,16 @@ VIEWS = {
         FROM lineitem WHERE l_returnflag = 'R'""",
     "rline": """SELECT l_orderkey, l_linenumber, l_quantity, lvl, l_partkey AS course_id
         FROM lineitem JOIN course ON l_partkey = course.course_id WHERE l_returnflag = 'R'""",
-    "declared": """SELECT a.course_id, b.prereq_id, 'order ' || CAST(min(a.l_orderkey) AS VARCHAR) AS verbatim
-        FROM rline a JOIN (SELECT l_orderkey, lvl, min(course_id) AS prereq_id FROM rline GROUP BY 1, 2) b
-        ON a.l_orderkey = b.l_orderkey AND a.lvl = b.lvl + 1 GROUP BY 1, 2""",
+    "declared": """SELECT a.course_id, b.course_id AS prereq_id, 'order ' || CAST(min(a.l_orderkey) AS VARCHAR) AS verbatim
+        FROM rline a JOIN rline b ON a.l_orderkey = b.l_orderkey AND a.lvl = b.lvl + 1 GROUP BY 1, 2""",
     "anyline": """SELECT l_orderkey, lvl, l_partkey AS course_id, l_quantity / 64.0 AS confidence,
         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS concept_id
         FROM lineitem JOIN course ON l_partkey = course.course_id""",
     "dependency": """SELECT a.concept_id AS from_id, b.concept_id AS to_id, a.course_id AS from_course,
         b.course_id AS to_course, max(a.confidence) AS confidence
-        FROM anyline a JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lvl
-            ORDER BY course_id, concept_id) AS rn FROM anyline) WHERE rn = 1) b
-        ON a.l_orderkey = b.l_orderkey AND a.lvl IN (b.lvl + 1, b.lvl + 2) GROUP BY 1, 2, 3, 4""",
-    "interest": """SELECT CAST(s_nationkey AS BIGINT) AS query_id, s_suppkey AS ku_id, pos FROM (
-        SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS pos
-        FROM supplier) WHERE pos <= 15""",
+        FROM anyline a JOIN anyline b ON a.l_orderkey = b.l_orderkey AND a.lvl IN (b.lvl + 1, b.lvl + 2) GROUP BY 1, 2, 3, 4""",
+    "interest": """SELECT CAST(s_nationkey AS BIGINT) AS query_id, s_suppkey AS ku_id,
+        row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier""",
     "completed": """SELECT DISTINCT o_custkey AS student_id, l_partkey AS course_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N'""",
     "targets": """SELECT DISTINCT o_custkey AS student_id, l_partkey AS course_id

@@ -219,9 +219,7 @@ VIEWS = {
         UNION ALL SELECT confidence, count(*) FROM simpair GROUP BY 1""",
     "placed": """SELECT c, sum(n) AS n, sum(sum(n)) OVER (ORDER BY c) AS upto, sum(sum(n)) OVER () AS total
         FROM weighted GROUP BY c""",
-    "rfirst": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lvl
-        ORDER BY l_linenumber, course_id) AS rn FROM rline) WHERE rn = 1""",
-    "flatedge": """SELECT a.course_id AS src, f.course_id AS dst, max(a.l_quantity) / 64.0 AS score FROM rline a JOIN rfirst f
+    "flatedge": """SELECT a.course_id AS src, f.course_id AS dst, max(a.l_quantity) / 64.0 AS score FROM rline a JOIN rline f
         ON a.l_orderkey = f.l_orderkey AND a.lvl = f.lvl AND a.l_linenumber > f.l_linenumber
         AND a.course_id <> f.course_id GROUP BY 1, 2""",
     "flatwalk": """SELECT src, dst FROM flatedge UNION SELECT w.src, e.dst FROM flatwalk w JOIN flatedge e ON w.dst = e.src""",
