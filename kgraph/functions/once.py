@@ -13,6 +13,10 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     expression at each use; it does not merge through a generator. The row count
     stays the same, since the generated array has one entry.
     """
+    exact = lambda name: F.col("`" + name.replace("`", "``") + "`")
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.explode(F.array(packed)).alias("_once")).select(*kept, "_once.*")
+    kept = [exact(c) for c in df.columns if c not in columns]
+    once = "_once"
+    while once in df.columns:
+        once += "_"
+    return df.select(*kept, F.explode(F.array(packed)).alias(once)).select(*kept, f"{once}.*")

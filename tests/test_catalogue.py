@@ -200,3 +200,11 @@ def test_blocks_take_the_first_part_inside_also_of_nested_ones(spark):
     got = [r[0] for r in df.select(H.blocks("html", ("div", "courseblock"), parts)).collect()]
     inner = [["CS 101 Inner Title. Credit: 3 Hours."], ["inner ", "bold", " text"]]
     assert got == [[inner, inner, [["CS 104 open"], ["alone", "CS 104 open"]], [["CS 104 open"], None]], [], []]
+
+
+def test_once_keeps_columns_of_any_name(spark):
+    from kgraph.functions.once import with_once
+
+    df = spark.createDataFrame([(1, "k", 2)], "`a.b` int, _once string, x int")
+    out = with_once(df, {"x": F.col("x") + 1, "y": F.col("`a.b`") * 10})
+    assert out.columns == ["a.b", "_once", "x", "y"] and tuple(out.first()) == (1, "k", 3, 10)
