@@ -22,8 +22,8 @@ Only DataFrame functions and the library's own forest are used: no Python runs i
 candidate never leave their partition. Findings that are equal in all features' inputs are scored once.
 
 Defined cases: null and empty texts have no candidates; a null path has no path features; repeated rows have the same
-findings each; without labelled findings of both labels nothing is removed and every score is 1; an empty table gives
-an empty result; input columns named like an output column are replaced by it.
+findings each; without labelled findings of both labels there is no forest, and a finding counts as a secret only if it is
+labelled one (score 1, others 0); an empty table gives an empty result; further columns of any name and type are kept by `mask`.
 """
 
 from __future__ import annotations
@@ -229,7 +229,8 @@ def scan(
         marked = featured.join(labelled.groupBy(*CONTEXT).agg(F.max("label").alias("label")), CONTEXT)
     model = train(marked)
     if model is None:
-        scored = featured.select(*CONTEXT, F.lit(1.0).alias("score"))
+        told = marked.select(*CONTEXT, F.col("label").cast("double").alias("score"))
+        scored = featured.select(*CONTEXT).join(told, CONTEXT, "left").na.fill(0.0, ["score"])
     else:
         scored = model.transform(_assembled(featured)).select(*CONTEXT, vector_to_array("probability")[1].alias("score"))
     return found.join(scored, CONTEXT).select(
@@ -238,15 +239,18 @@ def scan(
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """`docs` with every secret in `text` replaced by MASK."""
-    columns = docs.columns
-    named = docs.withColumn("__key", F.sha2(clean_text(text), 256))
-    secrets = scan(named, None, "__key", text, path).filter("is_secret").groupBy("__key").agg(
-        F.collect_set("value").alias("__secrets"))
-    sorted_out = with_candidates(named, text).withColumn("__hit", F.size("__candidates") > 0).drop("__candidates")
-    masked = sorted_out.filter("__hit").join(secrets, "__key", "left").withColumn(text, F.aggregate(
-        F.array_sort(F.coalesce("__secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
-        F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK))))
-    return masked.select(*quoted(columns)).unionByName(sorted_out.filter("not __hit").select(*quoted(columns)))
+    exact = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    named = docs.select(
+        F.struct(*quoted(docs.columns)).alias("kept"), F.sha2(clean_text(f"`{text}`"), 256).alias("hash"),
+        exact(text).alias("text"), exact(path).alias("path"))
+    secrets = scan(named.drop("kept"), None, "hash", "text", "path").filter("is_secret").groupBy("hash").agg(
+        F.collect_set("value").alias("secrets"))
+    sorted_out = with_candidates(named, "text").withColumn("hit", F.size("__candidates") > 0).drop("__candidates")
+    masked = sorted_out.filter("hit").join(secrets, "hash", "left").withColumn("text", F.aggregate(
+        F.array_sort(F.coalesce("secrets", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)),
+        F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
+    columns = [F.col("text").alias(c) if c == text else F.col("kept").getField(c).alias(c) for c in docs.columns]
+    return masked.select(*columns).unionByName(sorted_out.filter("not hit").select(*columns))
 
 
 def op10_secret_forest(spark: SparkSession, folder: str) -> DataFrame:

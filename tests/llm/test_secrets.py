@@ -77,6 +77,26 @@ def test_no_labels_of_both_kinds_removes_nothing(spark):
     assert [(r.score, r.is_secret) for r in s.scan(df).collect()] == [(1.0, True)] * 2
 
 
+def test_harmless_words_stay_where_no_forest_can_be_trained(spark):
+    text = "see ticket INC-2024-00012345 and file report_final_2024v2.txt on 2024-05-01T12:00:00"
+    df = spark.createDataFrame([(1, text, "p")], SCHEMA)
+    assert {(r.score, r.is_secret) for r in s.scan(df).collect()} == {(0.0, False)}
+    assert [r.text for r in s.mask(df).collect()] == [text]
+
+
+def test_mask_keeps_columns_of_any_name_and_type(spark):
+    rows, _ = corpus(60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    odd = df.withColumn("a.b", F.lit("x"))
+    for name in ("__key", "__candidates", "__words", "_once", "hash", "hit", "kept", "path", "secrets"):
+        odd = odd.withColumn(name, F.lit("k"))
+    odd = odd.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    out = s.mask(odd)
+    assert out.columns == odd.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in s.mask(df).collect())
+    assert {(r["a.b"], r["__key"], r["kept"], r["m"]["k"]) for r in out.collect()} == {("x", "k", "k", 1)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert s.scan(df).collect() == [] and s.mask(df).collect() == []
