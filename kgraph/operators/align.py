@@ -10,19 +10,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgraph import constants as K
 from kgraph.functions import scores as S
-from kgraph.sources.staging import is_small, stage
+from kgraph.sources.staging import stage
 
-# Vocabulary rows that one task may hold; a larger vocabulary is cut in blocks.
-TASK_UNITS = 4096
-CHUNK_ROWS = 200_000
-# Candidates that one task may walk through in order.
-TASK_ROWS = 200_000
+# Bytes of vectors that one task holds of the vocabulary and of the queries, and bytes of the similarities
+# that it computes at a time.
+BLOCK_BYTES = 32 * 2**20
+STRIP_BYTES = 32 * 2**20
 
 
 # --- retrieve ---------------------------------------------------------------
@@ -33,75 +32,66 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(ids, vectors, unit_ids: np.ndarray, unit_matrix: np.ndarray, k: int) -> pd.DataFrame:
-    """The k most similar units of each vector; ties go to the smaller id.
+def _best(ids: np.ndarray, matrix: np.ndarray, unit_ids: np.ndarray, unit_matrix: np.ndarray, k: int) -> pd.DataFrame:
+    """The k most similar units of each row; ties go to the smaller id.
 
-    `unit_ids` is sorted, so a stable sort of the similarities settles ties.
+    `unit_ids` is sorted, so the smaller column settles ties. Only what reaches a row's k-th best value is sorted.
     """
-    similarity = _unit_rows(vectors) @ unit_matrix.T
     keep = min(k, len(unit_ids))
-    order = np.argsort(-similarity, axis=1, kind="stable")[:, :keep]
-    return pd.DataFrame({
-        "id": np.repeat(np.asarray(ids), keep),
-        "ku_id": unit_ids[order].ravel(),
-        "similarity": np.take_along_axis(similarity, order, axis=1).ravel(),
-    })
+    similarity = matrix @ unit_matrix.T
+    least = np.partition(similarity, len(unit_ids) - keep, axis=1)[:, [len(unit_ids) - keep]]
+    row, column = np.nonzero(similarity >= least)
+    value = similarity[row, column]
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = place < keep
+    return pd.DataFrame({"id": ids[row[best]], "ku_id": unit_ids[column[best]], "similarity": value[best]})
+
+
+def _parts(vectors: DataFrame, block_bytes: int) -> int:
+    """How many parts of about `block_bytes` the vectors make, from their counted components."""
+    size = vectors.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    return max(1, math.ceil(size / block_bytes))
 
 
 def topk_cosine(queries: DataFrame, vocabulary: DataFrame, k: int = K.RETRIEVE_TOP_K,
-                task_units: int = TASK_UNITS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES, strip_bytes: int = STRIP_BYTES) -> DataFrame:
     """(id, ku_id, similarity, rank): exact k nearest units by cosine.
 
-    `queries` is (id, vector), `vocabulary` (ku_id, vector). A vocabulary of at
-    most `task_units` rows is shipped to the tasks once, after its size has been
-    checked, and queries are not shuffled. A larger one is cut into blocks; each
-    (block, query chunk) is multiplied in its own task and the partial best are
-    merged per query.
+    `queries` is (id, vector), `vocabulary` (ku_id, vector). Both are cut into parts of about `block_bytes`. Each pair
+    of a vocabulary block and a query chunk is multiplied in its own task, strip by strip, so a task's memory does not
+    grow with either side; the best of all blocks are merged per query. The vocabulary never passes through the driver.
+    Vectors of length zero have similarity 0 to all; null vectors take no part.
     """
-    spark = queries.sparkSession
     id_type = queries.schema["id"].dataType.simpleString()
     ku_type = vocabulary.schema["ku_id"].dataType.simpleString()
     schema = f"id {id_type}, ku_id {ku_type}, similarity double"
-    queries = queries.select("id", "vector")
-    vocabulary = vocabulary.select("ku_id", "vector")
-    head = vocabulary.limit(task_units + 1).toPandas()
-    if len(head) <= task_units:
-        if head.empty:
-            found = spark.createDataFrame([], schema)
-        else:
-            head = head.sort_values("ku_id")
-            shared = spark.sparkContext.broadcast((head["ku_id"].to_numpy(), _unit_rows(head["vector"])))
-
-            def search(batches):
-                ids, matrix = shared.value
-                for batch in batches:
-                    if len(batch):
-                        yield _best(batch["id"], batch["vector"], ids, matrix, k)
-
-            found = queries.mapInPandas(search, schema)
-    else:
-        found = _blocked_search(queries, vocabulary, k, task_units, chunk_rows, schema)
-    order = W.partitionBy("id").orderBy(F.desc("similarity"), "ku_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    queries = queries.select("id", "vector").filter(F.col("vector").isNotNull())
+    vocabulary = stage(vocabulary.select("ku_id", "vector").filter(F.col("vector").isNotNull()), "vocabulary")
+    blocks, chunks = _parts(vocabulary, block_bytes), _parts(queries, block_bytes)
 
-
-def _blocked_search(queries, vocabulary, k, task_units, chunk_rows, schema) -> DataFrame:
-    blocks = math.ceil(vocabulary.count() / task_units)
-    chunks = max(1, math.ceil(queries.count() / chunk_rows))
-    spread = lambda df, key, own, n_own, other, n_other: df.withColumn(
-        own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    left = spread(queries, "id", "chunk", chunks, "block", blocks)
-    right = spread(vocabulary, "ku_id", "block", blocks, "chunk", chunks)
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
+        return df.withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     def search(query_part: pd.DataFrame, unit_part: pd.DataFrame) -> pd.DataFrame:
         if query_part.empty or unit_part.empty:
-            return pd.DataFrame({"id": [], "ku_id": [], "similarity": []})
+            none = np.array([], dtype=object)
+            return pd.DataFrame({"id": none, "ku_id": none, "similarity": none}, dtype=object)
         unit_part = unit_part.sort_values("ku_id")
-        return _best(query_part["id"], query_part["vector"], unit_part["ku_id"].to_numpy(),
-                     _unit_rows(unit_part["vector"]), k)
-
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(search, schema)
+        unit_ids, unit_matrix = unit_part["ku_id"].to_numpy(), _unit_rows(unit_part["vector"])
+        ids, strip = query_part["id"].to_numpy(), max(1, strip_bytes // (8 * len(unit_ids)))
+        return pd.concat([
+            _best(ids[at:at + strip], _unit_rows(query_part["vector"].iloc[at:at + strip]), unit_ids, unit_matrix, k)
+            for at in range(0, len(ids), strip)
+        ], ignore_index=True)
+
+    left = dealt(queries, "id", "chunk", chunks, "block", blocks)
+    right = dealt(vocabulary, "ku_id", "block", blocks, "chunk", chunks)
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(search, schema)
+    order = W.partitionBy("id").orderBy(F.desc("similarity"), "ku_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def labels_to_embed(labels: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -199,24 +189,17 @@ def apply_judgements(verified: DataFrame, judgements: DataFrame | None) -> DataF
     )
 
 
-def _violates() -> Column:
-    """The unit was aligned earlier, and only at levels far above this one."""
-    earlier = lambda s: s["first_seq"] < F.col("seq")
-    near = lambda s: s["level"] <= F.col("course_level") + K.ORDERING_SLACK
-    return F.exists("seen", earlier) & ~F.exists("seen", lambda s: earlier(s) & near(s))
-
-
 def align(ranked: DataFrame, concepts: DataFrame, judgements: DataFrame | None = None,
-          min_confidence: float = K.MIN_CONFIDENCE, temperature: float = K.CONFIDENCE_TEMPERATURE,
-          task_rows: int = TASK_ROWS) -> DataFrame:
+          min_confidence: float = K.MIN_CONFIDENCE, temperature: float = K.CONFIDENCE_TEMPERATURE) -> DataFrame:
     """Final alignment (concept_id, ku_id, confidence, status, n_rejected).
 
     A candidate is rejected by what earlier concepts, in (course_id, concept_id)
-    order, were aligned to. A level of 0.5 or more can never be rejected, so those
-    concepts are settled at once. Of them only the first concept per unit and
-    level matters to the others: a handful of rows per unit. The others are
-    walked through in order by one task when their candidates are few, and
-    settled by rounds of joins when they are many.
+    order, were aligned to: its unit was aligned earlier, and only at levels far
+    above this one. A level of 0.5 or more can never be rejected, so those
+    concepts are settled at once, and of them only the first concept per unit and
+    level matters to the others (`_risky`). The others all lie near each other:
+    once one of them is aligned to a unit, nothing later is rejected for it. So
+    all that has to be found is one place per unit (`_first_low`).
     """
     rows = ranked.withColumn("seq", F.struct("course_id", "concept_id"))
     if judgements is not None:
@@ -226,19 +209,19 @@ def align(ranked: DataFrame, concepts: DataFrame, judgements: DataFrame | None =
         rows = rows.withColumn("belongs", F.lit(None).cast("boolean"))
     rows = stage(rows.withColumn("belongs", F.coalesce("belongs", F.lit(True))), "ranked")
     everyone = stage(concepts.select("concept_id", "course_id"), "concepts")
-    settle = lambda kept: apply_judgements(
-        verify(kept, everyone.join(kept.select("concept_id").distinct(), "concept_id", "left_semi"),
-               min_confidence, temperature),
+    sure = rows.filter(F.col("course_level") >= K.ORDERING_SLACK)
+    low = rows.filter(F.col("course_level") < K.ORDERING_SLACK)
+    settled = apply_judgements(
+        verify(sure, sure.select("concept_id").distinct(), min_confidence, temperature),
         rows.select("concept_id", "ku_id", "belongs"),
     )
-    sure = rows.filter(F.col("course_level") >= K.ORDERING_SLACK)
-    open_rows = rows.filter(F.col("course_level") < K.ORDERING_SLACK)
-    firsts = stage(_first_seen(settle(sure), rows), "firsts")
-    if is_small(open_rows, task_rows) and is_small(firsts, task_rows):
-        rejected = _reject_in_task(open_rows, firsts, min_confidence, temperature)
-    else:
-        rejected = _reject_by_rounds(open_rows, firsts, settle)
-    rejected = stage(rejected, "rejected")
+    low = stage(_risky(low, _first_seen(settled, rows)), "low")
+    first_low = _first_low(low, min_confidence, temperature)
+    rejected = stage(
+        low.filter("risky").join(first_low, "ku_id", "left")
+        .filter(F.col("first_low").isNull() | (F.col("first_low") >= F.col("seq"))).select("concept_id", "ku_id"),
+        "rejected",
+    )
     surviving = rows.join(rejected, ["concept_id", "ku_id"], "left_anti")
     outcome = apply_judgements(
         verify(surviving, everyone, min_confidence, temperature), rows.select("concept_id", "ku_id", "belongs")
@@ -255,62 +238,65 @@ def _first_seen(outcome: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def _reject_by_rounds(open_rows: DataFrame, firsts: DataFrame, settle) -> DataFrame:
-    """(concept_id, ku_id) rejected. Each round settles all open concepts against
-    the last round's table of firsts; a concept depends only on earlier ones, so
-    the rounds end at the sequential result."""
-    seen, size = firsts, -1
-    while True:
-        per_unit = seen.groupBy("ku_id").agg(F.collect_list(F.struct("level", "first_seq")).alias("seen"))
-        checked = open_rows.join(per_unit, "ku_id", "left").withColumn("violates", F.coalesce(_violates(), F.lit(False)))
-        aligned = _first_seen(settle(checked.filter(~F.col("violates"))), open_rows)
-        now = stage(
-            firsts.unionByName(aligned).groupBy("ku_id", "level").agg(F.min("first_seq").alias("first_seq")), "seen"
-        )
-        n = now.count()
-        if n == size and now.join(seen, ["ku_id", "level", "first_seq"], "left_anti").isEmpty():
-            return checked.filter("violates").select("concept_id", "ku_id")
-        seen, size = now, n
-
-
-def _reject_in_task(open_rows: DataFrame, firsts: DataFrame, min_confidence: float, temperature: float) -> DataFrame:
-    """The same by one ordered pass over open candidates and firsts."""
-    types = open_rows.schema
-    schema = f"concept_id {types['concept_id'].dataType.simpleString()}, ku_id {types['ku_id'].dataType.simpleString()}"
-    columns = ["course_id", "concept_id", "ku_id", "course_level", "rank", "score", "belongs"]
-    events = open_rows.select(*columns).unionByName(
-        firsts.select("first_seq.course_id", "first_seq.concept_id", "ku_id", F.col("level").alias("course_level")),
-        allowMissingColumns=True,
-    )
-    width = max(temperature, K.TEMPERATURE_FLOOR)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: dict = {}
-        out = []
-        frame = frame.sort_values(["course_id", "concept_id", "rank"])
-        for _, group in frame.groupby(["course_id", "concept_id"], sort=False):
-            level = float(group["course_level"].iloc[0])
-            if group["rank"].isna().all():
-                for unit in group["ku_id"]:
-                    seen[unit] = min(level, seen.get(unit, level))
-                continue
-            left = []
-            for unit, score, belongs in zip(group["ku_id"], group["score"], group["belongs"]):
-                # The lowest level seen decides whether all are far above.
-                if unit in seen and level + K.ORDERING_SLACK < seen[unit]:
-                    out.append((group["concept_id"].iloc[0], unit))
-                else:
-                    left.append((unit, score, belongs))
-            if not left:
-                continue
-            gap = (left[1][1] - left[0][1]) / width if len(left) > 1 else -left[0][1]
-            if 1.0 / (1.0 + math.exp(gap)) >= min_confidence and left[0][2]:
-                seen[left[0][0]] = min(level, seen.get(left[0][0], level))
-        return pd.DataFrame(out, columns=["concept_id", "ku_id"]).astype(
-            {"concept_id": frame["concept_id"].dtype, "ku_id": frame["ku_id"].dtype}
-        )
+def _risky(low: DataFrame, firsts: DataFrame) -> DataFrame:
+    """`low` with `risky`: high concepts alone would have the candidate rejected. A unit has one entry per level."""
+    seen = firsts.groupBy("ku_id").agg(F.collect_list(F.struct("level", "first_seq")).alias("seen"))
+    earlier = lambda s: s["first_seq"] < F.col("seq")
+    near = lambda s: s["level"] <= F.col("course_level") + K.ORDERING_SLACK
+    violates = F.exists("seen", earlier) & ~F.exists("seen", lambda s: earlier(s) & near(s))
+    return low.join(seen, "ku_id", "left").withColumn("risky", F.coalesce(violates, F.lit(False))).drop("seen")
+
+
+def _first_low(low: DataFrame, min_confidence: float, temperature: float) -> DataFrame:
+    """(ku_id, first_low): the first low concept aligned to each unit.
 
-    return events.groupBy(F.lit(0).alias("all")).applyInPandas(walk, schema)
+    The first one cannot win by a risky candidate, which needs an earlier one. Each
+    round keeps two bounds per unit: `upper`, the first settled concept that won it,
+    and `lower`, the first that won or still may. A risky candidate after `upper`
+    stays, one not after `lower` goes. A concept is settled once its two best
+    survivors are known, and only unsettled ones enter the next round. The earliest
+    of them is always settled, so the rounds end; in practice they are few, and the
+    table that is joined has one row per unit.
+    """
+    spread = low.select("concept_id", "seq", F.struct("rank", "ku_id", "score", "belongs", "risky").alias("c"))
+    waiting = spread.groupBy("concept_id", "seq").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
+    bounds = None
+    while True:
+        rows = waiting.select("concept_id", "seq", F.explode("candidates").alias("c"))
+        if bounds is None:
+            fate = F.when(F.col("c.risky"), "open").otherwise("kept")
+        else:
+            rows = rows.join(bounds.withColumnRenamed("ku_id", "unit"), F.col("c.ku_id") == F.col("unit"), "left")
+            fate = (
+                F.when(~F.col("c.risky") | F.coalesce(F.col("upper") < F.col("seq"), F.lit(False)), "kept")
+                .when(F.col("lower") < F.col("seq"), "open").otherwise("gone")
+            )
+        judged = rows.groupBy("concept_id", "seq").agg(
+            F.array_sort(F.collect_list(F.struct("c.rank", "c", fate.alias("fate")))).alias("all")
+        ).withColumn("left", F.filter("all", lambda x: x["fate"] != "gone"))
+        first, second = F.get("left", F.lit(0)), F.get("left", F.lit(1))
+        known = ~F.exists(F.slice("left", 1, 2), lambda x: x["fate"] == "open")
+        confidence = S.margin_confidence(first["c"]["score"], second["c"]["score"], temperature)
+        won = first.isNotNull() & (confidence >= min_confidence)
+        # What may still win ends with the first candidate that is sure to stay.
+        ahead = F.filter("left", lambda x: ~F.exists(
+            "left", lambda y: (y["fate"] == "kept") & (y["rank"] < x["rank"])))
+        winners = F.when(known, F.when(won, F.slice("left", 1, 1)).otherwise(F.slice("left", 1, 0))).otherwise(ahead)
+        round_ = stage(judged.select(
+            "concept_id", "seq", known.alias("known"), F.transform("all", lambda x: x["c"]).alias("candidates"),
+            F.transform(F.filter(winners, lambda x: x["c"]["belongs"] & ~x["c"]["risky"]),
+                        lambda x: x["c"]["ku_id"]).alias("units"),
+        ), "round")
+        seen = round_.select(
+            F.explode("units").alias("ku_id"), F.when(F.col("known"), F.col("seq")).alias("upper"),
+            F.col("seq").alias("lower"))
+        if bounds is not None:
+            won_before = bounds.filter(F.col("upper").isNotNull())
+            seen = seen.unionByName(won_before.select("ku_id", "upper", F.col("upper").alias("lower")))
+        bounds = stage(seen.groupBy("ku_id").agg(F.min("upper").alias("upper"), F.min("lower").alias("lower")), "bounds")
+        waiting = round_.filter(~F.col("known"))
+        if waiting.isEmpty():
+            return bounds.select("ku_id", F.col("upper").alias("first_low"))
 
 
 def concept_records(aligned: DataFrame, concepts: DataFrame) -> DataFrame:

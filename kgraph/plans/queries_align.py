@@ -81,12 +81,12 @@ def _aligned(t: Tables):
 
 
 def reject_fixpoint(spark, folder):
-    return _aligned(Tables(spark, folder))[0]
+    return _aligned(Tables(spark, folder))[0].select("concept_id", "ku_id", _r6("confidence"), "status", "n_rejected")
 
 
 def concept_records(spark, folder):
     aligned, concepts, _ = _aligned(Tables(spark, folder))
-    return L.concept_records(aligned, concepts)
+    return L.concept_records(aligned, concepts).withColumn("confidence", F.round("confidence", 6))
 
 
 def coverage_index(spark, folder):
@@ -186,6 +186,22 @@ VIEWS = {
         FROM full_score""",
     "verdict": """SELECT a.concept_id, a.ku_id, a.digit, 1 / (1 + exp((b.score - a.score) / 0.1e0)) AS confidence
         FROM graded a JOIN graded b ON a.concept_id = b.concept_id AND a.rn = 1 AND b.rn = 2""",
+    # One step per concept in order; `low` holds the lowest level seen of every unit, -1 where there is none.
+    "step": """SELECT row_number() OVER (ORDER BY course_id, concept_id) AS i, concept_id, lvl, cands FROM (SELECT vec.concept_id,
+        vec.course_id, greatest(0e0, least(1e0, (any_value(vec.digit) - 1) / 5e0)) AS lvl, list(struct_pack(unit := ku_id, score := score)
+        ORDER BY rn) AS cands FROM graded JOIN vec ON vec.concept_id = graded.concept_id GROUP BY 1, 2)""",
+    "settled": """SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS concept_id, CAST(NULL AS BIGINT) AS unit,
+        CAST(NULL AS DOUBLE) AS confidence, CAST(0 AS BIGINT) AS n_rejected,
+        (SELECT list_transform(range(max(ku_id) + 1), lambda x: -1e0) FROM vocab) AS low
+        UNION ALL SELECT i, concept_id, CASE WHEN confidence >= 0.3e0 THEN kept[1].unit END, confidence, n_rejected,
+        list_transform(low, lambda v, j: CASE WHEN confidence >= 0.3e0 AND j = kept[1].unit + 1
+        THEN CASE WHEN v < 0 THEN lvl ELSE least(v, lvl) END ELSE v END) FROM (SELECT *, len(cands) - len(kept) AS n_rejected,
+        CASE WHEN len(kept) = 0 THEN 0e0 WHEN len(kept) = 1 THEN 1 / (1 + exp(-kept[1].score))
+        ELSE 1 / (1 + exp((kept[2].score - kept[1].score) / 0.1e0)) END AS confidence FROM (SELECT step.*, low,
+        list_filter(cands, lambda c: NOT (lvl + 0.5e0 < low[c.unit + 1])) AS kept
+        FROM settled JOIN step ON step.i = settled.i + 1))""",
+    "outcome": """SELECT concept_id, unit AS ku_id, confidence, n_rejected, CASE WHEN unit IS NOT NULL THEN 'aligned'
+        WHEN confidence = 0 THEN 'unaligned' ELSE 'low_confidence_unaligned' END AS status FROM settled WHERE i > 0""",
     "found": "SELECT concept_id AS query_id, ku_id, s, place FROM sim WHERE place <= 15 AND s >= 0.3",
     "relevance": """SELECT v.concept_id AS query_id, CAST(1 AS BIGINT) AS n_expected,
         count(DISTINCT f.ku_id // 4) AS n_resolved,
@@ -210,8 +226,12 @@ QUERIES = {
         CASE WHEN digit = 1 AND ku_id % 2 = 1 THEN NULL ELSE ku_id END AS ku_id, round(confidence, 6) AS confidence,
         CASE WHEN digit = 1 AND ku_id % 2 = 1 THEN 'low_confidence_unaligned' ELSE 'aligned' END AS status
         FROM verdict""")),
-    "reject_fixpoint": (reject_fixpoint, None),
-    "concept_records": (concept_records, None),
+    "reject_fixpoint": (reject_fixpoint, V("""SELECT concept_id, ku_id, round(confidence, 6) AS confidence, status, n_rejected
+        FROM outcome""")),
+    "concept_records": (concept_records, V("""SELECT o.concept_id, course_id,
+        CAST(digit AS VARCHAR) || lpad(CAST(course_id % 10000 AS VARCHAR), 4, '0') AS course_number, ku_id AS knowledge_unit_id,
+        status AS alignment_status, round(greatest(confidence, 0.01e0), 6) AS confidence
+        FROM outcome o JOIN vec ON vec.concept_id = o.concept_id""")),
     "coverage_index": (coverage_index, V("""SELECT ku.ku_id, count(DISTINCT a.course_id) AS n_courses FROM ku
         LEFT JOIN aligned a ON a.ku_id = ku.ku_id GROUP BY 1""")),
     "coverage_courses": (coverage_courses, V("SELECT DISTINCT ku_id, course_id FROM aligned")),

@@ -21,8 +21,21 @@ def test_nearest_units_blocked_or_not(spark, rows):
     queries = spark.createDataFrame(vectors(23, "q") + [("zero", [0.0] * 8)], "id string, vector array<double>")
     units = spark.createDataFrame(vectors(17, "u"), "ku_id string, vector array<double>")
     whole = rows(L.topk_cosine(queries, units, 5), "id", "ku_id", "rank")
-    assert whole == rows(L.topk_cosine(queries, units, 5, task_units=4, chunk_rows=6), "id", "ku_id", "rank")
+    assert whole == rows(L.topk_cosine(queries, units, 5, block_bytes=4 * 64, strip_bytes=100), "id", "ku_id", "rank")
     assert len(whole) == 24 * 5
+    # Ties, here of the vector of length zero, go to the smaller ids.
+    assert [r[1] for r in whole if r[0] == "zero"] == [f"u{i:02d}" for i in range(5)]
+    plain = {}
+    unit = {r["ku_id"]: np.array(r["vector"]) for r in units.collect()}
+    for r in queries.filter("id <> 'zero'").collect():
+        v = np.array(r["vector"])
+        near = {u: v @ w / np.linalg.norm(v) / np.linalg.norm(w) for u, w in unit.items()}
+        plain[r["id"]] = sorted(near, key=lambda u: (-near[u], u))[:5]
+    for q, best in plain.items():
+        assert [u for i, u, _ in sorted(whole, key=lambda r: r[2]) if i == q] == best
+    nulls = queries.unionByName(spark.createDataFrame([("none", None)], "id string, vector array<double>"))
+    assert rows(L.topk_cosine(nulls, units, 5), "id", "ku_id", "rank") == whole
+    assert len(rows(L.topk_cosine(queries, units, 50))) == 24 * 17
     assert L.topk_cosine(queries, units.limit(0), 5).isEmpty()
 
 
@@ -84,14 +97,14 @@ def brute_alignment(ranked, refused):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rejection_equals_the_sequential_pass(spark, seed):
+@pytest.mark.parametrize("seed, n", [(1, 60), (2, 60), (3, 250), (4, 250)])
+def test_rejection_equals_the_sequential_pass(spark, seed, n):
     rng = random.Random(seed)
     ranked, refused = [], set()
-    for k in range(60):
-        concept, course = f"n{k:02d}", f"c{rng.randrange(20):02d}"
+    for k in range(n):
+        concept, course = f"n{k:03d}", f"c{rng.randrange(20):02d}"
         level = [1.0, 0.8, 0.6, 0.4, 0.2, 0.0][int(course[1:]) % 6]
-        units = rng.sample("pqrstu", rng.randrange(1, 4))
+        units = rng.sample("pqrstu" if n == 60 else "abcdefghijklmnopqrstu", rng.randrange(1, 4))
         scores = sorted((rng.random() for _ in units), reverse=True)
         ranked += [(concept, course, level, u, s, i + 1) for i, (u, s) in enumerate(zip(units, scores))]
         if rng.random() < 0.2:
@@ -101,9 +114,23 @@ def test_rejection_equals_the_sequential_pass(spark, seed):
     asked = spark.createDataFrame([(*r, False) for r in sorted(refused)], "concept_id string, ku_id string, belongs boolean")
     expected = brute_alignment(ranked, refused)
     assert any(n for _, _, n in expected.values())
-    for task_rows in (0, 10_000):
-        got = L.align(frame, concepts, asked, task_rows=task_rows).collect()
-        assert {r["concept_id"]: (r["ku_id"], r["status"], r["n_rejected"]) for r in got} == expected
+    got = L.align(frame, concepts, asked).collect()
+    assert {r["concept_id"]: (r["ku_id"], r["status"], r["n_rejected"]) for r in got} == expected
+
+
+def test_rejection_hangs_on_earlier_rejections(spark):
+    """Each low concept's outcome is settled by what earlier ones won or lost."""
+    ranked = [("h1", "a", 1.0, "u1", 0.9, 1), ("h2", "a", 1.0, "u2", 0.9, 1), ("h3", "a", 1.0, "u3", 0.9, 1),
+              ("n1", "b", 0.0, "u1", 0.9, 1), ("n1", "b", 0.0, "free", 0.8, 2),
+              ("n2", "c", 0.4, "u2", 0.9, 1), ("n2", "c", 0.4, "u3", 0.2, 2), ("n2", "c", 0.4, "free", 0.1, 3),
+              ("n3", "d", 0.0, "u3", 0.9, 1), ("n3", "d", 0.0, "u4", 0.1, 2), ("n4", "e", 0.2, "u3", 0.5, 1)]
+    frame = spark.createDataFrame(ranked, RANKED)
+    concepts = frame.select("concept_id", "course_id").distinct()
+    got = {r["concept_id"]: (r["ku_id"], r["status"], r["n_rejected"]) for r in L.align(frame, concepts).collect()}
+    assert got == brute_alignment(ranked, set())
+    assert L.align(frame.limit(0), concepts.limit(0)).isEmpty()
+    none = {r["concept_id"]: r["status"] for r in L.align(frame.limit(0), concepts).collect()}
+    assert set(none.values()) == {"unaligned"} and len(none) == 7
 
 
 def test_coverage(spark, rows):
