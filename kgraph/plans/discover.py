@@ -1,8 +1,10 @@
-"""The discover answer for a table of interest queries, one table per section."""
+"""The discover answer for a table of interest queries: one table per section, or all sections as tagged rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgraph import constants as K
@@ -44,3 +46,36 @@ def discover(queries: DataFrame, query_ku: DataFrame, units: DataFrame, aligned:
         "thin_coverage": A.ku_labels(thin.select("query_id", "ku_id"), units).drop("knowledge_area"),
         "status": A.discover_status(queries, query_ku, matches),
     }
+
+
+def _joined(column: str) -> Column:
+    return F.concat_ws(",", F.transform(column, lambda x: x.cast("string")))
+
+
+def discover_answer(sections: dict[str, DataFrame]) -> DataFrame:
+    """All sections of `discover` as rows: query_id, section, position, item, label, detail, score, confidence, note.
+
+    Every query has one `status` row, whatever it found; its item is the status and its label the message. `unit` and
+    `thin` rows name units, `course` rows courses with what they cover, `combination` rows sets of courses in their order.
+    """
+    text, number = (lambda c: c.cast("string")), F.lit(None).cast("double")
+
+    def tagged(name: str, rows: DataFrame, item: Column, label: Column, detail: Column = F.lit(""), score: Column = number,
+               confidence: Column = number, note: Column = F.lit(""), position: Column = F.lit(None)) -> DataFrame:
+        return rows.select(
+            "query_id", F.lit(name).alias("section"), position.cast("bigint").alias("position"), text(item).alias("item"),
+            F.coalesce(label, F.lit("")).alias("label"), detail.alias("detail"), score.alias("score"),
+            confidence.alias("confidence"), note.alias("note"))
+
+    c = F.col
+    parts = [
+        tagged("status", sections["status"], c("status"), c("status_message")),
+        tagged("unit", sections["resolved_kus"], c("ku_id"), c("label"), c("knowledge_area")),
+        tagged("course", sections["courses"], c("course_id"), c("title"),
+               F.concat("coverage_breadth", F.lit(": "), _joined("covered_kus")), c("relevance_score"), c("confidence"),
+               c("caveat")),
+        tagged("combination", sections["combinations"], _joined("course_ids"), c("combined_coverage_breadth"),
+               _joined("combined_kus"), c("combined_relevance"), note=c("caveat"), position=c("position")),
+        tagged("thin", sections["thin_coverage"], c("ku_id"), c("label")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

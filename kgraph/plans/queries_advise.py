@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgraph import constants as K
 from kgraph.operators import advise as A
 from kgraph.operators import closure as C
+from kgraph.plans import discover as D
 from kgraph.plans.mapping import Tables
+from kgraph.plans.oracle import VIEWS
 from kgraph.plans.oracle import with_views as V
 
 
@@ -170,6 +173,24 @@ def status_branch(spark, folder):
     return A.discover_status(queries, t.interest(), matches).select("query_id", "status")
 
 
+def discover(spark, folder):
+    """Every nation asks three times: for its suppliers and a unit that no course covers, for a unit that is not known,
+    and for nothing that could be resolved."""
+    t = Tables(spark, folder)
+    nation = t.read("nation").select(F.col("n_nationkey").cast("bigint").alias("n"), "n_name")
+    uncovered, unknown = F.col("n") + 20_000_000, F.col("n") + 10_000_000
+    queries = nation.select(F.explode(F.array(*[F.col("n") + k for k in (0, 1000, 2000)])).alias("query_id"))
+    interest = (
+        t.interest().select("query_id", "ku_id")
+        .unionByName(nation.select(F.col("n").alias("query_id"), uncovered.alias("ku_id")))
+        .unionByName(nation.select((F.col("n") + 1000).alias("query_id"), unknown.alias("ku_id")))
+    )
+    units = t.knowledge_unit().unionByName(nation.select(
+        uncovered.alias("ku_id"), F.concat(F.lit("uncovered "), "n_name").alias("label"),
+        F.col("n_name").alias("knowledge_area"), F.lit("core").alias("tier")))
+    return D.discover_answer(D.discover(queries, interest, units, t.aligned_concept(), t.course(), t.declared()))
+
+
 COMBO_VIEWS = {
     "member": "SELECT * FROM pool",
     "pairset": """SELECT a.query_id, [a.rnk, b.rnk] AS ranks, [a.course_id, b.course_id] AS ids, a.total_kus,
@@ -222,6 +243,15 @@ OVERLAP_VIEWS = {
         JOIN declared d ON d.course_id = t.course_id
         WHERE NOT EXISTS (SELECT 1 FROM completed c WHERE c.student_id = t.student_id AND c.course_id = d.prereq_id)""",
 }
+DISCOVER_VIEWS = {
+    **COMBO_VIEWS,
+    "interest": VIEWS["interest"] + """ UNION ALL SELECT n_nationkey, n_nationkey + 20000000, 0 FROM nation
+        UNION ALL SELECT n_nationkey + 1000, n_nationkey + 10000000, 1 FROM nation""",
+    "ku": VIEWS["ku"] + " UNION ALL SELECT n_nationkey + 20000000, 'uncovered ' || n_name, n_name, 'core' FROM nation",
+    "asking": "SELECT CAST(n_nationkey + k AS BIGINT) AS query_id FROM nation, (VALUES (0), (1000), (2000)) v(k)",
+    "verdicts": """SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM interest) THEN 'no_concepts_resolved'
+        WHEN query_id NOT IN (SELECT query_id FROM matches) THEN 'no_courses_found' ELSE 'ok' END AS status FROM asking""",
+}
 
 QUERIES = {
     "match_courses": (match_courses, V("""SELECT query_id, course_id, course_number, subject_code, title, level,
@@ -306,4 +336,19 @@ QUERIES = {
         ku.knowledge_area, round(o.max_confidence, 3) AS confidence, o.matched FROM askedby t
         LEFT JOIN overlapped o ON o.student_id = t.student_id AND o.course_id = t.course_id
         LEFT JOIN ku ON ku.ku_id = o.ku_id""", {**REQUEST_VIEWS, **OVERLAP_VIEWS})),
+    "discover": (discover, V(f"""SELECT query_id, 'status' AS section, CAST(NULL AS BIGINT) AS position, status AS item,
+        CASE status WHEN 'no_concepts_resolved' THEN '{K.STATUS_NO_CONCEPTS}' WHEN 'no_courses_found' THEN '{K.STATUS_NO_COURSES}'
+        ELSE '' END AS label, '' AS detail, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS confidence, '' AS note FROM verdicts
+        UNION ALL SELECT query_id, 'unit', NULL, CAST(i.ku_id AS VARCHAR), coalesce(label, ''), coalesce(knowledge_area, ''),
+        NULL, NULL, '' FROM interest i LEFT JOIN ku ON ku.ku_id = i.ku_id
+        UNION ALL SELECT query_id, 'course', NULL, CAST(course_id AS VARCHAR), title, coverage_breadth || ': ' || covered_kus,
+        round(relevance_score, 3), round(mean_confidence, 3), '{K.COVERAGE_CAVEAT}' FROM ranked
+        UNION ALL SELECT query_id, 'combination', position, array_to_string(ids, ','),
+        CAST(len(kus) AS VARCHAR) || ' of ' || CAST(total_kus AS VARCHAR) || ' concepts',
+        array_to_string(list_sort(list_transform(kus, lambda x: CAST(x AS BIGINT))), ','), round(rel, 3), NULL,
+        '{K.COVERAGE_CAVEAT}' FROM combo
+        UNION ALL SELECT i.query_id, 'thin', NULL, CAST(i.ku_id AS VARCHAR), any_value(ku.label), '', NULL, NULL, '' FROM interest i
+        JOIN ku ON ku.ku_id = i.ku_id LEFT JOIN aligned a ON a.ku_id = i.ku_id
+        WHERE i.query_id IN (SELECT query_id FROM matches) GROUP BY i.query_id, i.ku_id
+        HAVING count(DISTINCT a.course_id) < {K.MIN_COVERAGE_COURSES}""", DISCOVER_VIEWS)),
 }

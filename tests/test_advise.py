@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kgraph.functions import scores as S
 from kgraph.operators import advise as A
 from kgraph.operators import guard as G
-from kgraph.plans.discover import discover
+from kgraph.plans.discover import discover, discover_answer
 
 COURSE = "course_id string, course_number string, subject_code string, title string, level string, description string"
 ALIGNED = "concept_id string, course_id string, ku_id string, confidence double"
@@ -108,6 +108,12 @@ def test_discover_sections(spark, rows, graph):
     assert best["CS-3"]["coverage_breadth"] == "3 of 4 concepts" and best["CS-3"]["confidence"] == 0.7
     assert len(best["CS-3"]["description_excerpt"]) == 200 and best["CS-1"]["covered_kus"] == ["A"]
     assert rows(answer["thin_coverage"], "query_id", "ku_id") == [("found", "D")]
+    tagged = discover_answer(answer)
+    assert rows(tagged.filter("section = 'status'"), "query_id", "item") == rows(answer["status"], "query_id", "status")
+    for section, name in (("unit", "resolved_kus"), ("course", "courses"), ("combination", "combinations"), ("thin", "thin_coverage")):
+        assert tagged.filter(F.col("section") == section).count() == answer[name].count()
+    assert rows(tagged.filter("section = 'thin'"), "query_id", "item") == [("found", "D")]
+    assert ("found", "CS-3") in rows(tagged.filter("section = 'course'"), "query_id", "item")
     graduate = discover(queries, asked, units, aligned, courses, declared, level="graduate")
     assert rows(graduate["courses"], "course_id") == [("CS-5",)]
 
