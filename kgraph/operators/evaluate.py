@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgraph import constants as K
 from kgraph.functions import scores as S
-from kgraph.operators.closure import bounded_closure
 from kgraph.operators.cycles import resolve_cycles
 from kgraph.operators.ranking import cumulative
 from kgraph.sources.staging import stage
@@ -44,19 +45,13 @@ def held_out_split(declared: DataFrame, fraction: float = K.HELD_OUT_FRACTION, s
 
 # --- prerequisite recovery --------------------------------------------------
 
-def _banded(edges: DataFrame, bands: dict) -> DataFrame:
-    """Each edge once per band it belongs to; a null range takes every edge."""
-    c = F.col("confidence")
-    names = [
-        F.when(F.lit(True) if span is None else (c >= span[0]) & (c < span[1]), F.lit(name))
-        for name, span in bands.items()
-    ]
-    return edges.withColumn("band", F.explode(F.array_compact(F.array(*names))))
+ALL_BANDS = {"all": None, **K.BAND_RANGES}
 
 
-# Between band and id in the keys of a walk; no catalogue id holds it.
-KEY_MARK = "\u0001"
-ALL_BANDS = {"all": None, **K.BAND_RANGES}
+def _mask(belongs: list[Column]) -> Column:
+    """One bit per band, set where the edge belongs to it. At most 62 bands."""
+    bits = [F.when(is_in, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, is_in in enumerate(belongs)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def course_reach(edges: DataFrame, concept_course: DataFrame, max_hops: int = K.REACH_MAX_HOPS,
@@ -64,37 +59,55 @@ def course_reach(edges: DataFrame, concept_course: DataFrame, max_hops: int = K.
     """(band, course_x, course_y): some concept of x reaches one of y.
 
     `edges` is (from_id, to_id, confidence), `concept_course` (concept_id,
-    course_id). Edges are filtered by band before walking.
+    course_id). Edges are filtered by band before walking; a null range takes
+    every edge.
     """
-    banded = _banded(edges.select("from_id", "to_id", "confidence"), bands or {"all": None})
-    return reach_by_band(banded, concept_course, max_hops)
-
-
-def reach_by_band(banded: DataFrame, concept_course: DataFrame, max_hops: int = K.REACH_MAX_HOPS) -> DataFrame:
-    """The same for edges that carry their `band`. One closure serves all bands
-    and all courses: a walk is keyed by (band, course)."""
-    banded = stage(banded.select("band", "from_id", "to_id"), "banded")
-    concept_course = stage(concept_course, "concept-course")
-    # Flat text keys sort much faster than structs.
-    key = lambda column: F.concat(F.col("band"), F.lit(KEY_MARK), F.col(column).cast("string"))
-    part = lambda column, n: F.split_part(column, F.lit(KEY_MARK), F.lit(n))
-    arcs = banded.select(key("from_id").alias("src"), key("to_id").alias("dst"))
-    starts = (
-        banded.select("band", F.col("from_id").alias("concept_id")).distinct()
-        .join(concept_course, "concept_id")
-        .select(key("course_id").alias("src"), key("concept_id").alias("at"))
-    )
-    types = concept_course.schema
-    walked = bounded_closure(arcs, max_hops, starts).select(
-        part("src", 1).alias("band"), part("src", 2).cast(types["course_id"].dataType).alias("course_x"),
-        part("dst", 2).cast(types["concept_id"].dataType).alias("concept_id"),
+    bands = bands or {"all": None}
+    c = F.col("confidence")
+    spans = [F.lit(True) if span is None else (c >= span[0]) & (c < span[1]) for span in bands.values()]
+    return _reach(edges.select("from_id", "to_id", _mask(spans).alias("mask")), concept_course, list(bands), max_hops)
+
+
+def reach_by_band(banded: DataFrame, concept_course: DataFrame, bands: list[str],
+                  max_hops: int = K.REACH_MAX_HOPS) -> DataFrame:
+    """The same for edges that carry their `band`, one of `bands`."""
+    masks = _mask([F.col("band") == band for band in bands])
+    return _reach(banded.select("from_id", "to_id", masks.alias("mask")), concept_course, bands, max_hops)
+
+
+def _reach(masked: DataFrame, concept_course: DataFrame, bands: list[str], max_hops: int) -> DataFrame:
+    """One walk for all courses and bands. A walk carries the bands that all its
+    edges share; a round walks on only with bands that its (course, concept) did
+    not have before, which one aggregation with a map side finds."""
+    arcs = stage(
+        masked.filter("mask <> 0").groupBy(F.col("from_id").alias("at"), F.col("to_id").alias("to"))
+        .agg(F.bit_or("mask").alias("arc")), "arcs",
     )
-    return (
-        walked.join(concept_course, "concept_id")
-        .filter(F.col("course_x") != F.col("course_id"))
-        .select("band", "course_x", F.col("course_id").alias("course_y"))
-        .distinct()
+    concept_course = stage(concept_course.select("concept_id", "course_id"), "concept-course")
+    owner = concept_course.select(F.col("concept_id").alias("at"), F.col("course_id").alias("course_x"))
+    none = F.lit(0).cast("long")
+    rounds: list[DataFrame] = []
+    walks = arcs.join(owner, "at").select("course_x", F.col("to").alias("at"), F.col("arc").alias("mask"))
+    for hop in range(max(1, max_hops)):
+        both = walks.select("course_x", "at", F.col("mask").alias("new"), none.alias("old"))
+        for earlier in rounds:
+            both = both.unionAll(earlier.select("course_x", "at", none.alias("new"), F.col("mask").alias("old")))
+        fresh = F.bit_or("new").bitwiseAND(F.bitwise_not(F.bit_or("old")))
+        frontier = stage(both.groupBy("course_x", "at").agg(fresh.alias("mask")).filter("mask <> 0"), "reach-hop")
+        rounds.append(frontier)
+        if hop + 1 >= max_hops or frontier.isEmpty():
+            break
+        walks = frontier.join(arcs, "at").select(
+            "course_x", F.col("to").alias("at"), F.col("mask").bitwiseAND(F.col("arc")).alias("mask")
+        ).filter("mask <> 0")
+    reached = reduce(DataFrame.unionAll, rounds).withColumnRenamed("at", "concept_id")
+    pairs = (
+        reached.join(concept_course.withColumnRenamed("course_id", "course_y"), "concept_id")
+        .filter(F.col("course_x") != F.col("course_y"))
+        .groupBy("course_x", "course_y").agg(F.bit_or("mask").alias("mask"))
     )
+    named = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(band)) for i, band in enumerate(bands)]
+    return pairs.select(F.explode(F.array_compact(F.array(*named))).alias("band"), "course_x", "course_y")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -219,7 +232,7 @@ def ablation_edges(scored: DataFrame, declared: DataFrame, min_score: float = K.
 
 def ablation(mode_edges: DataFrame, concept_course: DataFrame, held_out: DataFrame, declared: DataFrame) -> DataFrame:
     """The metric per mode; one closure walks the graphs of all modes."""
-    reach = stage(reach_by_band(mode_edges, concept_course), "reach")
+    reach = stage(reach_by_band(mode_edges, concept_course, list(MODES)), "reach")
     return prf(reach, held_out, declared, list(MODES)).withColumnRenamed("band", "mode")
 
 
