@@ -239,15 +239,18 @@ def infer_graph(concepts: DataFrame, courses: DataFrame, units: DataFrame, decla
 
 def evaluate_graph(edges: DataFrame, nodes: DataFrame, declared: DataFrame, held_out: DataFrame | None = None,
                    summaries: dict[str, DataFrame | None] | None = None, ablate: bool = False,
-                   out: str | None = None) -> dict[str, DataFrame]:
-    """Split, metric by band and area, reproduction, failures, ablation, report."""
+                   out: str | None = None, scope: str | None = None) -> dict[str, DataFrame]:
+    """Split, metric by band and area, reproduction, failures, ablation, report. `scope` as in evaluate.reach_masks, a
+    column of edges and, for the ablation, of nodes."""
     declared = stage(I.declared_pairs(declared), "declared")
     split = stage(E.held_out_split(declared), "split")
     test = split.filter("part = 'test'") if held_out is None else held_out
-    of_course = stage(nodes.select("concept_id", "course_id").distinct(), "courses")
-    reach = stage(E.course_reach(edges, of_course, bands=E.ALL_BANDS), "reach")
+    of_course = None if scope else stage(nodes.select("concept_id", "course_id").distinct(), "courses")
+    reach = E.reach_masks(edges, of_course, bands=E.ALL_BANDS, scope=scope)
+    if scope is None:
+        reach = stage(reach, "reach")
     headline = stage(E.prf(reach, test, declared, list(E.ALL_BANDS)), "headline")
-    by_area = stage(E.prf_by_area(reach.filter("band = 'all'"), test, declared, nodes), "by_area")
+    by_area = stage(E.prf_by_area(reach.filter(F.col("mask").bitwiseAND(F.lit(1)) != 0), test, declared, nodes), "by_area")
     reproduction = E.reproduction_report(E.classify_edges(edges, of_course, declared))
     given = summaries or {}
     failures = E.failure_report(given.get("ingestion"), given.get("extraction"), given.get("inference"), by_area)
@@ -260,9 +263,9 @@ def evaluate_graph(edges: DataFrame, nodes: DataFrame, declared: DataFrame, held
     )
     results = {"split": split, "headline": headline, "by_area": by_area, "reproduction": reproduction, "failures": failures}
     if ablate:
-        scored = stage(I.score_edges(edges, nodes, I.prerequisite_prior(declared)), "scored")
-        modes = stage(E.ablation_edges(scored, declared), "modes")
-        results["ablation"] = stage(E.ablation(modes, of_course, test, declared), "ablation")
+        scored = stage(I.score_edges(edges, nodes, I.prerequisite_prior(declared), scope=scope), "scored")
+        modes = E.ablation_edges(scored, declared, scope=scope)
+        results["ablation"] = stage(E.ablation(modes, of_course, test, declared, scope=scope), "ablation")
         report = report.unionByName(E.report_rows(results["ablation"], "ablation", "mode", ["tp", "fp", "fn", *quality]))
     results["report"] = report
     return _stored(results, out)
