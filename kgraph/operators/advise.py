@@ -372,45 +372,67 @@ def course_detail(courses: DataFrame, aligned: DataFrame, units: DataFrame, decl
     return concept.unionByName(prereq).unionByName(unlocked)
 
 
-def overlap_units(requests: DataFrame, completed: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Units of each target course, marked covered by other completed courses.
+PACK = 64
+
+
+def _packed_units(units_of: DataFrame) -> DataFrame:
+    """(course_id, units): a course's units as rows of at most PACK, so that a hub course does not become one giant record."""
+    place = F.row_number().over(W.partitionBy("course_id").orderBy("ku_id"))
+    return (
+        units_of.withColumn("pack", F.floor((place - 1) / PACK)).groupBy("course_id", "pack")
+        .agg(F.collect_list(F.struct(*[c for c in units_of.columns if c != "course_id"])).alias("units")).drop("pack")
+    )
+
+
+def _overlap_rows(requests: DataFrame, completed: DataFrame, units_of: DataFrame, outer: bool = False) -> DataFrame:
+    """The columns of `requests` and `units_of` with `matched` for each unit of each target; `outer` keeps requests
+    without units, as a row where `matched` is null.
 
     A student's coverage of a unit is kept as the smallest and largest covering
-    course: the target itself is the only cover exactly when both equal it.
+    course: the target itself is the only cover exactly when both equal it. Courses carry their units to the students in
+    packs, and these are opened where all rows of a student lie; single units never travel.
     """
-    units_of = course_units(aligned).select("course_id", "ku_id", "max_confidence")
-    covered = (
-        completed.select("student_id", "course_id").distinct()
-        .join(units_of.select("course_id", "ku_id"), "course_id")
-        .groupBy("student_id", "ku_id")
-        .agg(F.min("course_id").alias("first_cover"), F.max("course_id").alias("last_cover"))
-    )
-    wanted = requests.select("student_id", "course_id").distinct().join(units_of, "course_id")
+    key = ["student_id", "course_id"]
+    told = [c for c in requests.columns if c not in key]
+    asked = requests.select(*key, *told, F.lit(True).alias("asked"), F.lit(False).alias("done"))
+    taken = completed.filter(F.col("student_id").isNotNull()).select(*key, F.lit(False).alias("asked"), F.lit(True).alias("done"))
+    pairs = asked.unionByName(taken, allowMissingColumns=True).groupBy(*key).agg(
+        *[F.max(c).alias(c) for c in told], F.bool_or("asked").alias("asked"), F.bool_or("done").alias("done"))
+    packs = _packed_units(units_of).withColumnRenamed("course_id", "of_course")
+    fields = [c for c in units_of.columns if c != "course_id"]
+    slim = F.transform("units", lambda u: F.struct(
+        u["ku_id"].alias("ku_id"), *[F.when(F.col("asked"), u[c]).alias(c) for c in fields if c != "ku_id"]))
+    of_course = (F.col("course_id") == F.col("of_course")) & F.col("student_id").isNotNull() if outer else F.col("course_id") == F.col("of_course")
+    met = pairs.join(packs, of_course, "left" if outer else "inner").select(
+        *key, *told, "asked", "done", slim.alias("units")).repartition("student_id")
+    opened = (F.explode_outer if outer else F.explode)("units").alias("u")
+    rows = met.select(*key, *told, "asked", "done", opened).withColumn("present", F.col("u").isNotNull()).select(
+        *key, *told, "asked", "done", "present", "u.*")
+    same = W.partitionBy("student_id", "ku_id")
+    cover = F.when(F.col("done") & F.col("ku_id").isNotNull(), F.col("course_id"))
     by_other = (F.col("first_cover") != F.col("course_id")) | (F.col("last_cover") != F.col("course_id"))
-    return wanted.join(covered, ["student_id", "ku_id"], "left").select(
-        "student_id", "course_id", "ku_id", "max_confidence",
-        F.coalesce(by_other, F.lit(False)).alias("matched"),
-    )
+    return rows.withColumn("first_cover", F.min(cover).over(same)).withColumn("last_cover", F.max(cover).over(same)).filter("asked").select(
+        *key, *told, *fields, F.when(F.col("present"), F.coalesce(by_other, F.lit(False))).alias("matched"))
+
+
+def _best_units(aligned: DataFrame) -> DataFrame:
+    """(course_id, ku_id, max_confidence), lying by course."""
+    return aligned.select("course_id", "ku_id", "confidence").repartition("course_id").groupBy("course_id", "ku_id").agg(
+        F.max("confidence").alias("max_confidence"))
+
+
+def overlap_units(requests: DataFrame, completed: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Units of each target course, marked covered by other completed courses."""
+    return _overlap_rows(requests.select("student_id", "course_id"), completed, _best_units(aligned))
 
 
 def overlap(requests: DataFrame, completed: DataFrame, aligned: DataFrame, courses: DataFrame,
             declared: DataFrame | None = None) -> DataFrame:
     """Per request: matched and missing units, mean confidence of the matched."""
-    per_request = (
-        overlap_units(requests, completed, aligned)
-        .groupBy("student_id", "course_id")
-        .agg(
-            F.count_if("matched").alias("n_matched"),
-            F.count_if(~F.col("matched")).alias("n_gap"),
-            F.avg(F.when(F.col("matched"), F.col("max_confidence"))).alias("confidence"),
-        )
-    )
-    checked = course_exists(requests.select("student_id", "course_id").distinct(), courses, declared)
-    return checked.join(per_request, ["student_id", "course_id"], "left").select(
-        "student_id", "course_id", "status",
-        F.coalesce("n_matched", F.lit(0)).alias("n_matched"),
-        F.coalesce("n_gap", F.lit(0)).alias("n_gap"),
-        F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"),
+    checked = course_exists(requests.select("student_id", "course_id"), courses, declared)
+    return _overlap_rows(checked, completed, _best_units(aligned), outer=True).groupBy("student_id", "course_id").agg(
+        F.max("status").alias("status"), F.count_if("matched").alias("n_matched"), F.count_if(~F.col("matched")).alias("n_gap"),
+        F.round(F.coalesce(F.avg(F.when(F.col("matched"), F.col("max_confidence"))), F.lit(0.0)), 3).alias("confidence"),
     )
 
 
@@ -467,11 +489,11 @@ def overlap_details(requests: DataFrame, completed: DataFrame, aligned: DataFram
                     declared: DataFrame | None = None) -> DataFrame:
     """Matched and missing units of every request with label and area, one row each; a request for an unknown course
     or one without units has a single row without unit."""
-    named = overlap_units(requests, completed, aligned).join(
+    named = _best_units(aligned).join(
         units.select("ku_id", F.coalesce("label", F.lit("")).alias("ku_label"), F.coalesce("knowledge_area", F.lit("")).alias("knowledge_area")),
-        "ku_id")
-    checked = course_exists(requests.select("student_id", "course_id").distinct(), courses, declared)
-    return checked.join(named, ["student_id", "course_id"], "left").select(
+        "ku_id").select("course_id", "ku_id", "max_confidence", "ku_label", "knowledge_area")
+    checked = course_exists(requests.select("student_id", "course_id"), courses, declared)
+    return _overlap_rows(checked, completed, named, outer=True).select(
         "student_id", "course_id", "status", "ku_id", "ku_label", "knowledge_area",
         F.round("max_confidence", 3).alias("confidence"), "matched")
 

@@ -154,3 +154,18 @@ def test_requests_for_single_courses(spark, rows):
     assert rows(A.overlap_details(students, done, aligned, units, courses)) == sorted([
         ("s", "C", "ok", "k", "unit", "X", 0.9, True), ("s", "A", "ok", None, None, None, None, None),
         ("s", "NO", "course_not_found", None, None, None, None, None)], key=repr)
+
+
+def test_overlap_of_a_hub_course_and_of_odd_requests(spark, rows):
+    """More units than one pack holds; a cover by another course, by the target itself, for a null student; unknown courses."""
+    aligned = spark.createDataFrame([(1, k, 0.5) for k in range(150)] + [(2, 149, 0.25), (2, 500, 0.75)],
+                                    "course_id int, ku_id int, confidence double")
+    done = spark.createDataFrame([(7, 2), (7, 1), (8, 1), (None, 2)], "student_id int, course_id int")
+    asked = spark.createDataFrame([(7, 1), (8, 1), (None, 1), (9, 3), (9, 4)], "student_id int, course_id int")
+    got = A.overlap_units(asked, done, aligned)
+    assert got.count() == 450 and rows(got.filter("matched"), "student_id", "course_id", "ku_id") == [(7, 1, 149)]
+    courses = spark.createDataFrame([(1,), (2,), (3,)], "course_id int")
+    batch = rows(A.overlap(asked, done, aligned, courses), "student_id", "course_id", "status", "n_matched", "n_gap", "confidence")
+    assert (7, 1, "ok", 1, 149, 0.5) in batch and (9, 3, "ok", 0, 0, 0.0) in batch and (9, 4, "course_not_found", 0, 0, 0.0) in batch
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("ku_id" in line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line)
