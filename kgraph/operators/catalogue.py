@@ -13,6 +13,7 @@ from kgraph import constants as K
 from kgraph.functions import html as H
 from kgraph.functions import text as T
 from kgraph.functions.once import with_once
+from kgraph.session import small_arrow_batches
 
 # --- pages ------------------------------------------------------------------
 
@@ -23,6 +24,7 @@ def course_blocks(pages: DataFrame) -> DataFrame:
     of the expected form is dropped.
     """
     parts = [("p", "courseblocktitle"), ("p", "courseblockdesc")]
+    small_arrow_batches(pages.sparkSession)
     blocks = pages.select("url", F.explode(H.blocks("html", ("div", "courseblock"), parts)).alias("parts"))
     titled = with_once(blocks, {
         "title_text": H.joined(F.get("parts", F.lit(0))),
@@ -37,6 +39,7 @@ def course_blocks(pages: DataFrame) -> DataFrame:
 
 def course_pages(pages: DataFrame) -> DataFrame:
     """One raw course per course page; pages without a course code drop out."""
+    small_arrow_batches(pages.sparkSession)
     read = with_once(
         pages.withColumn("found", H.elements("html", ["div", "td", "p"])).drop("html"),
         {"page_text": H.text_of(H.first(F.col("found")))},
@@ -71,6 +74,7 @@ def course_slug(course_number) -> Column:
 def syllabus_pages(pages: DataFrame) -> DataFrame:
     """(url, number_3, title, description, prerequisite_refs, has_description)
     of syllabus pages; pages without a course heading drop out."""
+    small_arrow_batches(pages.sparkSession)
     read = pages.select("url", H.elements("html", ["main", "article", "h1"]).alias("found"))
     tagged = lambda tag: H.first(H.where("found", lambda e: e["tag"] == tag))
     read = read.withColumn("main", F.coalesce(tagged("main"), tagged("article"), H.first(F.col("found"))))
@@ -124,6 +128,7 @@ def programme_pages(pages: DataFrame) -> DataFrame:
     Rules are the list items, paragraphs and table rows of the requirement block;
     a page without any has its text lines instead.
     """
+    small_arrow_batches(pages.sparkSession)
     read = pages.select("url", H.elements("html", ["h1", "strong", "b", "div", "body", "li", "p", "tr"]).alias("found"))
     named = lambda tag: H.first(H.where("found", lambda e: e["tag"] == tag))
     nonempty = lambda c: F.when(c != "", c)
@@ -160,6 +165,7 @@ def programme_pages(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, pos, href, link_text) of every link with a target."""
+    small_arrow_batches(pages.sparkSession)
     links = H.where(H.elements("html", ["a"]), lambda e: (e["tag"] == "a") & e["href"].isNotNull())
     return pages.select("url", F.posexplode(links).alias("pos", "a")).select(
         "url", "pos", F.col("a.href").alias("href"), H.text_of(F.col("a"), "").alias("link_text")

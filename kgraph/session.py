@@ -25,3 +25,15 @@ def build_session(app: str = "kgraph", master: str | None = None, conf: dict | N
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = 128, size: int = 4 << 20) -> None:
+    """Bound what a Python worker holds of landed pages at a time, for all plans that follow in this session.
+
+    The elements of a page take many times its bytes, and a batch of 10,000 pages is held with all its elements.
+    """
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(records))
+    if now <= 0 or now > rows:
+        spark.conf.set(records, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -216,3 +216,10 @@ def test_once_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "k", 2)], "`a.b` int, _once string, x int")
     out = with_once(df, {"x": F.col("x") + 1, "y": F.col("`a.b`") * 10})
     assert out.columns == ["a.b", "_once", "x", "y"] and tuple(out.first()) == (1, "k", 3, 10)
+
+
+def test_pages_are_read_in_small_batches(spark):
+    from kgraph.operators import catalogue
+
+    catalogue.programme_pages(spark.createDataFrame([("u", "<h1>A</h1>")], "url string, html string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 128
