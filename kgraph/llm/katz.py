@@ -12,12 +12,14 @@ sums to one exactly. A context that was never seen is left out (P(w)). Counts ab
 context leaves some mass; where counts are too few for Good-Turing (an empty class of counts, or a discount outside (0, 1]),
 half an occurrence is taken off instead.
 
-Tables: word counts are grouped by word. Pairs travel once, packed: a chunk of texts sends one row of sorted arrays to
-each part, a part being the pairs of the contexts with one hash. Contexts with more than 1 / HOT of all tokens are spread over the
-parts by their second word; their counts (at most HOT) are what is broadcast. A part is about PART_BYTES of text. It knows all
-counts of its pairs, answers each chunk with sums per text, and passes on the pairs not seen, the counts of their
-contexts and the words that follow these, which are then joined with the word counts. Everything covers all training
-texts and grows with them; nothing is collected but totals, count-of-counts and hot words.
+Tables: word counts are grouped by word. Pairs travel once, packed: a chunk of texts sends one row to each part, a part being
+the pairs of the contexts with one hash; the row holds each pair once, and which texts of the chunk have it. Contexts with more
+than 1 / HOT of all tokens are spread over the parts by their second word; their counts (at most HOT) are broadcast, and so
+are those of the words with more than 1 / COMMON of all tokens (at most COMMON), which travel as short numbers. A part is about
+PART_BYTES of text. It knows all counts of its pairs and answers each chunk with them; sums are made where a chunk meets its
+answers. It passes on the pairs not seen, the counts of their contexts and those words behind them that are not common, which
+are then joined with the word counts. Everything covers all training texts and grows with them; nothing is collected but
+totals, count-of-counts and words above these shares.
 
 Defined cases: a null or empty text is one end token; repeated rows count as often as they are there and get equal rows; without
 training texts every text has base_score and score 0; rows without doc_id are never learned from; an empty table gives
@@ -45,11 +47,52 @@ from kgraph.sources.staging import stage
 MOST = 5
 LARGE = 1 - 1e-6
 HOT = 10_000
+COMMON = 1 << 18
 PART_BYTES = 4 << 20
 CHUNK_TOKENS = 1 << 20
 BEGIN, END, NONE = np.uint64(1), np.uint64(2), np.uint64(0)
-CHUNKS = "part int, chunk long, v array<long>, w array<long>, doc array<int>, n array<int>, ids array<long>, held array<boolean>, tokens array<long>"
-ANSWERS = "kind string, chunk long, a array<long>, b array<long>, c array<long>, x array<double>, y array<double>, ids array<long>, held array<boolean>"
+CHUNKS = "part int, chunk long, pairs binary, docs binary, ids array<long>, held array<boolean>, tokens array<long>"
+ANSWERS = ("kind string, chunk long, a array<long>, b array<long>, c array<long>, x array<double>, ids array<long>, "
+           "held array<boolean>, pairs binary, docs binary")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, each in the smallest type that holds it, compressed together."""
+    narrow = [a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
+    head = "".join(f"{a.dtype.itemsize}:{len(a)} " for a in narrow).encode()
+    body = b"".join(a.tobytes() for a in narrow)
+    sizes = np.array([len(head), len(body)], np.int64).tobytes()
+    return sizes + head + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    head, body = np.frombuffer(packed, np.int64, 2)
+    data = pa.decompress(packed[16 + head:], int(body), "zstd", asbytes=True)
+    out, at = [], 0
+    for shape in packed[16:16 + head].decode().split():
+        width, n = map(int, shape.split(":"))
+        out.append(np.frombuffer(data, f"u{width}", n, at))
+        at += width * n
+    return out
+
+
+def coded(words: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Words as places in `common`, which is sorted, and in full where they are not there."""
+    at = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    known = common[at] == words if len(common) else np.zeros(len(words), bool)
+    return [np.packbits(known), at[known], words[~known]]
+
+
+def decoded(n: int, known: np.ndarray, at: np.ndarray, rest: np.ndarray, common: np.ndarray) -> np.ndarray:
+    known = np.unpackbits(known, count=n).astype(bool)
+    words = np.empty(n, np.uint64)
+    words[known], words[~known] = common[at], rest
+    return words
+
+
+def runs(new: np.ndarray) -> np.ndarray:
+    """Lengths of the runs that begin where `new` is true."""
+    return np.diff(np.append(np.flatnonzero(new), len(new)))
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,16 +121,25 @@ def parts_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.nd
     return (mix(np.where(spread, v ^ mix(w), v)) % np.uint64(parts)).astype(np.int32)
 
 
-def make_chunks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def make_chunks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, common: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Per chunk one row of the texts (ids, fold, number of tokens), and a row of sorted pairs for each part.
 
-    `doc` is twice the text's place in its chunk, plus one if it is held out.
+    `pairs` has the contexts, the number of pairs of each, the second words, and how often each pair is learned from; `docs`
+    has the number of texts with each pair, and for each of these the text and how often. A text is twice its place in its
+    chunk, plus one if it is held out.
     """
     kept: list[pa.RecordBatch] = []
     size = number = 0
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("v", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())),
-                        ("doc", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
-                        ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("docs", pa.binary()),
+                        ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int64()))])
+
+    def packed(v: np.ndarray, w: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+        new_v = np.ones(len(v), bool)
+        new_v[1:] = v[1:] != v[:-1]
+        new = new_v.copy()
+        new[1:] |= w[1:] != w[:-1]
+        learned = np.add.reduceat(np.where(doc % 2 == 0, n, 0), np.flatnonzero(new))
+        return pack(*coded(v[new_v], common), runs(new_v[new]), *coded(w[new], common), learned), pack(runs(new), doc, n)
 
     def chunk() -> pa.RecordBatch:
         whole = pa.Table.from_batches(kept).combine_chunks()
@@ -109,15 +161,14 @@ def make_chunks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int)
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(doc))).astype(np.int32)
-        part, first, second, doc = part[at], first[at].view(np.int64), second[at].view(np.int64), doc[at]
+        part, first, second, doc = part[at], first[at], second[at], doc[at]
         present, cuts = np.unique(part, return_index=True)
         name = (TaskContext.get().partitionId() << 32) + number
-        split = lambda values: [*np.split(values, cuts[1:]), None]
+        blobs = [packed(first[a:b], second[a:b], doc[a:b], times[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
         last = [None] * len(present)
         return pa.RecordBatch.from_arrays([
             pa.array([*present.tolist(), name % parts], pa.int32()), pa.array([name] * (len(present) + 1), pa.int64()),
-            *(pa.array(split(x), t) for x, t in ((first, schema.field("v").type), (second, schema.field("w").type),
-                                                 (doc, schema.field("doc").type), (times, schema.field("n").type))),
+            pa.array([*(p for p, _ in blobs), None], pa.binary()), pa.array([*(d for _, d in blobs), None], pa.binary()),
             pa.array([*last, whole["doc_id"].to_pylist()], schema.field("ids").type), pa.array([*last, held], schema.field("held").type),
             pa.array([*last, sizes + 1], schema.field("tokens").type)], schema=schema)
 
@@ -131,80 +182,77 @@ def make_chunks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int)
         yield chunk()
 
 
-def answer_part(rows: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> pa.Table:
-    """What one part has to say: sums per text, unseen pairs, their contexts with all followers, count-of-counts."""
+def answer_part(rows: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, common: np.ndarray, shares: np.ndarray) -> pa.Table:
+    """What one part has to say: counts for each chunk, unseen pairs, their contexts with all followers, count-of-counts.
+
+    `shares` are the discounted probabilities of the common words.
+    """
     out: list[dict] = []
     texts = rows.filter(pc.is_valid(rows["ids"]))
     for r in texts.select(["chunk", "ids", "held", "tokens"]).to_pylist():
         out.append({"kind": "texts", "chunk": r["chunk"], "ids": r["ids"], "held": r["held"], "a": r["tokens"]})
-    rows = rows.filter(pc.is_valid(rows["v"])).combine_chunks()
+    rows = rows.filter(pc.is_valid(rows["pairs"])).select(["chunk", "pairs", "docs"])
     if rows.num_rows:
-        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
-        v, w = flat("v").view(np.uint64), flat("w").view(np.uint64)
-        doc, n = flat("doc"), flat("n").astype(np.int64)
-        lengths = pc.list_value_length(rows["v"]).to_numpy()
-        chunk = np.repeat(np.arange(rows.num_rows), lengths)
+        ids, of_docs = rows["chunk"].to_pylist(), rows["docs"].to_pylist()
+        vs, ws, learned, each = [], [], [], []  # each: pairs of every context, by chunk
+        for packed in rows["pairs"]:
+            v_known, v_at, v_rest, n_pairs, *second, times = unpack(packed.as_py())
+            size = int(n_pairs.sum(dtype=np.int64))
+            vs.append(np.repeat(decoded(len(n_pairs), v_known, v_at, v_rest, common), n_pairs))
+            ws.append(decoded(size, *second, common))
+            learned.append(times)
+            each.append(n_pairs)
+        borders = np.cumsum([0, *map(len, ws)])
+        v, w, learned = np.concatenate(vs), np.concatenate(ws), np.concatenate(learned)
+        del vs, ws
         order = np.lexsort((w, v))
-        v, w, doc, n, chunk = v[order], w[order], doc[order], n[order], chunk[order]
+        pv, pw = v[order], w[order]
         new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        learned = np.where(doc % 2 == 0, n, 0)
-        counts = np.bincount(pair, learned).astype(np.int64)
-        pv, pw = v[first], w[first]
+        new[1:] = (pv[1:] != pv[:-1]) | (pw[1:] != pw[:-1])
+        pair = np.empty(len(v), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        pv, pw = pv[new], pw[new]
+        counts = np.bincount(pair, learned, len(pv)).astype(np.int64)
         contexts, context = np.unique(pv, return_inverse=True)
         totals = np.bincount(context, counts).astype(np.int64)
         at = np.minimum(np.searchsorted(hot, contexts), max(0, len(hot) - 1))
         is_hot = hot[at] == contexts if len(hot) else np.zeros(len(contexts), bool)
         totals[is_hot] = hot_counts[at[is_hot]]
-        c, total = counts[pair], totals[context[pair]]
-        seen = c > 0
-        logs = np.zeros(len(v))
-        logs[seen] = n[seen] * (np.log10(c[seen]) - np.log10(total[seen]))
-        word = v != BEGIN
-        base = np.where(word, n * np.log10(total + 1.0), 0.0)
-        known = np.where(word & (total > 0), n, 0)
-        # sums per text; classes 1..MOST of counts, and 0 for those above
-        text = chunk.astype(np.int64) << 32 | doc // 2
-        names, place = np.unique(text, return_inverse=True)
-        classes = np.where(c > MOST, 0, c)
-        table_ = np.zeros((len(names), MOST + 1))
-        np.add.at(table_, (place[seen], classes[seen]), n[seen])
-        logs, base, known = (np.bincount(place, x, len(names)) for x in (logs, base, known))
-        cuts = np.searchsorted(names >> 32, np.arange(rows.num_rows + 1))
-        ids = rows["chunk"].to_pylist()
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                out.append({"kind": "sums", "chunk": ids[k], "a": names[a:b] & 0xFFFFFFFF, "b": known[a:b].astype(np.int64),
-                            "c": table_[a:b].astype(np.int64).ravel(), "x": logs[a:b], "y": base[a:b]})
-        none = np.flatnonzero(~seen)
-        if len(none):
-            cut = np.argsort(chunk[none], kind="stable")
-            none = none[cut]
-            start = np.where(total[none] > 0, v[none], NONE).view(np.int64)
-            borders = np.searchsorted(chunk[none], np.arange(rows.num_rows + 1))
-            for k, (a, b) in enumerate(zip(borders[:-1], borders[1:])):
-                if b > a:
-                    i = none[a:b]
-                    out.append({"kind": "unseen", "chunk": ids[k], "a": doc[i].astype(np.int64) // 2, "b": start[a:b],
-                                "c": w[i].view(np.int64), "ids": n[i]})
         needed = is_hot.copy()
-        needed[np.unique(context[pair[none]])] = True
+        for k, (a, b) in enumerate(zip(borders[:-1], borders[1:])):
+            c, total = counts[pair[a:b]], totals[context[pair[a:b]]]
+            heads = np.cumsum(each[k], dtype=np.int64) - each[k]
+            out.append({"kind": "counts", "chunk": ids[k], "docs": of_docs[k],
+                        "pairs": pack(each[k], c, total[heads], v[a:b][heads] == BEGIN)})
+            if not c.all():
+                n_docs, doc, n = unpack(of_docs[k])
+                none = np.flatnonzero(np.repeat(c == 0, n_docs))
+                i = np.repeat(np.arange(a, b), n_docs)[none]
+                needed[context[pair[i]]] = True
+                out.append({"kind": "unseen", "chunk": ids[k], "a": doc[none].astype(np.int64) // 2,
+                            "b": np.where(total[i - a] > 0, v[i], NONE).view(np.int64), "c": w[i].view(np.int64),
+                            "ids": n[none].astype(np.int64)})
         mine = np.flatnonzero(needed[context] & (counts > 0))
         if len(mine):
-            out.append({"kind": "followers", "a": pv[mine].view(np.int64), "b": pw[mine].view(np.int64)})
+            at = np.minimum(np.searchsorted(common, pw[mine]), max(0, len(common) - 1))
+            known = common[at] == pw[mine] if len(common) else np.zeros(len(mine), bool)
+            covered = np.bincount(context[mine[known]], shares[at[known]], len(contexts))
+            rare = mine[~known]
+            out.append({"kind": "followers", "a": pv[rare].view(np.int64), "b": pw[rare].view(np.int64)})
             shape = np.zeros((len(contexts), MOST + 1), np.int64)
             large = counts[mine] > MOST
             np.add.at(shape, (context[mine[large]], 0), counts[mine[large]])
             np.add.at(shape, (context[mine[~large]], counts[mine[~large]]), 1)
             has = np.unique(context[mine])
-            out.append({"kind": "contexts", "a": contexts[has].view(np.int64), "b": totals[has], "c": shape[has].ravel()})
+            out.append({"kind": "contexts", "a": contexts[has].view(np.int64), "b": totals[has], "c": shape[has].ravel(),
+                        "x": covered[has]})
         out.append({"kind": "histogram", "a": np.bincount(np.minimum(counts, MOST + 2), minlength=MOST + 3)[1:MOST + 2]})
-    lists, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+    lists = pa.list_(pa.int64())
     return pa.table({
         "kind": pa.array([o["kind"] for o in out], pa.string()), "chunk": pa.array([o.get("chunk") for o in out], pa.int64()),
-        **{k: pa.array([o.get(k) for o in out], lists) for k in "abc"}, **{k: pa.array([o.get(k) for o in out], doubles) for k in "xy"},
+        **{k: pa.array([o.get(k) for o in out], lists) for k in "abc"}, "x": pa.array([o.get("x") for o in out], pa.list_(pa.float64())),
         "ids": pa.array([o.get("ids") for o in out], lists), "held": pa.array([o.get("held") for o in out], pa.list_(pa.bool_())),
+        **{k: pa.array([o.get(k) for o in out], pa.binary()) for k in ("pairs", "docs")},
     })
 
 
@@ -250,31 +298,40 @@ def score(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
     classes = [F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, MOST + 2)]
     whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("w") == int(END), F.col("n"))).alias("e"), *classes).first()
     tokens, words, ends = whole.n or 0, whole.v, whole.e or 0
-    common = counts.filter((F.col("n") > tokens / HOT) & (F.col("w") != int(END))).collect()
-    hot = sorted([(r.w % 2 ** 64, r.n) for r in common] + [(int(BEGIN), ends)])
+    single = discounts([whole[f"n{r}"] for r in range(1, MOST + 2)])
+    own = counts.select(F.col("w"), (_discounted(F.col("n"), single) / F.lit(max(1, tokens))).alias("p"))
+    often = own.join(counts.filter(F.col("n") > tokens / max(HOT, COMMON)), "w").toArrow().sort_by("w")
+    often_words, often_counts = often["w"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    is_hot = (often_counts > tokens / HOT) & (often_words != END)
+    hot = sorted([*zip(often_words[is_hot].tolist(), often_counts[is_hot].tolist()), (int(BEGIN), ends)])
     hot_words, hot_counts = np.array([h for h, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
+    order = np.argsort(often_words)
+    held_words = spark.sparkContext.broadcast((hot_words, hot_counts, often_words[order], often["p"].to_numpy()[order]))
 
-    chunks = rows.mapInArrow(lambda batches: make_chunks(batches, hot_words, parts), CHUNKS)
-    answers = stage(
-        chunks.groupBy("part").applyInArrow(lambda t: answer_part(t, hot_words, hot_counts), ANSWERS), "katz-answers")
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, _, common, _ = held_words.value
+        return make_chunks(batches, hot, common, parts)
+
+    chunks = rows.mapInArrow(chunked, CHUNKS)
+    answers = stage(chunks.groupBy("part").applyInArrow(lambda t: answer_part(t, *held_words.value), ANSWERS), "katz-answers")
 
     def kind(name: str) -> DataFrame:
         return answers.filter(F.col("kind") == name)
 
     histogram = kind("histogram").agg(*[F.sum(F.col("a")[r]) for r in range(MOST + 1)]).first()
-    single, double = discounts([whole[f"n{r}"] for r in range(1, MOST + 2)]), discounts([x or 0 for x in histogram])
+    double = discounts([x or 0 for x in histogram])
     mass = counts.agg(F.sum(_discounted(F.col("n"), single))).first()[0] or 0.0
     found = Totals(tokens, words, ends, single, double, 1 - mass / tokens if tokens else 1.0)
 
-    own = counts.select(F.col("w"), (_discounted(F.col("n"), single) / F.lit(max(1, tokens))).alias("p"))
     pairs = kind("followers").select(F.explode(F.arrays_zip("a", "b")).alias("r")).select(F.col("r.a").alias("v"), F.col("r.b").alias("w"))
     covered = pairs.join(own, "w").groupBy("v").agg(F.sum("p").alias("covered"))
     places = F.transform(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.struct(
-        F.get("a", i).alias("v"), F.get("b", i).alias("total"), F.slice("c", i * (MOST + 1) + 1, MOST + 1).alias("shape")))
+        F.get("a", i).alias("v"), F.get("b", i).alias("total"), F.get("x", i).alias("common"), F.slice("c", i * (MOST + 1) + 1, MOST + 1).alias("shape")))
     shapes = kind("contexts").select(F.explode(places).alias("r")).select("r.*").groupBy("v").agg(
-        F.max("total").alias("total"), *[F.sum(F.col("shape")[r]).alias(f"s{r}") for r in range(MOST + 1)])
+        F.max("total").alias("total"), F.sum("common").alias("common"), *[F.sum(F.col("shape")[r]).alias(f"s{r}") for r in range(MOST + 1)])
     used = sum((F.col(f"s{r}") * (double[r] * max(1, r)) for r in range(MOST + 1)), F.lit(0.0))
-    alphas = shapes.join(covered, "v").select("v", F.log10((1 - used / F.col("total")) / (1 - F.col("covered"))).alias("alpha"))
+    seen_after = F.col("common") + F.coalesce("covered", F.lit(0.0))
+    alphas = shapes.join(covered, "v", "left").select("v", F.log10((1 - used / F.col("total")) / (1 - seen_after)).alias("alpha"))
 
     zipped = F.arrays_zip(F.col("a"), F.col("b"), F.col("c"), F.col("ids"))
     unseen = kind("unseen").select("chunk", F.explode(zipped).alias("r")).select(
@@ -283,7 +340,7 @@ def score(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
         F.col("n") * (F.log10(F.coalesce("p", F.lit(found.unknown))) + F.coalesce("alpha", F.lit(0.0)))).alias("backed"))
     packed = backed.groupBy("chunk").agg(F.collect_list("doc").alias("a"), F.collect_list("backed").alias("x")).select(
         F.lit("backed").alias("kind"), "chunk", "a", "x")
-    said = answers.filter(F.col("kind").isin("texts", "sums")).unionByName(packed, allowMissingColumns=True)
+    said = answers.filter(F.col("kind").isin("texts", "counts")).unionByName(packed, allowMissingColumns=True)
     return said.groupBy("chunk").applyInArrow(lambda t: sum_chunk(t, found), (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
@@ -295,12 +352,17 @@ def sum_chunk(rows: pa.Table, found: Totals) -> pa.Table:
     tokens = np.array(texts["a"], np.int64)
     score_, base, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
     logs = np.log10(found.double)
-    for r in rows.filter(pc.equal(rows["kind"], "sums")).select(["a", "b", "c", "x", "y"]).to_batches():
-        for k in range(r.num_rows):
-            at = r["a"][k].values.to_numpy()
-            score_[at] += r["x"][k].values.to_numpy() + r["c"][k].values.to_numpy().reshape(-1, MOST + 1) @ logs
-            base[at] += r["y"][k].values.to_numpy()
-            known[at] += r["b"][k].values.to_numpy()
+    for r in rows.filter(pc.equal(rows["kind"], "counts")).select(["pairs", "docs"]).to_batches():
+        for packed, docs in zip(r["pairs"], r["docs"]):
+            each, c, total, begin = unpack(packed.as_py())
+            n_docs, doc, n = unpack(docs.as_py())
+            at, n = doc.astype(np.int64) // 2, n.astype(np.int64)
+            c, total, begin = (np.repeat(x, n_docs) for x in (c.astype(np.int64), np.repeat(total.astype(np.int64), each), np.repeat(begin, each)))
+            seen, word = c > 0, begin == 0
+            place = logs[np.where(c > MOST, 0, c)[seen]]
+            score_ += np.bincount(at[seen], n[seen] * (np.log10(c[seen]) - np.log10(total[seen]) + place), size)
+            base += np.bincount(at[word], n[word] * np.log10(total[word] + 1.0), size)
+            known += np.bincount(at[word], n[word] * (total[word] > 0), size).astype(np.int64)
     for r in rows.filter(pc.equal(rows["kind"], "backed")).select(["a", "x"]).to_pylist():
         np.add.at(score_, np.array(r["a"], np.int64), np.array(r["x"]))
     base += np.log10(found.ends + 1) - tokens * np.log10(found.tokens + found.words + 1)
