@@ -8,8 +8,8 @@ half of them from each class where there are enough; weights undo the choice, so
 
 Between the vectors and the two classes everything is linear, so for scoring each feature's vector is folded with the
 output layer into one number; a text's score is the logistic function of a mean. The model that travels to the tasks
-has 2^18 numbers (1 MB) at any input size, and scoring is a scan without a shuffle. The sample's features, not its
-texts, come to the driver.
+has 2^18 numbers (1 MB) at any input size, and scoring is a scan without a shuffle. One task fits the model from the
+sample's features; only the folded numbers come to the driver.
 
 Defined cases: null and empty texts have no features and get the bias alone; without any usable label the score is 0.5,
 with labels of one class the model learns just that class; labels that are null or not 0 or 1 are left out; a labelled
@@ -179,21 +179,39 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         usable.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit(9), "key"), "key").limit(n) for k, n in sorted(taken.items())
     ]
     if not chosen:
-        return Model(np.zeros((BUCKETS, DIMENSION), np.float32), np.zeros((2, DIMENSION)), np.zeros(2))
+        return _folded_model(np.zeros(BUCKETS, np.float32), np.zeros(2, np.float32))
     sample = chosen[0]
     for more in chosen[1:]:
         sample = sample.unionByName(more)
     texts = docs.select(F.col(key).alias("key"), clean_text().alias("text")).join(F.broadcast(sample), "key")
     bagged = texts.mapInArrow(bags, "key long, label int, buckets array<int>, shares array<float>")
     one = F.min(F.struct(F.size("buckets").alias("n"), F.xxhash64("buckets").alias("h"), "label", "buckets", "shares")).alias("one")
-    rows = bagged.groupBy("key").agg(one).select("key", "one.*").toArrow().sort_by("key")
+    rows = bagged.groupBy("key").agg(one).select("key", "one.*").repartition(1)
+    found = rows.mapInArrow(lambda batches: fit_rows(batches, sizes), "folded array<float>, bias array<float>").toArrow()
+    if not found.num_rows:
+        return _folded_model(np.zeros(BUCKETS, np.float32), np.zeros(2, np.float32))
+    return _folded_model(*(found[c][0].values.to_numpy() for c in ("folded", "bias")))
+
+
+def fit_rows(batches: Iterator[pa.RecordBatch], sizes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags, folded; `sizes` are the numbers of labels that the bags stand for."""
+    kept = list(batches)
+    if not sum(b.num_rows for b in kept):
+        return
+    rows = pa.Table.from_batches(kept).sort_by("key")
     known = rows["label"].to_numpy()
     counts = {k: max(1, int((known == k).sum())) for k in sizes}
     weights = np.array([sizes[k] / counts[k] for k in known])
-    weights = weights / weights.mean() if len(weights) else weights
-    return fit(
+    model = fit(
         [x.values.to_numpy() for x in rows["buckets"]], [x.values.to_numpy() for x in rows["shares"]], known,
-        weights.astype(np.float32))
+        (weights / weights.mean()).astype(np.float32))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x], pa.list_(pa.float32())) for x in (model.folded(), model.bias)], ["folded", "bias"])
+
+
+def _folded_model(folded: np.ndarray, bias: np.ndarray) -> Model:
+    """A network of one dimension that scores as the folded one does."""
+    return Model(folded[:, None], np.array([[0], [1]], np.float32), bias)
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:

@@ -81,3 +81,10 @@ def test_missing_labels_and_empty_tables(spark):
     one = q.score_texts(d, q.train(d, rows.filter("quality = 1"))).collect()
     assert all(r.predicted == 1 for r in one)
     assert q.score_texts(d.limit(0), q.train(d.limit(0), rows)).collect() == []
+
+
+def test_only_folded_numbers_come_to_the_driver(spark, monkeypatch):
+    docs, labels = corpus(300)
+    monkeypatch.setattr(q, "fit", None)  # tasks fit, not the driver
+    model = q.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    assert model.vectors.shape == (q.BUCKETS, 1) and model.folded().any()
