@@ -160,6 +160,36 @@ def test_two_runs_leave_one_acyclic_table(spark, rows, tmp_path):
     assert sorted(A.read_edges(spark, f"{graph}/edges").collect()) == before
 
 
+def test_downward_edges_are_stored_by_course(spark, rows, tmp_path):
+    """One stored edge stands for all areas of a course; once the course is renumbered, it is cut into cells and what closes no
+    cycle stays. Totals by course equal those of the pairs by area."""
+    from kgraph.operators import infer as I
+    from kgraph.sources import tables as A
+
+    graph = str(tmp_path / "graph")
+    units = spark.createDataFrame([(k, k, k.upper(), "core") for k in "xyz"], "ku_id string, label string, knowledge_area string, tier string")
+    concepts = spark.createDataFrame([(f"{c}{k}{i}", c, k, "aligned", 0.9) for c, ks in (("A", "xyz"), ("B", "xy"), ("L", "z")) for k in ks for i in (1, 2)], (
+        "concept_id string, source_course_id string, knowledge_unit_id string, alignment_status string, confidence double"))
+    levels = lambda **n: spark.createDataFrame([(c, f"{d}0000") for c, d in n.items()], "course_id string, course_number string")
+    declared = lambda *pairs: spark.createDataFrame(pairs, "course_id string, prereq_id string")
+    found = runs.infer_graph(concepts, levels(A=3, B=2, L=1), units, declared(("A", "B"), ("B", "L"), ("L", "A")), "r1", 0.5, graph=graph)
+    course, part = (lambda c: '{"course":"%s"}' % c), (lambda c, same: '{"course":"%s","same_area":%s}' % (c, same))
+    stored = rows(A.read_edges(spark, f"{graph}/edges"), "from_id", "to_id")
+    assert stored == [(course("A"), part("B", "false")), (course("A"), part("B", "true")), (course("B"), part("L", "false"))]
+    assert sorted(int(r["n_pairs"]) for r in found["edges"].collect()) == [8, 8, 16]
+    cells = I.course_cells(I.concept_nodes(concepts, levels(A=3, B=2, L=1), units))
+    scored = I.scored_courses(cells, I.candidate_prior(cells, declared(("A", "B"), ("B", "L")), 0.5), declared(("A", "B"), ("B", "L")), 0.5)
+    assert rows(I.scored_totals(scored, cells, 0.5)) == rows(I.pair_totals(I.area_pairs(scored, cells, 0.5)))
+    # A is now below B, and B's cell of area x needs A's: the stored edge between these cells goes, the others stay
+    name = lambda c, area: '{"course":"%s","area":"%s"}' % (c, area)
+    again = runs.infer_graph(concepts, levels(A=2, B=2, L=1), units, declared(("B", "A")), "r2", 0.5, graph=graph)
+    active = A.read_edges(spark, f"{graph}/edges").filter("active")
+    flat = [r for r in rows(active, "from_id", "to_id") if '"area"' in r[0]]
+    assert (name("B", "X"), name("A", "X")) in flat and (name("A", "X"), name("B", "X")) not in flat
+    assert not rows(active.filter(F.col("from_id") == course("A")).filter(F.col("to_id") == part("B", "true")))
+    assert again["expired"].count() > 0
+
+
 def test_only_named_partitions_are_written_again(spark, tmp_path):
     from kgraph.sources import tables as A
 
